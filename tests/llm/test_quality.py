@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import quality
 
-GOOD = "\n".join(f"Line {i} says something new about item{i} and thing{i} here. It ends well{i}." for i in range(12))
+GOOD = "\n".join(" ".join(f"word{i}x{j}" for j in range(9)) + f". Next{i} comes{i}." for i in range(12))
 MENU = "\n".join(" | ".join(f"item{i}x{j}" for j in range(8)) for i in range(12))
 SCHEMA = "doc_id long, text string, n_words long, __note string"
 
