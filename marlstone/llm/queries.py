@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, pii, quality, simhash
+from marlstone.llm import decontaminate, packing, pii, quality, simhash
 from marlstone.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The packing contract's columns for ``docs``."""
+    found = packing.pack_documents(docs, "byte_bpe_50k.json", end_id=0, limits=packing.Limits(tokens=1024, segments=64, loss=1024))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
