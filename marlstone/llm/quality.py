@@ -111,4 +111,13 @@ def quality(docs: DataFrame, text: str = "text", rules: LineRules = LineRules())
     )
     step = step.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     step = step.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_loss))
-    return step.drop(*(taken + x for x in ("text", "words", "ids", "grams", "lines", "good", "at")))
+    return _sealed(step.drop(*(taken + x for x in ("text", "words", "ids", "grams", "lines", "good", "at"))))
+
+
+def _sealed(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row, which no filter passes.
+
+    A caller's filter on a figure would otherwise be pushed below the arrays it
+    is built from and would build them anew for every element.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
