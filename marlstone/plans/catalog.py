@@ -41,3 +41,14 @@ def _revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_returnflag", "l_linestatus")
         .agg(F.count("*").alias("n_rows"), F.min("l_shipdate").alias("first_ship"), F.max("l_quantity").alias("max_qty"))
     )
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    import importlib
+    import pkgutil
+
+    import marlstone.plans as here
+
+    for found in pkgutil.iter_modules(here.__path__):
+        importlib.import_module(f"marlstone.plans.{found.name}")
