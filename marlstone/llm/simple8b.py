@@ -44,8 +44,10 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chosen = np.full(n, len(COUNTS) - 1, np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):  # the densest selector that fits wins
         count, limit = int(COUNTS[s]), np.uint64(1) << np.uint64(WIDTHS[s])
-        wide = np.concatenate(([0], np.cumsum(padded >= limit, dtype=np.int32)))
-        chosen[wide[count : count + n] == wide[:n]] = s
+        narrow = np.flatnonzero(padded < limit)
+        first = narrow[: max(0, len(narrow) - count + 1)]
+        hits = first[narrow[count - 1 :] - first == count - 1]  # `count` of them in a row
+        chosen[hits[: np.searchsorted(hits, n)]] = s
     taken = COUNTS[chosen].tolist()
     starts, at = [], 0
     while at < n:

@@ -23,7 +23,7 @@ BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A worker's table is emptied when it holds this many chunks.
 MOST_CHUNKS = 600_000
-_PLAIN = re.compile("[\x20-ɏ]*")  # no combining marks, no odd blanks (but U+0085 and U+00A0, which the patterns know)
+_PLAIN = re.compile("\n?[\x20-ɏ]*")  # no combining marks, no odd blanks (but U+0085 and U+00A0, which the patterns know)
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -38,28 +38,43 @@ _LETTERS = dict(enumerate(_byte_letters()))
 
 
 def _spelled(s: str) -> str:
+    if s.isascii() and s.isprintable():
+        return s.replace(" ", "Ġ")
     return s.encode("utf-8").decode("latin-1").translate(_LETTERS)
 
 
-class Encoder:
-    """``ids(text)`` as little-endian unsigned 32-bit integers."""
+class Encoder(dict):
+    """``ids(text)`` as little-endian unsigned 32-bit integers; the mapping itself is the table of chunks."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.by_word = self.tokenizer.normalizer is not None  # lower case, blanks dropped
-        self.known: dict[str, bytes] = {}
 
-    def _encode(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk[1:] if chunk[:1] == "\n" else chunk):
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, chunk: str) -> bytes:
+        tokenize = self.model.tokenize
+        if _PLAIN.fullmatch(chunk):
+            ids = [t.id for part in self._parts(chunk) for t in tokenize(_spelled(part))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        self[chunk] = found = np.array(ids, "<u4").tobytes()
+        return found
+
+    def _parts(self, chunk: str) -> list[str]:
+        """The pre-tokens of a plain chunk; one word, with or without a mark at its end, needs no pattern."""
         if self.by_word:
-            parts = WORD_PATTERN.findall("".join(c.lower() for c in chunk))
+            chunk = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in chunk)
+            body = chunk
         else:
-            parts = BYTE_PATTERN.findall(chunk)
-        return np.array([t.id for part in parts for t in self.model.tokenize(_spelled(part))], "<u4").tobytes()
+            body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in ".,!?" and body[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return (WORD_PATTERN if self.by_word else BYTE_PATTERN).findall(chunk)
 
     def _chunks(self, text: str) -> list[str]:
         flat = text.replace("\n", " ")
@@ -74,17 +89,9 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = self._chunks(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > MOST_CHUNKS:
-                known.clear()
-            for chunk in set(chunks):
-                if chunk not in known:
-                    known[chunk] = self._encode(chunk)
-            return b"".join(map(known.__getitem__, chunks))
+        if len(self) > MOST_CHUNKS:
+            self.clear()
+        return b"".join(map(self.__getitem__, self._chunks(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -47,4 +47,4 @@ def test_table_stays_bounded(monkeypatch):
     for _ in range(40):
         t = " ".join(str(rng.random()) for _ in range(20))
         assert np.frombuffer(e.ids(t), "<u4").tolist() == WHOLE[FILES[1]].encode(t, add_special_tokens=False).ids
-        assert len(e.known) <= 50 + 21
+        assert len(e) <= 50 + 21
