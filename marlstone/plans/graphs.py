@@ -190,7 +190,7 @@ def _(s, d):
     steps = s.createDataFrame([(0, [], ["a"]), (1, ["a"], ["b"]), (2, ["a", "z"], ["c"]), (3, ["b", "c"], [])], "step int, inputs array<string>, outputs array<string>")
     w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a declared chain: a few steps
     known = F.flatten(F.collect_list("outputs").over(w))
-    return steps.withColumn("missing", F.explode(F.array_except("inputs", known))).select("step", "missing")
+    return steps.withColumn("known", known).select("step", F.explode(F.array_except("inputs", "known")).alias("missing"))
 
 
 @query("grf_16_components", f"WITH RECURSIVE e AS (SELECT a, b FROM {_SUPPLY} UNION SELECT b, a FROM {_SUPPLY}), w(node, r) AS (SELECT a, a FROM e UNION SELECT b, r FROM w JOIN e ON node = a) SELECT node, min(r) AS component FROM w GROUP BY 1")
