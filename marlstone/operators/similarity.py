@@ -134,8 +134,6 @@ def silhouette(df: DataFrame, id: str, label: str, vector: str) -> DataFrame:
 
 def participation_ratio(df: DataFrame, vector: str, size: int) -> float:
     """STA-33: of the covariance's eigenvalues; the covariance is one aggregate of ``size**2`` sums."""
-    parts: list[Column] = [F.count("*").alias("n")]
-
     def sums(pdfs):
         total, cross, n = np.zeros(size), np.zeros((size, size)), 0
         for pdf in pdfs:
@@ -144,9 +142,8 @@ def participation_ratio(df: DataFrame, vector: str, size: int) -> float:
                 total, cross, n = total + m.sum(0), cross + m.T @ m, n + len(m)
         yield pd.DataFrame({"n": [n], "total": [total.tolist()], "cross": [cross.ravel().tolist()]})
 
-    del parts
     rows = df.select(vector).mapInPandas(sums, "n long, total array<double>, cross array<double>")
-    cells = rows.select(F.sum("n").over(Window.partitionBy()).alias("n"), F.posexplode(F.concat("total", "cross")).alias("i", "x")).groupBy("i").agg(F.first("n").alias("n"), F.sum("x").alias("x"))
+    cells = rows.select("n", F.posexplode(F.concat("total", "cross")).alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     got = sorted(cells.collect(), key=lambda r: r.i)  # size + size**2 sums
     n, x = got[0].n, np.array([r.x for r in got])
     mean = x[:size] / n
