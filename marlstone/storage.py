@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch for dropping a query's shuffle files when it is over.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one is set where none is named (tests)."""
@@ -33,9 +36,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet and return a reader of it: a cut of the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # nothing reads this job's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
