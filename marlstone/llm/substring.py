@@ -27,14 +27,12 @@ of texts or a few subtrees. Lists gathered by key are of one document.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.text import slices, words
@@ -44,7 +42,7 @@ WIDTH = 35
 PREFIX = 16
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -125,7 +123,7 @@ def _prefix_counts(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
-    """``(h, k1, k2, pos)`` for every anchor."""
+    """``(h, k1, pos)`` for every anchor; half a key will do, for a stranger's position only costs a needless look."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +132,9 @@ def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
                 _, anchor, grams = scan.anchors()
                 own = np.unique(anchor)
                 row = np.searchsorted(scan.starts, own, side="right") - 1
-                row_take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[own].view(np.int64)), part.column("k1").take(row_take), part.column("k2").take(row_take), pa.array((own - scan.starts[row]).astype(np.int32))],
-                    ["h", "k1", "k2", "pos"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64)), part.column("k1").take(pa.array(row)), pa.array((own - scan.starts[row]).astype(np.int32))], ["h", "k1", "pos"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, pos int")
+    return texts.select("k1", "text").mapInArrow(run, "h long, k1 long, pos int")
 
 
 _SUFFIXES = "part long, hot boolean, k1 long, k2 long, pos int, n int, w1 long, w2 long, words binary"
@@ -149,12 +143,14 @@ _SUFFIXES = "part long, hot boolean, k1 long, k2 long, pos int, n int, w1 long,
 def _suffix_rows(met: DataFrame, width: int) -> DataFrame:
     """What goes to the subtrees: the words around each light anchor, and the windows of the heavy ones.
 
-    ``met`` has the live anchors of each text: ``light`` and ``heavy`` positions.
+    ``met`` has the live anchors of each text: ``light`` and ``heavy`` positions,
+    and the second half of the keys of copies that stay out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            used = batch.filter(pa.compute.or_kleene(batch.column("light").is_valid(), batch.column("heavy").is_valid()))
+            own = zip(batch.column("k2").to_pylist(), batch.column("asides").to_pylist(), strict=True)
+            used = batch.filter(pa.array([not aside or k2 not in aside for k2, aside in own], pa.bool_()))
             for part in slices(used, "text", _SLICE):
                 texts = [words(x.as_py()) for x in part.column("text")]
                 scan = Scan(texts, width)
@@ -165,12 +161,13 @@ def _suffix_rows(met: DataFrame, width: int) -> DataFrame:
                 yield from _light(part, scan, texts, at, anchor, grams, k1, k2)
                 yield from _heavy(part, scan, at, anchor, k1, k2)
 
-    return met.select("k1", "k2", "text", "light", "heavy").mapInArrow(run, _SUFFIXES)
+    return met.select("k1", "k2", "text", "light", "heavy", "asides").mapInArrow(run, _SUFFIXES)
 
 
 def _marked(part: pa.RecordBatch, column: str, scan: Scan) -> np.ndarray:
     """The listed positions of all rows, counted from the slice's first word."""
-    lists = [np.asarray(x, np.int64) + s for x, s in zip(part.column(column).to_pylist(), scan.starts.tolist(), strict=True) if x]
+    rows = zip(part.column(column).to_pylist(), scan.starts.tolist(), scan.sizes.tolist(), strict=True)
+    lists = [s + a[a < n] for x, s, n in rows if x and len(a := np.asarray(x, np.int64))]
     return np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
 
 
@@ -223,7 +220,8 @@ def names(tokens: np.ndarray, width: int) -> np.ndarray:
 
 def subtree_repeats(held: list[bytes], n: np.ndarray, width: int) -> np.ndarray:
     """For each suffix's run of windows, the bits of those below an internal node of depth ``width``."""
-    tokens = pd.factorize(np.array(b" ".join(held).split(), dtype=object))[0]
+    known: dict[bytes, int] = {}
+    tokens = np.array([known.setdefault(w, len(known)) for w in b" ".join(held).split()], np.int64)
     name = names(tokens, width)
     sizes = n + width - 1
     first = np.cumsum(sizes) - sizes
@@ -273,18 +271,10 @@ def _subtrees(rows: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "k1 long, k2 long, pos int, bits long, w1 long, w2 long")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeats(keyed: DataFrame, width: int, group: int) -> DataFrame:
     """``(k1, k2, whole, starts)`` of texts with repeats: runs of window starts as ``(pos, bits)``."""
-    spark = keyed.sparkSession
     texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text"))
     live = stash(_prefix_counts(texts, width).where("n > 1"), "prefixes")
-    _release(spark)
     # copies: one of each class stands for all
     told = texts.select("k1", "k2", F.xxhash64(F.lit("one"), "text").alias("t1"), F.xxhash64(F.lit("two"), "text").alias("t2"))
     classes = told.groupBy("t1", "t2").agg(F.min(F.struct("k1", "k2")).alias("least"), F.count("*").alias("n")).where("n > 1").select("t1", "t2", "least")
@@ -292,12 +282,11 @@ def repeats(keyed: DataFrame, width: int, group: int) -> DataFrame:
     copies = told.join(classes, ["t1", "t2"]).select("k1", "k2", F.lit(True).alias("whole"), (F.struct("k1", "k2") != F.col("least")).alias("aside"))
     copies = stash(copies.distinct(), "copies")
     # live anchors of each text
-    anchors = _anchor_rows(texts, width).join(live, "h").select("k1", "k2", "pos", (F.col("n") > group).alias("heavy"))
-    lists = anchors.groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("heavy"), F.col("pos"))).alias("light"), F.collect_list(F.when(F.col("heavy"), F.col("pos"))).alias("heavy"))
-    lists = lists.join(copies.where("aside").select("k1", "k2"), ["k1", "k2"], "left_anti")
-    met = texts.join(lists, ["k1", "k2"])
+    anchors = _anchor_rows(texts, width).join(live, "h").select("k1", "pos", (F.col("n") > group).alias("heavy"))
+    lists = anchors.groupBy("k1").agg(F.collect_list(F.when(~F.col("heavy"), F.col("pos"))).alias("light"), F.collect_list(F.when(F.col("heavy"), F.col("pos"))).alias("heavy"))
+    asides = copies.where("aside").groupBy("k1").agg(F.collect_list("k2").alias("asides"))  # one, but for strangers
+    met = texts.join(lists.join(asides, "k1", "left"), "k1")
     found = stash(_subtrees(_suffix_rows(met, width), width), "repeats")
-    _release(spark)
     light = found.where("w1 IS NULL").select("k1", "k2", "pos", "bits")
     heavy = found.where("w1 IS NOT NULL")
     nodes = stash(heavy.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "nodes")
@@ -341,13 +330,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, counts, removed = [], [], []
-            for value, starts, whole in zip(batch.column("__text"), batch.column("starts"), batch.column("__whole").to_pylist(), strict=True):
-                tokens = words(value.as_py())
-                left = remaining(tokens, starts.as_py(), whole, width)
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
-                counts.append(len(tokens))
-                removed.append(len(tokens) - len(left))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
+            for part in slices(batch, "__text", _SLICE):
+                kept, counts, removed = [], [], []
+                for value, starts, whole in zip(part.column("__text"), part.column("starts"), part.column("__whole").to_pylist(), strict=True):
+                    tokens = words(value.as_py())
+                    left = remaining(tokens, starts.as_py(), whole, width)
+                    kept.append(b" ".join(left).decode("utf-8", "replace"))
+                    counts.append(len(tokens))
+                    removed.append(len(tokens) - len(left))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
 
     return joined.mapInArrow(run, schema)

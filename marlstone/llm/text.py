@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def words(text: str | None) -> list[bytes]:
@@ -17,7 +18,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
     """Cut a batch so that a slice's texts hold about ``most_bytes`` (one row at least)."""
     if batch.num_rows == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
