@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: The pre-token patterns that the two tokenizer files name.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: A worker's table is emptied when it holds this many chunks.
+#: A worker's tables are emptied when one holds this many chunks or pre-tokens.
 MOST_CHUNKS = 600_000
 _PLAIN = re.compile("\n?[\x20-ɏ]*")  # no combining marks, no odd blanks (but U+0085 and U+00A0, which the patterns know)
+_MARKS = string.punctuation.replace("'", "")  # an apostrophe may begin a pre-token of letters
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -51,20 +53,25 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}  # of the chunks' pre-tokens
         self.by_word = self.tokenizer.normalizer is not None  # lower case, blanks dropped
 
     def __missing__(self, chunk: str) -> bytes:
-        tokenize = self.model.tokenize
         if _PLAIN.fullmatch(chunk):
-            ids = [t.id for part in self._parts(chunk) for t in tokenize(_spelled(part))]
+            found = b"".join([self.words.get(part) or self._part(part) for part in self._parts(chunk)])
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        self[chunk] = found = np.array(ids, "<u4").tobytes()
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        """A pre-token's ids; words that come with several marks are encoded once."""
+        self.words[part] = found = array("I", [t.id for t in self.tokenize(_spelled(part))]).tobytes()
         return found
 
     def _parts(self, chunk: str) -> list[str]:
-        """The pre-tokens of a plain chunk; one word, with or without a mark at its end, needs no pattern."""
+        """The pre-tokens of a plain chunk; one word, with or without marks at its end, needs no pattern."""
         if self.by_word:
             chunk = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in chunk)
             body = chunk
@@ -72,8 +79,9 @@ class Encoder(dict):
             body = chunk[1:] if chunk[:1] == " " else chunk
         if body.isalpha():
             return [chunk]
-        if body[-1:] in ".,!?" and body[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
+        if (word := body.rstrip(_MARKS)).isalpha():
+            cut = len(word) - len(body)
+            return [chunk[:cut], chunk[cut:]]
         return (WORD_PATTERN if self.by_word else BYTE_PATTERN).findall(chunk)
 
     def _chunks(self, text: str) -> list[str]:
@@ -82,15 +90,15 @@ class Encoder(dict):
             return flat.split(" ")
         # A printable text has no blank but this one; where none follows another, each word but the first carries its own.
         if flat.isprintable() and "  " not in flat and flat[0] != " " != flat[-1]:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [first, *(w if w[0] == "\n" else " " + w for w in rest)]
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return _CUT.split(text)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self) > MOST_CHUNKS:
+        if max(len(self), len(self.words)) > MOST_CHUNKS:
             self.clear()
+            self.words.clear()
         return b"".join(map(self.__getitem__, self._chunks(text)))
 
 
