@@ -28,16 +28,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays (one row of it); rows without an id, which no group can name, go."""
-    found = simhash.near_duplicates(docs, radius=4)
-    least = found.where("doc_id = component_id").select("doc_id")
-    return docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near duplicates, one row stays: that with the smallest id (rows without an id come last).
+
+    Rows are told apart by a key of their own, not by their id: ids may be null or shared by unrelated texts.
+    Among rows of one id two hashes of the row decide, and the written number only between equal rows.
+    """
+    keyed = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns), F.col("__row").alias("number"))
+    found = simhash.near_duplicates(keyed.select(row.alias("__key"), "text"), id="__key", radius=4)
+    least = found.where("__key.number = component_id.number").select(F.col("component_id.number").alias("__row"))
+    return keyed.join(least, "__row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    hits = stash(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a benchmark passage go, whatever their id."""
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,9 +21,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.storage import discard, stash
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -156,19 +159,50 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     match nothing; repeated rows are each reported; no documents or no items
     give no rows.
     """
-    spark = docs.sparkSession
+    schema = docs.select(id).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
+    found = None
+    for shared in _blocks(benchmark, item_id, item_text, least_chars, block_bytes):
+        part = docs.select(id, F.col(text).alias("text")).mapInArrow(_searcher(shared, rate, id), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no passage that :func:`matches` would report.
+
+    Each row is judged by its own text, so ids do not matter. Past the first
+    block of the benchmark, what is left is written before the next block is tried.
+    """
+    left, written = docs, None
+    for n, shared in enumerate(_blocks(benchmark, item_id, item_text, least_chars, block_bytes)):
+        if n:
+            before, written = written, stash(left, "clean")
+            left = written
+            if before is not None:
+                discard(before)
+        left = left.mapInArrow(_keeper(shared, rate, text), docs.schema)
+    return left
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, least_chars: int, block_bytes: int) -> Iterator[Broadcast]:
+    """The folded items, dealt to blocks of at most about ``block_bytes``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    schema = docs.select(id).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
-    found = None
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         rows = [(r.item, x) for r in own.distinct().collect() if len(x := fold(r.text)) >= least_chars]  # at most about block_bytes
-        shared = spark.sparkContext.broadcast(rows)
-        part = docs.select(id, F.col(text).alias("text")).mapInArrow(_searcher(shared, rate, id), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield benchmark.sparkSession.sparkContext.broadcast(rows)
+
+
+def _keeper(shared: Broadcast, rate: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, rate)
+        for batch in batches:
+            clean = [not value or not matcher.search(fold(value)) for value in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
 
 
 def _searcher(shared, rate: float, id: str):
