@@ -3,9 +3,10 @@
 The fixed kinds are assignments, access keys and long hexadecimal runs. Beyond
 them, every candidate string is scanned with a window that keeps character
 counts: each step adds one character, drops one and updates the Shannon entropy
-from the two counts alone. The entropy is held against the limit of the window's
-character class (digits, hexadecimal, one case with digits, base 64). An
-allow-list suppresses well-known harmless forms. One pass in Arrow batches.
+and the window's character class from the two alone. Every window's entropy is
+held against the limit of its own class (digits, hexadecimal, one case with
+digits, base 64); one window that reaches it is enough. An allow-list
+suppresses well-known harmless forms. One pass in Arrow batches.
 
 Null texts count as empty; repeated rows are reported alike; no rows give no rows.
 """
@@ -39,7 +40,7 @@ ALLOWED = (
     r"(?:https?|ftp)[:=/].*",
     r"[0-9T:.+-]+Z?",  # times
 )
-_CANDIDATE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 
 @dataclass(frozen=True)
@@ -54,23 +55,42 @@ class Entropy:
     allowed: tuple[str, ...] = ALLOWED
 
 
-def _character_class(s: str) -> str:
-    if s.isdigit():
+#: Which letters a window holds: lower or upper case, up to f or past it, or none of letters and digits.
+_DIGIT, _LOWER_HEX, _LOWER, _UPPER_HEX, _UPPER, _OTHER = range(6)
+
+
+def _sort(c: str) -> int:
+    if c.isdigit():
+        return _DIGIT
+    if not c.isalpha():
+        return _OTHER
+    if c.islower():
+        return _LOWER_HEX if c <= "f" else _LOWER
+    return _UPPER_HEX if c <= "F" else _UPPER
+
+
+_SORTS = {chr(i): _sort(chr(i)) for i in range(128)}
+
+
+def _character_class(sorts: list[int]) -> str:
+    """The class of a window, from how many characters of each sort it holds."""
+    lower, upper = sorts[_LOWER_HEX] + sorts[_LOWER], sorts[_UPPER_HEX] + sorts[_UPPER]
+    if sorts[_OTHER] or lower and upper:
+        return "mixed"
+    if not lower and not upper:
         return "digits"
-    if all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s):
-        return "hexadecimal"
-    return "one_case" if (s == s.lower() or s == s.upper()) and s.isalnum() else "mixed"
+    return "one_case" if sorts[_LOWER] or sorts[_UPPER] else "hexadecimal"
 
 
-def entropy_peak(s: str, width: int) -> tuple[float, int]:
-    """The largest entropy of a window of ``s``, and where it starts; counts move with the window."""
+def entropy_windows(s: str, width: int) -> Iterator[tuple[float, int, str]]:
+    """Entropy, start and class of each window of ``s``; all counts move with the window."""
     width = min(width, len(s))
     if not width:
-        return 0.0, 0
+        return
     term = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
     counts: dict[str, int] = {}
+    sorts = [0] * 6
     total = 0.0  # sum of n log n over the window's counts
-    best, at = -1.0, 0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         if i >= width:
@@ -79,16 +99,25 @@ def entropy_peak(s: str, width: int) -> tuple[float, int]:
                 k = counts[old]
                 total += term[k - 1] - term[k]
                 counts[old] = k - 1
+                sorts[_SORTS.get(old, _OTHER)] -= 1
                 total += term[n + 1] - term[n]
                 counts[c] = n + 1
+                sorts[_SORTS.get(c, _OTHER)] += 1
         else:
             total += term[n + 1] - term[n]
             counts[c] = n + 1
+            sorts[_SORTS.get(c, _OTHER)] += 1
         if i >= width - 1:
-            bits = term[width] / width - total / width
-            if bits > best + 1e-12:
-                best, at = bits, i - width + 1
-    return best, at
+            yield term[width] / width - total / width, i - width + 1, _character_class(sorts)
+
+
+def entropy_peak(s: str, width: int) -> tuple[float, int]:
+    """The largest entropy of a window of ``s``, and where it starts."""
+    best, at = -1.0, 0
+    for bits, start, _ in entropy_windows(s, width):
+        if bits > best + 1e-12:
+            best, at = bits, start
+    return max(best, 0.0), at
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -104,12 +133,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def entropy_spans(text: str, limits: Entropy, allowed: re.Pattern[str]) -> list[tuple[int, int, str]]:
     found = []
+    least = {"digits": limits.digits, "hexadecimal": limits.hexadecimal, "one_case": limits.one_case, "mixed": limits.mixed}
     for m in _CANDIDATE.finditer(text):
         s = m.group()
         if allowed.fullmatch(s.strip("=-_/+")) or allowed.fullmatch(s):
             continue
-        bits, at = entropy_peak(s, limits.window)
-        if bits >= getattr(limits, _character_class(s[at : at + limits.window])):
+        if any(bits >= least[kind] for bits, _, kind in entropy_windows(s, limits.window)):
             found.append((m.start(), m.end(), "entropy"))
     return found
 
