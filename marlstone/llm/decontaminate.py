@@ -6,6 +6,8 @@ pieces, at least one piece survives any such edits unchanged. All pieces go
 into one Aho-Corasick automaton, which finds the exact piece hits in one pass
 over a text; hits on the same diagonal band are merged and Myers' bit-parallel
 algorithm gives the edit distance of the item to the best passage there.
+Short items allow no edits and must begin and end at word boundaries; they are
+single pieces of the same automaton.
 
 The automaton is broadcast only where the items' total size is under
 ``block_bytes``; a larger benchmark is dealt to as many blocks as needed, by a
@@ -88,16 +90,29 @@ def letter_masks(item: str) -> dict[str, int]:
     return masks
 
 
+#: Scripts written without blanks: any code point may begin a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303b\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af]")
+
+
+def _boundary(folded: str, at: int) -> bool:
+    """Whether a word may begin or end between ``folded[at - 1]`` and ``folded[at]``."""
+    if at <= 0 or at >= len(folded):
+        return True
+    pair = folded[at - 1 : at + 1]
+    return " " in pair or _UNSPACED.search(pair) is not None
+
+
 class Matcher:
-    """The items of one block, ready for a pass over texts."""
+    """The items of one block, ready for a pass over texts; those under ``least_chars`` are matched as whole words without edits."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items: list[tuple[int, str, int, dict[str, int]]] = []
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 24):
+        self.items: list[tuple[int, str, int, dict[str, int] | None]] = []  # short items have no masks
         self.automaton = ahocorasick.Automaton()
         for item_id, folded in items:
-            errors = int(rate * len(folded))
+            short = len(folded) < least_chars
+            errors = 0 if short else int(rate * len(folded))
             k = len(self.items)
-            self.items.append((item_id, folded, errors, letter_masks(folded)))
+            self.items.append((item_id, folded, errors, None if short else letter_masks(folded)))
             for offset, piece in pieces(folded, errors):
                 found = self.automaton.get(piece, None)
                 if found is None:
@@ -118,6 +133,13 @@ class Matcher:
             item_id, item, errors, masks = self.items[k]
             starts.sort()
             i, done = 0, -1
+            if masks is None:
+                for start in starts:
+                    end = start + len(item)
+                    if start >= done and _boundary(folded, start) and _boundary(folded, end):
+                        out.append((item_id, start, end, 0))
+                        done = end
+                continue
             while i < len(starts):
                 low = high = starts[i]
                 while i < len(starts) and starts[i] <= high + 2 * errors:
@@ -154,15 +176,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
 
     ``start`` and ``end`` are code points of the original text (of the first
     word and of the first word after the passage, or the text's end).
-    Items with fewer than ``least_chars`` folded characters are too common to
-    tell anything and are left out, as are null items; null and empty texts
-    match nothing; repeated rows are each reported; no documents or no items
+    Items with fewer than ``least_chars`` folded characters have no edit budget
+    and are met only from word boundary to word boundary (at any code point in
+    scripts without blanks); items without words and null items are left out;
+    null and empty texts match nothing; repeated rows are each reported; no documents or no items
     give no rows.
     """
     schema = docs.select(id).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
     found = None
-    for shared in _blocks(benchmark, item_id, item_text, least_chars, block_bytes):
-        part = docs.select(id, F.col(text).alias("text")).mapInArrow(_searcher(shared, rate, id), schema)
+    for shared in _blocks(benchmark, item_id, item_text, block_bytes):
+        part = docs.select(id, F.col(text).alias("text")).mapInArrow(_searcher(shared, rate, least_chars, id), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -174,30 +197,30 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     block of the benchmark, what is left is written before the next block is tried.
     """
     left, written = docs, None
-    for n, shared in enumerate(_blocks(benchmark, item_id, item_text, least_chars, block_bytes)):
+    for n, shared in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         if n:
             before, written = written, stash(left, "clean")
             left = written
             if before is not None:
                 discard(before)
-        left = left.mapInArrow(_keeper(shared, rate, text), docs.schema)
+        left = left.mapInArrow(_keeper(shared, rate, least_chars, text), docs.schema)
     return left
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, least_chars: int, block_bytes: int) -> Iterator[Broadcast]:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
     """The folded items, dealt to blocks of at most about ``block_bytes``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = [(r.item, x) for r in own.distinct().collect() if len(x := fold(r.text)) >= least_chars]  # at most about block_bytes
+        rows = [(r.item, x) for r in own.distinct().collect() if (x := fold(r.text))]  # at most about block_bytes
         yield benchmark.sparkSession.sparkContext.broadcast(rows)
 
 
-def _keeper(shared: Broadcast, rate: float, text: str):
+def _keeper(shared: Broadcast, rate: float, least_chars: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, least_chars)
         for batch in batches:
             clean = [not value or not matcher.search(fold(value)) for value in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -205,9 +228,9 @@ def _keeper(shared: Broadcast, rate: float, text: str):
     return run
 
 
-def _searcher(shared, rate: float, id: str):
+def _searcher(shared, rate: float, least_chars: int, id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, least_chars)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, value in enumerate(batch.column("text").to_pylist()):
