@@ -6,6 +6,8 @@ texts and replaced by a keyed permutation of the values of their own format.
 The permutation is a Feistel network over pairs of residues with cycle walking,
 so it is a bijection: equal values get equal pseudonyms in every document,
 different values different ones, and whoever holds the key can go back.
+Only where a rejected candidate overlaps a value, and the usual pseudonym would
+make that candidate valid, another pseudonym is taken, so that going back works.
 Check digits are computed anew, so a pseudonym passes the validation of its kind.
 
 One pass over the rows in Arrow batches, no shuffle; the state is one key.
@@ -19,6 +21,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -141,9 +144,7 @@ def _spell(p: Feistel, tweak: str, s: str, back: bool) -> str:
 def _iban(p: Feistel, s: str, back: bool) -> str | None:
     flat = s.replace(" ", "")
     if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
-        short, blank, rest = s.rpartition(" ")  # the words after the number may look like its groups
-        new = _iban(p, short, back) if blank else None
-        return None if new is None else new + blank + rest
+        return None
     body = _spell(p, f"iban{flat[:2]}", flat[4:], back)
     whole = iter(flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02}" + body)
     return "".join(c if c == " " else next(whole) for c in s)
@@ -174,11 +175,11 @@ def _email(p: Feistel, s: str, back: bool) -> str | None:
     return _spell(p, "mail", local, back) + "@" + _spell(p, "host", host, back) + dot + top
 
 
-#: What is tried at a place, in this order. A candidate that fails its kind's validation stays as it is.
+#: What is tried at a place, in this order. A candidate that fails its kind's validation hides nothing: the kinds after it are tried at its place, then all of them at the places within it.
 _FOUND: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "email": (r"(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
-    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-])", _date),
+    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?=T\d)|(?![\w/-]))", _date),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "card": (r"(?<![\w-])(?:\d{13,19}|(?:\d{4} ){3}\d{4}|(?:\d{4}-){3}\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])", _card),
@@ -187,22 +188,116 @@ _FOUND: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
         _phone,
     ),
 }
+_ONE = {k: re.compile(pattern, re.ASCII) for k, (pattern, _) in _FOUND.items()}
 _ALL = re.compile("|".join(f"(?P<{k}>{pattern})" for k, (pattern, _) in _FOUND.items()), re.ASCII)
 #: Runs of tokens that hold a digit or an at-sign (or the letter groups of an account number): only these are searched.
 _REGION = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: (?:[A-Z]{4} )?[^\s0-9@]*[0-9@]\S*)*")
 
 
+#: More characters than any candidate that can fail has, with what it looks at beyond its end.
+_AROUND = 64
+
+
+@dataclass
+class _Hit:
+    start: int
+    end: int
+    kind: str
+    new: str
+    reach: int  # where the last candidate ends that failed before this one was found
+
+
+def _valid(p: Feistel, m: re.Match[str], kind: str, back: bool) -> tuple[int, str] | None:
+    """Where the candidate's valid form ends and what replaces it."""
+    s = m.group()
+    while s:
+        new = _FOUND[kind][1](p, s, back)
+        if new is not None:
+            return m.start() + len(s), new
+        s = s.rpartition(" ")[0] if kind == "iban" else ""  # the words after the number may look like its groups
+    return None
+
+
+def _next(p: Feistel, text: str, at: int, stop: int, back: bool) -> _Hit | None:
+    """The first valid candidate from ``at`` on."""
+    reach = at
+    while m := _ALL.search(text, at, stop):
+        kind = m.lastgroup
+        for k in KINDS[KINDS.index(kind) :]:
+            one = m if k == kind else _ONE[k].match(text, m.start(), stop)
+            if one is None:
+                continue
+            if found := _valid(p, one, k, back):
+                return _Hit(one.start(), found[0], k, found[1], reach if found[0] == one.end() else max(reach, one.end()))
+            reach = max(reach, one.end())
+        at = m.start() + 1
+    return None
+
+
+def _walk(p: Feistel, text: str, hits: list[_Hit], begin: int, stop: int, back: bool) -> list[str]:
+    """What replaces each hit.
+
+    Where failed candidates cover a hit, its pseudonym might make one of them
+    valid, and nobody could go back. There the permutation is walked on until
+    the same hits are found in the new text: a bijection of the values that leave
+    them found. Going back undoes the hits in the opposite order.
+    """
+    now = [text[h.start : h.end] for h in hits]
+    for i in reversed(range(len(hits))) if back else range(len(hits)):
+        hit = hits[i]
+        first, j = i + 1, i
+        while j >= 0 and hits[j].start > hit.start - _AROUND:
+            if hits[j].reach > hit.start:
+                first = j
+            j -= 1
+        value = hit.new
+        while first <= i and not _same(p, text, hits, now, first, i, value, begin, stop):
+            value = _FOUND[hit.kind][1](p, value, back)
+        now[i] = value
+    return now
+
+
+def _same(p: Feistel, text: str, hits: list[_Hit], now: list[str], first: int, i: int, value: str, begin: int, stop: int) -> bool:
+    """Whether hits ``first`` to ``i`` are found again when ``value`` replaces the last of them."""
+    at = hits[first - 1].end if first else begin
+    head = (now[first - 1] if first else text[max(0, begin - 2) : begin])[-2:]
+    parts, places, size = [head], [], len(head)
+    for k in range(first, len(hits) + 1):
+        limit = hits[k].start if k < len(hits) else stop
+        gap = text[at : min(limit, at + _AROUND)] if k > i else text[at:limit]
+        parts.append(gap)
+        size += len(gap)
+        if k == len(hits) or k > i and size - places[-1][1] >= _AROUND:
+            break
+        word = value if k == i else now[k]
+        if k <= i:
+            places.append((size, size + len(word), hits[k].kind))
+        parts.append(word)
+        size += len(word)
+        at = hits[k].end
+    local, at = "".join(parts), len(head)
+    for place in places:
+        found = _next(p, local, at, len(local), False)
+        if found is None or (found.start, found.end, found.kind) != place:
+            return False
+        at = found.end
+    return True
+
+
 def pseudonymise(text: str, p: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its personal data replaced (or put back), and how many of each kind."""
     counts = dict.fromkeys(KINDS, 0)
     out, done = [], 0
     for region in _REGION.finditer(text):
-        for m in _ALL.finditer(text, region.start(), region.end()):
-            new = _FOUND[m.lastgroup][1](p, m.group(), back)
-            if new is not None:
-                out += [text[done : m.start()], new]
-                done = m.end()
-                counts[m.lastgroup] += 1
+        hits, at = [], region.start()
+        while hit := _next(p, text, at, region.end(), back):
+            hits.append(hit)
+            counts[hit.kind] += 1
+            at = hit.end
+        whole = any(h.reach > h.start for h in hits)
+        for hit, new in zip(hits, _walk(p, text, hits, region.start(), region.end(), back) if whole else [h.new for h in hits], strict=True):
+            out += [text[done : hit.start], new]
+            done = hit.end
     return "".join(out) + text[done:], counts
 
 
