@@ -8,27 +8,25 @@ from pyspark.sql import functions as F
 from marlstone.storage import stash
 
 
-def reachable(edges: DataFrame, depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
     """HIE-03: every ``(ancestor, node, distance)`` of ``edges(child, parent)``, each node at distance 0 of itself.
 
-    Paths double in each round, so a chain of length n takes log n joins;
-    rounds are written to the shared folder.
+    Paths double in each round, so a chain of length n takes log n joins; it ends
+    when a round adds no pair, with cycles too, as distances are the least.
+    Rounds are written to the shared folder.
     """
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).where("node IS NOT NULL").distinct()
     base = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")).distinct()
     paths = stash(nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("distance")).union(base), "paths")
-    reach = 1
     before = paths.count()
-    while reach < depth:
+    while True:
         up, down = (paths.select(F.col("ancestor").alias(a), F.col("node").alias(b), F.col("distance").alias(n)) for a, b, n in (("x", "m", "n1"), ("m", "y", "n2")))
         longer = up.join(down, "m").select(F.col("x").alias("ancestor"), F.col("y").alias("node"), (F.col("n1") + F.col("n2")).alias("distance"))
         paths = stash(longer.groupBy("ancestor", "node").agg(F.min("distance").alias("distance")), "paths")
-        reach *= 2
         now = paths.count()
         if now == before:
-            break
+            return paths
         before = now
-    return paths
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
