@@ -6,10 +6,15 @@ worker keeps the ids of the chunks it has met in a bounded table, so each
 frequent chunk is encoded once; chunks it has not met are split with the
 tokenizer's own pattern and encoded by its BPE model. Chunks with characters
 outside the range where this is plain go through the library's whole pipeline.
+
+So do whole texts that hold the string of an added token (the library gives it
+the token's own id, wherever it stands), and all texts where a tokenizer file
+has other settings than the two kinds known here.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -22,6 +27,16 @@ from tokenizers import Tokenizer
 #: The pre-token patterns that the two tokenizer files name.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The settings of the two kinds of files; the cut and the patterns above hold for these alone.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+BYTE_SETTINGS = {"normalizer": None, "pre_tokenizer": _BYTE_LEVEL | {"use_regex": True}}
+WORD_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN.pattern}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}],
+    },
+}
 #: A worker's tables are emptied when one holds this many chunks or pre-tokens.
 MOST_CHUNKS = 600_000
 _PLAIN = re.compile("\n?[\x20-ɏ]*")  # no combining marks, no odd blanks (but U+0085 and U+00A0, which the patterns know)
@@ -52,16 +67,25 @@ class Encoder(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}  # of the chunks' pre-tokens
-        self.by_word = self.tokenizer.normalizer is not None  # lower case, blanks dropped
+        settings = json.loads(self.tokenizer.to_str())
+        kind = {k: settings[k] for k in BYTE_SETTINGS}
+        self.by_word = kind == WORD_SETTINGS  # lower case, blanks dropped
+        added = settings["added_tokens"]
+        self.added = [t["content"] for t in added]
+        known = kind in (BYTE_SETTINGS, WORD_SETTINGS) and settings["model"]["type"] == "BPE" and settings["post_processor"] is None and settings["truncation"] is None
+        self.plain = known and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+
+    def whole(self, text: str) -> bytes:
+        """The library's whole pipeline."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
             found = b"".join([self.words.get(part) or self._part(part) for part in self._parts(chunk)])
         else:
-            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            found = self.whole(chunk)
         self[chunk] = found
         return found
 
@@ -96,6 +120,8 @@ class Encoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.plain or any(t in text for t in self.added):
+            return self.whole(text)
         if max(len(self), len(self.words)) > MOST_CHUNKS:
             self.clear()
             self.words.clear()

@@ -11,8 +11,7 @@ from marlstone.llm import tokens
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 WHOLE = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
-for t in WHOLE.values():
-    t.encode_special_tokens = True
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 def same(f, text):
@@ -40,6 +39,30 @@ def test_any_text(text):
         same(f, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*SPECIAL, *(s.upper() for s in SPECIAL), SPECIAL[1][:-1], "<|", "|>", " ", "\n", "a", "Word", "1", "é", "日", ".", "'s"]), max_size=9))
+def test_strings_of_added_tokens(parts):
+    """At starts, ends, next to one another and across cuts they get their own ids, as in the library."""
+    for f in FILES:
+        same(f, "".join(parts))
+
+
+def test_added_tokens_have_their_ids():
+    assert np.frombuffer(tokens.encoder(FILES[0]).ids("hello <|startoftext|> world"), "<u4").tolist() == [3306, 49406, 1002]
+    assert 50256 in np.frombuffer(tokens.encoder(FILES[1]).ids("a <|endoftext|> b"), "<u4")
+
+
+def test_other_settings_take_the_whole_pipeline(tmp_path):
+    from tokenizers import normalizers, pre_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path(FILES[1]))
+    t.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(path := str(tmp_path / "other.json"))
+    for text in ("Été à la plage", " A  b\nC", "x"):
+        assert np.frombuffer(tokens.encoder(path).ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
     e = tokens.Encoder(public_tokenizers.path(FILES[1]))
