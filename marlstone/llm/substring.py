@@ -1,4 +1,4 @@
-"""Removal of repeated passages with a prefix-partitioned sparse suffix tree.
+"""Removal of repeated passages with prefix-partitioned sparse suffix trees.
 
 A passage counts as repeated if ``width`` consecutive words of a document also
 start anywhere else. The suffix tree over all word positions would be far larger
@@ -8,21 +8,27 @@ than the corpus, so it is never held as a whole:
   words the ``PREFIX``-word gram with the least hash is its anchor, so equal
   windows have equal anchors at equal places, and consecutive windows mostly
   share theirs (about one position in ten is an anchor).
-* Suffixes are split by prefix. An anchor's gram is its suffix's first prefix;
-  a prefix that comes once in the corpus is a leaf and is dropped before any
-  text moves. A prefix with at most ``group`` suffixes is one subtree. A more
-  frequent prefix is lengthened to the whole window: its subtrees are
-  then single nodes, of which only a count is needed, built map-side first.
-* A subtree gets, for each of its suffixes, the words of the windows around the
-  anchor. Names by prefix doubling (a name of 2k words is a pair of names of
-  k words) are the subtree's nodes at these depths; an internal node of
-  depth ``width`` is a name that two windows share. Comparison is by words.
+* Suffixes are split by prefixes of variable length until a group is at most
+  ``group`` suffixes, which is a few hundred kilobytes. An anchor's gram is its
+  suffix's first prefix; one that comes once in the corpus is a leaf and is
+  dropped before any text moves. Where a prefix has more suffixes than a group
+  may hold, the suffixes of the windows themselves take its place, split by
+  the shortest of ``LONGER`` prefixes that is rare enough. Equal windows of one
+  slice are counted first, so a passage that every document holds moves once
+  a slice; what even the longest prefix does not split is grouped by
+  the whole window's words, with map-side counts.
+* A group's subtree is a suffix array with the lengths of common prefixes of
+  neighbours, both by words: its internal nodes are the runs of neighbours with
+  a common prefix, and the leaves below a node of depth ``width`` or more
+  are the places of maximal repeats.
 * Texts that are copies of one another are told apart first by digest: all but
   one stay out of the subtrees, and every window of theirs is repeated.
 
-Texts are shuffled twice (to meet their anchors, to meet their repeats);
-prefixes and windows otherwise move as fixed-size rows. A task holds one slice
-of texts or a few subtrees. Lists gathered by key are of one document.
+Texts are shuffled twice (to meet their anchors, to meet their repeats), those
+with frequent anchors a third time; prefixes and places otherwise move as
+fixed-size rows. A task holds one slice of texts or a few subtrees. Lists
+gathered by key are sets of one document's places. Places are linked to windows
+by 128-bit digests; windows are compared by words.
 """
 
 from __future__ import annotations
@@ -34,12 +40,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from marlstone.llm.text import slices, words
 from marlstone.storage import stash
 
 WIDTH = 35
 PREFIX = 16
+#: Lengths in words of the prefixes of windows under frequent anchors.
+LONGER = (20, 25, 30)
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SLICE = 1 << 20
@@ -100,12 +109,23 @@ class Scan:
         return at, best[at], grams
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """Rows with a 128-bit key of their own; repeated rows share it."""
-    rest = [F.col(c) for c in docs.columns if c != text]
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def _keyed(docs: DataFrame, text: str, rest: list[str]) -> DataFrame:
+    """``(k1, k2, text, rest)``: the other columns in one struct, out of the way of every name used here.
+
+    The 128-bit key tells texts apart and spreads copies; repeated rows share it.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    seen = [F.struct(*rest), body] if rest else [body]
-    return docs.select(*docs.columns).withColumns({"__k1": F.xxhash64(F.lit("one"), *seen), "__k2": F.xxhash64(F.lit("two"), *seen)})
+    seen = [F.col(f"`{c}`") for c in rest if _hashable(docs.schema[c].dataType)]
+    key = [F.xxhash64(F.lit(salt), body, *seen).alias(k) for salt, k in (("one", "k1"), ("two", "k2"))]
+    return docs.select(*key, F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__none")).alias("rest"))
 
 
 def _prefix_counts(texts: DataFrame, width: int) -> DataFrame:
@@ -137,15 +157,12 @@ def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("k1", "text").mapInArrow(run, "h long, k1 long, pos int")
 
 
-_SUFFIXES = "part long, hot boolean, k1 long, k2 long, pos int, n int, w1 long, w2 long, words binary"
-
+_SUFFIXES = "part long, k1 long, k2 long, pos int, n int, words binary"
+_WINDOWS = "k1 long, k2 long, pos int, w1 long, w2 long, n int, words binary, " + ", ".join(f"q{i} long" for i in range(len(LONGER)))
 
-def _suffix_rows(met: DataFrame, width: int) -> DataFrame:
-    """What goes to the subtrees: the words around each light anchor, and the windows of the heavy ones.
 
-    ``met`` has the live anchors of each text: ``light`` and ``heavy`` positions,
-    and the second half of the keys of copies that stay out.
-    """
+def _parts(met: DataFrame, schema: str, width: int, live: str, rows) -> DataFrame:
+    """``rows`` for each slice of the texts, copies that stay out excepted; ``met`` has their ``live`` anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +172,12 @@ def _suffix_rows(met: DataFrame, width: int) -> DataFrame:
                 texts = [words(x.as_py()) for x in part.column("text")]
                 scan = Scan(texts, width)
                 at, anchor, grams = scan.anchors()
-                if not len(at):
-                    continue
-                k1, k2 = (np.asarray(part.column(c)) for c in ("k1", "k2"))
-                yield from _light(part, scan, texts, at, anchor, grams, k1, k2)
-                yield from _heavy(part, scan, at, anchor, k1, k2)
+                marked = _marked(part, live, scan)
+                if len(at) and len(marked):
+                    k1, k2 = (np.asarray(part.column(c)) for c in ("k1", "k2"))
+                    yield rows(scan, texts, at, anchor, grams, marked, k1, k2)
 
-    return met.select("k1", "k2", "text", "light", "heavy", "asides").mapInArrow(run, _SUFFIXES)
+    return met.select("k1", "k2", "text", live, "asides").mapInArrow(run, schema)
 
 
 def _marked(part: pa.RecordBatch, column: str, scan: Scan) -> np.ndarray:
@@ -171,10 +187,8 @@ def _marked(part: pa.RecordBatch, column: str, scan: Scan) -> np.ndarray:
     return np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
 
 
-def _light(part, scan, texts, at, anchor, grams, k1, k2) -> Iterator[pa.RecordBatch]:
-    live = _marked(part, "light", scan)
-    if not len(live):
-        return
+def _runs(scan, texts, at, anchor, grams, live, k1, k2) -> pa.RecordBatch:
+    """The words around each anchor whose prefix is rare enough."""
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     last = np.concatenate((first[1:], [len(at)])) - 1  # a run of windows shares its anchor
     own = np.isin(anchor[first], live)
@@ -183,59 +197,90 @@ def _light(part, scan, texts, at, anchor, grams, k1, k2) -> Iterator[pa.RecordBa
     start = p0 - scan.starts[row]
     n = p1 - p0 + 1
     held = [b" ".join(texts[r][s : s + k + scan.width - 1]) for r, s, k in zip(row.tolist(), start.tolist(), n.tolist(), strict=True)]
-    none = pa.nulls(len(held), pa.int64())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(grams[a].view(np.int64)), pa.array(np.zeros(len(held), bool)), pa.array(k1[row]), pa.array(k2[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), none, none, pa.array(held, pa.binary())],
-        ["part", "hot", "k1", "k2", "pos", "n", "w1", "w2", "words"],
+    return pa.RecordBatch.from_arrays(
+        [pa.array(grams[a].view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(held, pa.binary())],
+        ["part", "k1", "k2", "pos", "n", "words"],
     )
 
 
-def _heavy(part, scan, at, anchor, k1, k2) -> Iterator[pa.RecordBatch]:
-    live = _marked(part, "heavy", scan)
-    if not len(live):
-        return
+def _windows(scan, texts, at, anchor, grams, live, k1, k2) -> pa.RecordBatch:
+    """The windows of frequent anchors: a row for each place, the words (and how many places) with the first of equal ones."""
     own = at[np.isin(anchor, live)]
     row = np.searchsorted(scan.starts, own, side="right") - 1
-    w1, w2 = (scan.rolling(scan.width, i)[own].view(np.int64) for i in (0, 1))
-    start = (own - scan.starts[row]).astype(np.int32)
-    spread = k1[row] ^ (start.astype(np.int64) * 0x5851F42D4C957F2D)  # not by window: one may be in every text
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(spread), pa.array(np.ones(len(own), bool)), pa.array(k1[row]), pa.array(k2[row]), pa.array(start), pa.array(np.ones(len(own), np.int32)), pa.array(w1), pa.array(w2), pa.nulls(len(own), pa.binary())],
-        ["part", "hot", "k1", "k2", "pos", "n", "w1", "w2", "words"],
+    start = own - scan.starts[row]
+    lengths = [n for n in LONGER if n < scan.width]
+    first: dict[bytes, int] = {}
+    node = np.array([first.setdefault(b" ".join(texts[r][s : s + scan.width]), i) for i, (r, s) in enumerate(zip(row.tolist(), start.tolist(), strict=True))], np.int64)
+    held: list[bytes | None] = [None] * len(own)
+    for w, i in first.items():
+        held[i] = w
+    digests = {i: xxhash.xxh3_128_digest(w) for w, i in first.items()}
+    links = np.frombuffer(b"".join([digests[i] for i in node.tolist()]), np.int64).reshape(-1, 2)
+    counts = np.bincount(node, minlength=len(own))
+    prefixes = [scan.rolling(n)[own].view(np.int64) for n in lengths]
+    prefixes += [links[:, 0]] * (len(LONGER) - len(lengths))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k1[row]), pa.array(k2[row]), pa.array(start.astype(np.int32)), pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy()), pa.array(counts.astype(np.int32)), pa.array(held, pa.binary()), *(pa.array(q.copy()) for q in prefixes)],
+        ["k1", "k2", "pos", "w1", "w2", "n", "words", *(f"q{i}" for i in range(len(LONGER)))],
     )
 
 
-def names(tokens: np.ndarray, width: int) -> np.ndarray:
-    """A number for each run of ``width`` tokens, equal for equal runs: prefix doubling."""
-    name, reach = tokens.astype(np.int64), 1
-    while reach < width:
-        step = min(reach, width - reach)
-        if len(name) <= step:
-            return np.empty(0, np.int64)
-        a, b = name[: len(name) - step], name[step:]
-        name = np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
-        reach += step
-    return name
+class Subtree:
+    """The suffix tree of some word sequences, as suffix array (``order``) and lengths of common prefixes (``common``).
+
+    ``common[i]`` is that of the suffixes ``order[i]`` and ``order[i + 1]``; an internal
+    node of depth ``d`` is a longest run of neighbours with ``d`` words in common.
+    """
+
+    def __init__(self, tokens: np.ndarray, most: int):
+        """``tokens`` ends each sequence with a number of its own; no sequence is longer than ``most``."""
+        # names of the runs of 1, 2, 4, ... words, numbered in their order
+        self.names = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+        reach = 1
+        while reach <= most:
+            name = self.names[-1]
+            after = np.concatenate((name[reach:] + 1, np.zeros(min(reach, len(name)), np.int64)))
+            self.names.append(np.unique(name * (int(after.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64))
+            reach *= 2
+        self.order = np.argsort(self.names[-1])  # by now all suffixes differ
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        self.common = np.zeros(len(a), np.int64)
+        for k in reversed(range(len(self.names) - 1)):
+            name = np.append(self.names[k], [-1, -2])  # suffixes that end here have nothing in common
+            same = name[np.minimum(a, len(tokens))] == name[np.minimum(b, len(tokens) + 1)]
+            step = same.astype(np.int64) << k
+            a += step
+            b += step
+            self.common += step
+
+    def deep(self, depth: int) -> np.ndarray:
+        """The suffixes below the internal nodes of at least this depth."""
+        near = np.concatenate(([False], self.common >= depth, [False]))
+        return self.order[near[1:] | near[:-1]] if len(self.order) else self.order
 
 
 def subtree_repeats(held: list[bytes], n: np.ndarray, width: int) -> np.ndarray:
-    """For each suffix's run of windows, the bits of those below an internal node of depth ``width``."""
+    """For each sequence's first ``n`` places, the bits of those below an internal node of depth ``width``."""
     known: dict[bytes, int] = {}
-    tokens = np.array([known.setdefault(w, len(known)) for w in b" ".join(held).split()], np.int64)
-    name = names(tokens, width)
     sizes = n + width - 1
-    first = np.cumsum(sizes) - sizes
-    bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    window = np.repeat(first, n) + bit
-    node, count = np.unique(name[window], return_inverse=True, return_counts=True)[1:]
-    bits = np.where(count[node] > 1, np.int64(1) << bit, 0)
-    return np.bitwise_or.reduceat(bits, np.cumsum(n) - n)
+    ends = np.cumsum(sizes + 1) - 1  # each sequence has an end of its own
+    tokens = np.empty(int(ends[-1]) + 1, np.int64)
+    inside = np.ones(len(tokens), bool)
+    inside[ends] = False
+    tokens[inside] = [known.setdefault(w, len(known)) for w in b" ".join(held).split()]
+    tokens[ends] = len(known) + np.arange(len(ends))
+    place = Subtree(tokens, int(sizes.max())).deep(width)
+    row = np.searchsorted(ends, place)
+    bit = place - (ends[row] - sizes[row])
+    bits = np.zeros(len(n), np.int64)
+    np.bitwise_or.at(bits, row, np.int64(1) << bit)  # a place of depth `width` is one of the first n
+    return bits
 
 
 def _subtrees(rows: DataFrame, width: int) -> DataFrame:
-    """Light groups become ``(k1, k2, pos, bits)``; heavy windows pass, spread evenly."""
-    dealt = rows.repartition("part").sortWithinPartitions("hot", "part")
-    columns = ["k1", "k2", "pos", "bits", "w1", "w2"]
+    """The groups' suffixes with repeats, as ``(k1, k2, pos, bits)``."""
+    dealt = rows.repartition("part").sortWithinPartitions("part")
+    columns = ["k1", "k2", "pos", "bits"]
 
     def answer(group: pa.Table) -> pa.RecordBatch | None:
         bits = subtree_repeats(group.column("words").to_pylist(), np.asarray(group.column("n")).astype(np.int64), width)
@@ -243,16 +288,13 @@ def _subtrees(rows: DataFrame, width: int) -> DataFrame:
         if not len(some):
             return None
         found = group.take(pa.array(some))
-        none = pa.nulls(len(some), pa.int64())
-        return pa.RecordBatch.from_arrays([*(found.column(c).combine_chunks() for c in columns[:3]), pa.array(bits[some]), none, none], columns)
+        return pa.RecordBatch.from_arrays([*(found.column(c).combine_chunks() for c in columns[:3]), pa.array(bits[some])], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            hot = np.asarray(batch.column("hot").to_numpy(zero_copy_only=False), bool)
-            cut = int(np.searchsorted(hot, True))  # light rows come first
-            for at in range(0, cut, 4096):
-                waiting.append(batch.slice(at, min(4096, cut - at)))
+            for at in range(0, batch.num_rows, 4096):
+                waiting.append(batch.slice(at, min(4096, batch.num_rows - at)))
                 if sum(x.num_rows for x in waiting) >= 8192:
                     # whole subtrees only: the last one may go on
                     whole = pa.Table.from_batches(waiting)
@@ -262,18 +304,29 @@ def _subtrees(rows: DataFrame, width: int) -> DataFrame:
                         if (out := answer(whole.slice(0, end))) is not None:
                             yield out
                         waiting = whole.slice(end).combine_chunks().to_batches()
-            if cut < batch.num_rows:
-                rest = batch.slice(cut)
-                yield pa.RecordBatch.from_arrays([rest.column("k1"), rest.column("k2"), rest.column("pos"), pa.array(np.ones(rest.num_rows, np.int64)), rest.column("w1"), rest.column("w2")], columns)
         if waiting and (out := answer(pa.Table.from_batches(waiting))) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "k1 long, k2 long, pos int, bits long, w1 long, w2 long")
+    return dealt.mapInArrow(run, "k1 long, k2 long, pos int, bits long")
 
 
-def repeats(keyed: DataFrame, width: int, group: int) -> DataFrame:
+def _nodes(windows: DataFrame, width: int, group: int) -> DataFrame:
+    """``(w1, w2)`` of the windows that come more than once; ``windows`` has a row a slice for each, with ``n`` places there."""
+    rest = windows
+    for i in range(len(LONGER)):
+        rest = rest.join(rest.groupBy(f"q{i}").agg(F.count("*").alias("size")).where(F.col("size") > group).select(f"q{i}", F.lit(True).alias(f"over{i}")), f"q{i}", "left")
+    part = F.lit(None).cast("long")
+    for i in reversed(range(len(LONGER))):
+        part = F.when(F.col(f"over{i}").isNull(), F.col(f"q{i}")).otherwise(part)
+    rest = rest.withColumn("part", part)
+    grouped = rest.where("part IS NOT NULL").select("part", F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.lit(0).alias("pos"), F.lit(1).alias("n"), "words")
+    deep = _subtrees(grouped, width).select(F.col("k1").alias("w1"), F.col("k2").alias("w2"))
+    saturated = rest.where("part IS NULL").groupBy("w1", "w2", "words").agg(F.sum("n").alias("n")).where("n > 1")
+    return deep.unionByName(saturated.select("w1", "w2")).unionByName(windows.where("n > 1").select("w1", "w2")).distinct()
+
+
+def repeats(texts: DataFrame, width: int, group: int) -> DataFrame:
     """``(k1, k2, whole, starts)`` of texts with repeats: runs of window starts as ``(pos, bits)``."""
-    texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text"))
     live = stash(_prefix_counts(texts, width).where("n > 1"), "prefixes")
     # copies: one of each class stands for all
     told = texts.select("k1", "k2", F.xxhash64(F.lit("one"), "text").alias("t1"), F.xxhash64(F.lit("two"), "text").alias("t2"))
@@ -281,18 +334,19 @@ def repeats(keyed: DataFrame, width: int, group: int) -> DataFrame:
     classes = stash(classes, "classes")
     copies = told.join(classes, ["t1", "t2"]).select("k1", "k2", F.lit(True).alias("whole"), (F.struct("k1", "k2") != F.col("least")).alias("aside"))
     copies = stash(copies.distinct(), "copies")
-    # live anchors of each text
-    anchors = _anchor_rows(texts, width).join(live, "h").select("k1", "pos", (F.col("n") > group).alias("heavy"))
-    lists = anchors.groupBy("k1").agg(F.collect_list(F.when(~F.col("heavy"), F.col("pos"))).alias("light"), F.collect_list(F.when(F.col("heavy"), F.col("pos"))).alias("heavy"))
-    asides = copies.where("aside").groupBy("k1").agg(F.collect_list("k2").alias("asides"))  # one, but for strangers
-    met = texts.join(lists.join(asides, "k1", "left"), "k1")
-    found = stash(_subtrees(_suffix_rows(met, width), width), "repeats")
-    light = found.where("w1 IS NULL").select("k1", "k2", "pos", "bits")
-    heavy = found.where("w1 IS NOT NULL")
-    nodes = stash(heavy.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "nodes")
-    deep = heavy.join(nodes, ["w1", "w2"], "left_semi").select("k1", "k2", "pos", "bits")
-    every = light.unionByName(deep).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "bits")).alias("starts"))
-    return every.join(copies.select("k1", "k2", "whole"), ["k1", "k2"], "full_outer")
+    # live anchors of each text; sets, for repeated rows share their key
+    anchors = _anchor_rows(texts, width).join(live, "h").select("k1", "pos", (F.col("n") > group).alias("frequent"))
+    lists = anchors.groupBy("k1").agg(F.collect_set(F.when(~F.col("frequent"), F.col("pos"))).alias("rare"), F.collect_set(F.when(F.col("frequent"), F.col("pos"))).alias("often"))
+    asides = copies.where("aside").groupBy("k1").agg(F.collect_set("k2").alias("asides"))  # one, but for strangers
+    lists = stash(lists.join(asides, "k1", "left"), "anchors")
+    met = texts.join(lists.where(F.size("rare") > 0).drop("often"), "k1")
+    found = stash(_subtrees(_parts(met, _SUFFIXES, width, "rare", _runs), width), "repeats")
+    met = texts.join(lists.where(F.size("often") > 0).drop("rare"), "k1")
+    places = stash(_parts(met, _WINDOWS, width, "often", _windows), "windows")
+    nodes = stash(_nodes(places.where("words IS NOT NULL"), width, group), "nodes")
+    deep = places.join(nodes, ["w1", "w2"], "left_semi").select("k1", "k2", "pos", F.lit(1).cast("long").alias("bits"))
+    every = found.unionByName(deep).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "bits")).alias("starts"))
+    return every.join(copies.groupBy("k1", "k2").agg(F.max("whole").alias("whole")), ["k1", "k2"], "full_outer")
 
 
 def remaining(tokens: list[bytes], starts: list[dict] | None, whole: bool, width: int) -> list[bytes]:
@@ -317,27 +371,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, grou
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Windows are judged on the input, in the
     same document too; a text under ``width`` words keeps all of them; null and
-    empty texts have none. Repeated rows are copies of each other. ``width`` is
-    at least ``PREFIX``; input columns with the new names are replaced.
+    empty texts have none; a very long text is worked on whole. Repeated rows are
+    copies of each other and have equal results, so ties need no choice. Other
+    columns of any type and name stay, but those with the names of the new
+    ones, which are replaced; no rows give no rows. ``width`` is at least
+    ``PREFIX``. ``group`` bounds a subtree's suffixes and has no effect on the result.
     """
     if not PREFIX <= width <= PREFIX + 62:
         raise ValueError(f"width must lie between {PREFIX} and {PREFIX + 62}")
     rest = [c for c in docs.columns if c not in (text, "kept", "n_words", "n_removed")]
-    keyed = _keyed(docs.select(*rest, F.col(text).alias("__text")), "__text")
-    found = repeats(keyed, width, group)
-    joined = keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*rest, "__text", "starts", F.coalesce("whole", F.lit(False)).alias("__whole"))
-    schema = docs.select(*rest).schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    texts = _keyed(docs, text, rest)
+    found = repeats(texts.select("k1", "k2", "text"), width, group)
+    joined = texts.join(found, ["k1", "k2"], "left").select("rest", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
+    schema = joined.select("rest").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", _SLICE):
+            for part in slices(batch, "text", _SLICE):
                 kept, counts, removed = [], [], []
-                for value, starts, whole in zip(part.column("__text"), part.column("starts"), part.column("__whole").to_pylist(), strict=True):
+                for value, starts, whole in zip(part.column("text"), part.column("starts"), part.column("whole").to_pylist(), strict=True):
                     tokens = words(value.as_py())
                     left = remaining(tokens, starts.as_py(), whole, width)
                     kept.append(b" ".join(left).decode("utf-8", "replace"))
                     counts.append(len(tokens))
                     removed.append(len(tokens) - len(left))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select(*(F.col("rest").getField(c).alias(c) for c in rest), "kept", "n_words", "n_removed")
