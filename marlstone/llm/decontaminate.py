@@ -4,15 +4,15 @@ Texts and items are folded to lower-case words. An item of ``m`` folded
 characters may be met with up to ``e = rate * m`` edits; cut in ``e + 1``
 pieces, at least one piece survives any such edits unchanged. All pieces go
 into one Aho-Corasick automaton, which finds the exact piece hits in one pass
-over a text; hits on the same diagonal band are merged and Myers' bit-parallel
-algorithm gives the edit distance of the item to the best passage there.
+over a text; the stretches that a passage around a hit may cover are merged, and
+Myers' bit-parallel algorithm finds the passages within budget there.
 Short items allow no edits and must begin and end at word boundaries; they are
 single pieces of the same automaton.
 
-The automaton is broadcast only where the items' total size is under
-``block_bytes``; a larger benchmark is dealt to as many blocks as needed, by a
-hash of the item, and the documents are read once for each block.
-Documents are never shuffled.
+The items are dealt to blocks of about ``block_bytes`` by a hash and written to
+the shared folder; a worker reads a block, builds its automaton once and keeps
+it for the tasks that follow. The documents are read once for each block and
+never shuffled. The driver holds no items.
 """
 
 from __future__ import annotations
@@ -23,27 +23,33 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.dataset
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.storage import discard, stash
+from marlstone.storage import discard, scratch, stash
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _lower(text: str) -> str:
+    """Lower case, code point for code point: one letter grows otherwise, one depends on its neighbours."""
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(c.lower()[0] for c in text)
+    return lower.replace("ς", "σ")
+
+
 def fold(text: str | None) -> str:
     """Lower-case words joined by single blanks."""
-    return " ".join(_WORD.findall(text.lower())) if text else ""
+    return " ".join(_WORD.findall(_lower(text))) if text else ""
 
 
 def fold_with_places(text: str) -> tuple[str, list[int], list[int]]:
     """The folded text with, for each of its words, the folded and the original start."""
     parts, here, there, at = [], [], [], 0
-    lower = text.lower()
-    if len(lower) != len(text):  # a few letters grow when lower-cased: keep one for one
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for m in _WORD.finditer(lower):
+    for m in _WORD.finditer(_lower(text)):
         parts.append(m.group())
         here.append(at)
         there.append(m.start())
@@ -58,13 +64,16 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
-    """Least edit distance of ``item`` to any substring of ``text``, and where (end, exclusive) it is met first."""
-    m = len(item)
+def myers(m: int, masks: dict[str, int], text: str, errors: int) -> tuple[int, int] | None:
+    """``(distance, end)`` of the first passage of ``text`` within ``errors`` edits of an item of ``m`` letters.
+
+    Ends of one passage lie within twice the budget of each other: of those, the
+    first with the least distance counts. None where there is no such passage.
+    """
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text):
+    best, end, stop = errors + 1, 0, len(text)
+    for j, c in enumerate(text, 1):
         eq = masks.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -79,8 +88,12 @@ def myers(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
         pv = (mh | ~(xv | ph)) & full
         mv = ph & xv & full
         if score < best:
-            best, end = score, j + 1
-    return best, end
+            if best > errors:
+                stop = j + 2 * errors
+            best, end = score, j
+        if j >= stop:
+            break
+    return (best, end) if best <= errors else None
 
 
 def letter_masks(item: str) -> dict[str, int]:
@@ -141,86 +154,110 @@ class Matcher:
                         done = end
                 continue
             while i < len(starts):
-                low = high = starts[i]
-                while i < len(starts) and starts[i] <= high + 2 * errors:
-                    high = starts[i]
+                a, b = starts[i] - errors, 0
+                while i < len(starts) and (not b or starts[i] - errors <= b):
+                    b = starts[i] + len(item) + errors
                     i += 1
-                a = max(0, low - errors, done)
-                b = min(len(folded), high + len(item) + errors)
-                for start, end, distance in _passages(item, errors, masks, folded, a, b):
+                for start, end, distance in _passages(item, errors, masks, folded, max(a, done, 0), min(b, len(folded))):
                     out.append((item_id, start, end, distance))
                     done = end
         return out
 
 
 def _passages(item: str, errors: int, masks: dict[str, int], folded: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-    """Separate passages within ``folded[a:b]``, each the best of its surroundings."""
-    step = 2 * len(item) + 2 * errors
-    while a < b:
-        if folded.startswith(item, a):
-            distance, end = 0, len(item)
-        else:
-            distance, end = myers(item, masks, folded[a : min(b, a + step)])
-        if distance <= errors:
-            back, length = myers(item[::-1], letter_masks(item[::-1]), folded[a : a + end][::-1]) if distance else (0, len(item))
-            yield a + end - length, a + end, distance
-            a += end
-        elif a + step >= b:
-            return
-        else:
-            a += step - len(item) - errors
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+    """The passages within ``folded[a:b]`` from left to right; each begins behind the one before it, and is the shortest with its end and distance."""
+    while found := myers(len(item), masks, folded[a:b], errors):
+        distance, end = found
+        end += a
+        head = folded[max(a, end - len(item) - distance) : end]
+        _, length = myers(len(item), letter_masks(item[::-1]), head[::-1], distance)
+        yield end - length, end, distance
+        a = end
+
+
+#: Names of the result's columns beside the id.
+FOUND = ("item_id", "start", "end", "distance")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
     """``(id, item_id, start, end, distance)`` for every passage of ``docs`` within an item's edit budget.
 
     ``start`` and ``end`` are code points of the original text (of the first
-    word and of the first word after the passage, or the text's end).
+    word and of the first word after the passage, or the text's end). Passages of
+    an item do not overlap: they are taken from left to right, each the best of
+    the ends within twice the budget behind the first that is within it (the
+    first of equally good ones, and the shortest with that end).
+
     Items with fewer than ``least_chars`` folded characters have no edit budget
     and are met only from word boundary to word boundary (at any code point in
-    scripts without blanks); items without words and null items are left out;
-    null and empty texts match nothing; repeated rows are each reported; no documents or no items
-    give no rows.
+    scripts without blanks). Items without words and null items are left out;
+    null and empty texts match nothing; very long texts are searched whole;
+    repeated rows, and items with equal texts, are each reported; null ids stay
+    null; no documents or no items give no rows. Other columns are left out. An
+    id column that is called like one of the result's others is returned as ``doc_id``.
     """
-    schema = docs.select(id).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
-    found = None
-    for shared in _blocks(benchmark, item_id, item_text, block_bytes):
-        part = docs.select(id, F.col(text).alias("text")).mapInArrow(_searcher(shared, rate, least_chars, id), schema)
-        found = part if found is None else found.unionByName(part)
+    name = "doc_id" if id in FOUND else id
+    part = docs.select(F.col(id).alias(name), F.col(text).alias("__text"))
+    schema = part.select(name).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
+    found = docs.sparkSession.createDataFrame([], schema)
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+        own = part.mapInArrow(_searcher(block, rate, least_chars, schema.fieldNames()), schema)
+        found = found.unionByName(own) if n else own
     return found
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` that hold no passage that :func:`matches` would report.
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no passage that :func:`matches` would report, with all their columns.
 
-    Each row is judged by its own text, so ids do not matter. Past the first
-    block of the benchmark, what is left is written before the next block is tried.
+    Each row is judged by its own text, so ids do not matter; null and empty
+    texts stay. Past the first block of the benchmark, what is left is written
+    before the next block is tried.
     """
     left, written = docs, None
-    for n, shared in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         if n:
             before, written = written, stash(left, "clean")
             left = written
             if before is not None:
                 discard(before)
-        left = left.mapInArrow(_keeper(shared, rate, least_chars, text), docs.schema)
+        left = left.mapInArrow(_keeper(block, rate, least_chars, docs.columns.index(text)), docs.schema)
     return left
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
-    """The folded items, dealt to blocks of at most about ``block_bytes``."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[str]:
+    """The folders of the blocks of items."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text <> ''")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = [(r.item, x) for r in own.distinct().collect() if (x := fold(r.text))]  # at most about block_bytes
-        yield benchmark.sparkSession.sparkContext.broadcast(rows)
+    blocks = math.ceil(total / block_bytes)
+    if not blocks:
+        return []
+    path = scratch(spark, "benchmark")
+    dealt = items.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={i}" for i in range(blocks)]
+
+
+_KEPT: dict[tuple[str, float, int], Matcher] = {}
+
+
+def _matcher(block: str, rate: float, least_chars: int) -> Matcher:
+    """This worker's matcher of a block; it keeps one."""
+    key = (block, rate, least_chars)
+    if key not in _KEPT:
+        _KEPT.clear()
+        system, path = fs.FileSystem.from_uri(block)
+        rows: list[tuple[int, str]] = []
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            found = pyarrow.dataset.dataset(path, filesystem=system, format="parquet").to_table(["item", "text"])
+            rows = [(i, x) for i, t in zip(*(found.column(c).to_pylist() for c in ("item", "text")), strict=True) if (x := fold(t))]
+        _KEPT[key] = Matcher(rows, rate, least_chars)
+    return _KEPT[key]
 
 
-def _keeper(shared: Broadcast, rate: float, least_chars: int, text: str):
+def _keeper(block: str, rate: float, least_chars: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate, least_chars)
+        matcher = _matcher(block, rate, least_chars)
         for batch in batches:
             clean = [not value or not matcher.search(fold(value)) for value in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -228,12 +265,12 @@ def _keeper(shared: Broadcast, rate: float, least_chars: int, text: str):
     return run
 
 
-def _searcher(shared, rate: float, least_chars: int, id: str):
+def _searcher(block: str, rate: float, least_chars: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate, least_chars)
+        matcher = _matcher(block, rate, least_chars)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, value in enumerate(batch.column("text").to_pylist()):
+            for i, value in enumerate(batch.column(1).to_pylist()):
                 if not value:
                     continue
                 hits = matcher.search(fold(value))
@@ -246,7 +283,7 @@ def _searcher(shared, rate: float, least_chars: int, id: str):
                     for column, x in zip(rows, (i, item, there[first], there[after] if after < len(there) else len(value), distance), strict=True):
                         column.append(x)
             ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rows[1:4]), pa.array(rows[4], pa.int32())], [id, "item_id", "start", "end", "distance"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rows[1:4]), pa.array(rows[4], pa.int32())], names)
 
     return run
 

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from marlstone.llm import decontaminate, pii, queries, sharding
+from tests.llm.test_decontaminate import brute_passages, edit
 from tests.llm.test_secrets import plain_base
 
 SF = "/root/testdata/sf0.001"
@@ -100,14 +101,24 @@ def test_op5(spark, docs):
 
 
 def test_op7(spark, docs):
-    items = [(i, decontaminate.fold(t)) for i, t in rows("benchmark", "item_id", "text")]
-    exact = {(d, i) for d, t in docs for i, f in items if len(f) >= 24 and f in decontaminate.fold(t)}
+    """All passages, edited ones too, against the full table of distances over whole folded texts."""
+    items = [(i, f) for i, t in rows("benchmark", "item_id", "text") if (f := decontaminate.fold(t))]
+    want = set()
+    for d, t in docs:
+        folded = decontaminate.fold(t)
+        grams = {folded[k : k + 6] for k in range(len(folded))}
+        for i, f in items:
+            errors = int(0.08 * len(f)) if len(f) >= 24 else 0
+            # an edit spoils at most six of an item's six-letter pieces: too few of them, no passage
+            if len(f) < 24 or sum(f[k : k + 6] in grams for k in range(len(f) - 5)) >= len(f) - 5 - 6 * errors:
+                found = brute_passages(f, errors, folded) if errors else []
+                want |= {(d, i, n) for *_, n in found} if errors else {(d, i, 0)} if f" {f} " in f" {folded} " else set()
     got = queries.QUERIES["op7_decontamination"](spark, SF).collect()
-    assert exact <= {(r.doc_id, r.item_id) for r in got} and exact
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and want
     texts, folded = dict(docs), dict(items)
     for r in got:
-        f = folded[r.item_id]
-        assert decontaminate.myers(f, decontaminate.letter_masks(f), decontaminate.fold(texts[r.doc_id]))[0] <= int(0.08 * len(f))
+        own = decontaminate.fold(texts[r.doc_id][r.start : r.end])
+        assert edit(folded[r.item_id], own) == r.distance
 
 
 def test_op8(spark, docs):
