@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, pii, quality, simhash
-from marlstone.llm.queries import packed
+from marlstone.llm.queries import DEMONSTRATION_KEY, packed
 from marlstone.storage import stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms of their format."""
-    return pii.pseudonyms(docs, pii.session_key(spark), counts=False).select(docs.columns)
+    return pii.pseudonyms(docs, pii.session_key(spark, DEMONSTRATION_KEY), counts=False).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

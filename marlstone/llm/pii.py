@@ -5,13 +5,18 @@ of hosts, social security numbers), dates and mail addresses are found in whole
 texts and replaced by a keyed permutation of the values of their own format.
 The permutation is a Feistel network over pairs of residues with cycle walking,
 so it is a bijection: equal values get equal pseudonyms in every document,
-different values different ones, and whoever holds the key can go back.
+different values different ones, and whoever holds the key can go back. A value
+is what it says, not how it is spelled: a day has one pseudonym in every notation, a
+mail address in upper and lower case, a number with and without its separators, a
+telephone number's digits with and without the country.
 Only where a rejected candidate overlaps a value, and the usual pseudonym would
 make that candidate valid, another pseudonym is taken, so that going back works.
 Check digits are computed anew, so a pseudonym passes the validation of its kind.
 
 One pass over the rows in Arrow batches, no shuffle; the state is one key.
-Null texts stay null, empty ones empty; repeated rows are treated alike.
+Null texts stay null, empty ones empty, very long ones are worked on whole;
+repeated rows are treated alike; of candidates at one place the first kind
+of ``KINDS`` that is valid counts; no rows give no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -92,12 +97,19 @@ def _card(p: Feistel, s: str, back: bool) -> str | None:
 
 
 def _phone(p: Feistel, s: str, back: bool) -> str | None:
+    """The country's digits stay; without separators only that of the one-digit country with ten digits more is known."""
     d = re.sub(r"\D", "", s)
-    country = re.match(r"\+\d{1,3}(?=[ .(-])|", s).group()[1:] if s.startswith("+") else ""
+    apart = re.match(r"\+(\d{1,3})(?=[ \n.(-])", s)
+    unknown = s.startswith("+") and not apart
+    country = apart[1] if apart else "1" if unknown and len(d) == 11 and d[0] == "1" else ""
     local = d[len(country) :]
     if not 7 <= len(local) <= 12:
         return None
-    return _refill(s, country + _digits(p, f"phone{country}/{len(local)}", local, back))
+    tweak = f"phone{len(local)}"
+    new = _digits(p, tweak, local, back)
+    while unknown and not country and len(d) == 11 and new[0] == "1":  # else its country would be read from it
+        new = _digits(p, tweak, new, back)
+    return _refill(s, country + new)
 
 
 def _ip(p: Feistel, s: str, back: bool) -> str | None:
@@ -142,12 +154,12 @@ def _spell(p: Feistel, tweak: str, s: str, back: bool) -> str:
 
 
 def _iban(p: Feistel, s: str, back: bool) -> str | None:
-    flat = s.replace(" ", "")
+    flat = re.sub(r"\s", "", s)
     if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
         return None
     body = _spell(p, f"iban{flat[:2]}", flat[4:], back)
     whole = iter(flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02}" + body)
-    return "".join(c if c == " " else next(whole) for c in s)
+    return "".join(c if c.isspace() else next(whole) for c in s)
 
 
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
@@ -164,7 +176,7 @@ def _date(p: Feistel, s: str, back: bool) -> str | None:
         return None
     if not 0 <= n < _DAYS:
         return None
-    day = dt.date.fromordinal(_FIRST + p.permute(order.encode(), n, _DAYS, back))
+    day = dt.date.fromordinal(_FIRST + p.permute(b"date", n, _DAYS, back))
     value = {"y": f"{day.year:04}", "m": f"{day.month:02}", "d": f"{day.day:02}"}
     return sep.join(value[x] for x in order)
 
@@ -172,26 +184,28 @@ def _date(p: Feistel, s: str, back: bool) -> str | None:
 def _email(p: Feistel, s: str, back: bool) -> str | None:
     local, _, domain = s.rpartition("@")
     host, dot, top = domain.rpartition(".")
-    return _spell(p, "mail", local, back) + "@" + _spell(p, "host", host, back) + dot + top
+    new = _spell(p, "mail", local.lower(), back) + "@" + _spell(p, "host", host.lower(), back)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, s, strict=False)) + dot + top
 
 
 #: What is tried at a place, in this order. A candidate that fails its kind's validation hides nothing: the kinds after it are tried at its place, then all of them at the places within it.
 _FOUND: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "email": (r"(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
+    "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?:[ \n]?[A-Z0-9]{4}){2,7}(?:[ \n]?[A-Z0-9]{1,4})?(?!\w)", _iban),
     "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?=T\d)|(?![\w/-]))", _date),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    "card": (r"(?<![\w-])(?:\d{13,19}|(?:\d{4} ){3}\d{4}|(?:\d{4}-){3}\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])", _card),
+    "card": (r"(?<![\w-])(?:\d{13,19}|(?:\d{4}[ \n]){3}\d{4}|(?:\d{4}-){3}\d{4}|\d{4}[ \n]\d{6}[ \n]\d{5}|\d{4}-\d{6}-\d{5})(?![\w-])", _card),
     "phone": (
-        r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+        r"(?<![\w+])(?:(?:\+\d{1,3}[ \n.-]?)?\(\d{2,4}\)[ \n.-]?\d{3,4}[ \n.-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
         _phone,
     ),
 }
 _ONE = {k: re.compile(pattern, re.ASCII) for k, (pattern, _) in _FOUND.items()}
 _ALL = re.compile("|".join(f"(?P<{k}>{pattern})" for k, (pattern, _) in _FOUND.items()), re.ASCII)
-#: Runs of tokens that hold a digit or an at-sign (or the letter groups of an account number): only these are searched.
-_REGION = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: (?:[A-Z]{4} )?[^\s0-9@]*[0-9@]\S*)*")
+#: Where candidates lie: each token of one holds a digit or an at-sign, or is a letter group of an account number; between tokens is one blank or line end.
+_TOKEN = r"[^\s0-9@]*[0-9@]\S*"
+_REGION = re.compile(rf"(?<!\S){_TOKEN}(?:[ \n](?:[A-Z]{{1,4}}(?![A-Za-z0-9_])\S*|{_TOKEN}))*")
 
 
 #: More characters than any candidate that can fail has, with what it looks at beyond its end.
@@ -214,7 +228,7 @@ def _valid(p: Feistel, m: re.Match[str], kind: str, back: bool) -> tuple[int, st
         new = _FOUND[kind][1](p, s, back)
         if new is not None:
             return m.start() + len(s), new
-        s = s.rpartition(" ")[0] if kind == "iban" else ""  # the words after the number may look like its groups
+        s = re.split(r"[ \n](?=[^ \n]*\Z)", s)[0] if kind == "iban" and re.search("[ \n]", s) else ""  # the words after the number may look like its groups
     return None
 
 
@@ -326,6 +340,9 @@ def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", counts: bool = T
     return docs.select(columns).mapInArrow(run, schema)
 
 
-def session_key(spark: SparkSession) -> bytes:
-    """The key that the session names in ``spark.marlstone.pii.key``; a fixed demonstration key where it names none."""
-    return spark.conf.get("spark.marlstone.pii.key", "demonstration key, not a secret").encode()
+def session_key(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The key that the session names in ``spark.marlstone.pii.key``, else ``default``; an error where there is neither."""
+    named = spark.conf.get("spark.marlstone.pii.key", None)
+    if not named and not default:
+        raise ValueError("spark.marlstone.pii.key must name a key")
+    return named.encode() if named else default

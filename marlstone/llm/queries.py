@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from marlstone.llm import decontaminate, packing, pii, quality, secrets, sharding, simhash, simple8b, substring, warc
 from marlstone.storage import table
 
+#: For the registered query and the pipeline where the session names no key: anyone can undo these pseudonyms.
+DEMONSTRATION_KEY = b"demonstration key, not a secret"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -76,7 +79,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonyms(docs, pii.session_key(spark))
+    return pii.pseudonyms(docs, pii.session_key(spark, DEMONSTRATION_KEY))
 
 
 @query

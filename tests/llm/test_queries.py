@@ -72,7 +72,7 @@ def test_op3(spark):
 
 
 def test_op4(spark, docs):
-    p = pii.Feistel(pii.session_key(spark))
+    p = pii.Feistel(queries.DEMONSTRATION_KEY)
     got = {r.doc_id: r for r in queries.QUERIES["op4_pii_pseudonyms"](spark, SF).collect()}
     planted = re.compile(r"[a-z]+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b")
     for d, t in docs:
@@ -187,7 +187,7 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in unique} == least and len(unique) == len(least) < len(cleaned)
     leaks = {r.doc_id for r in decontaminate.matches(steps[2], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean} == {r.doc_id for r in unique} - leaks and leaks
-    p = pii.Feistel(pii.session_key(spark))
+    p = pii.Feistel(queries.DEMONSTRATION_KEY)
     assert {r.doc_id: r.text for r in private} == {r.doc_id: pii.pseudonymise(r.text, p)[0] for r in clean}
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     packs(whole, [(r.doc_id, r.text) for r in private], packed)
