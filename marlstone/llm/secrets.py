@@ -6,9 +6,11 @@ counts: each step adds one character, drops one and updates the Shannon entropy
 and the window's character class from the two alone. Every window's entropy is
 held against the limit of its own class (digits, hexadecimal, one case with
 digits, base 64); one window that reaches it is enough. An allow-list
-suppresses well-known harmless forms. One pass in Arrow batches.
+suppresses well-known harmless forms. One pass in Arrow batches, no shuffle.
 
-Null texts count as empty; repeated rows are reported alike; no rows give no rows.
+Null and empty texts have no spans; very long texts are scanned whole; repeated
+rows are reported alike; spans with one start are in the order of ``KINDS``; no
+rows give no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
 
+_LOW = "bcdfghjklmnpqrstvwxz"
 #: What is never a secret by entropy alone.
 ALLOWED = (
-    r"[A-Za-z]+",  # words, however long
+    # words, also joined by marks or by capitals: no six consonants of one case in a row, and not two parts between capitals that are one letter or without a vowel
+    rf"(?!.*(?:[{_LOW}]{{6}}|[{_LOW.upper()}]{{6}}))(?!(?:.*?(?:[A-Z][a-z](?=[A-Z])|[A-Z][{_LOW}]+(?=[A-Z]|\Z)|(?<![A-Za-z])[{_LOW}]+(?=[A-Z]))){{2}})[A-Za-z]+(?:[-_/.=+][A-Za-z]+)*",
     r"[0-9]+",
-    r"[A-Za-z]+(?:[-_/.=+][A-Za-z]+)*",  # words joined by marks
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
     r"(?:https?|ftp)[:=/].*",
     r"[0-9T:.+-]+Z?",  # times
@@ -143,27 +146,41 @@ def entropy_spans(text: str, limits: Entropy, allowed: re.Pattern[str]) -> list[
     return found
 
 
+def _outside(more: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of ``more`` that lie within no span of ``base``; both are in order of their starts."""
+    out, k, reach = [], 0, -1
+    for x in more:
+        while k < len(base) and base[k][0] <= x[0]:
+            reach = max(reach, base[k][1])
+            k += 1
+        if x[1] > reach:
+            out.append(x)
+    return out
+
+
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", limits: Entropy = Entropy()) -> DataFrame:
     """``(id, spans array<struct<kind, start, end>>)``: one row per input row, code points, end exclusive.
 
+    An id column called ``spans`` is returned as ``doc_id``.
+
     Spans of different kinds may overlap; an entropy span within a span of a
     fixed kind adds nothing and is left out.
     """
-    schema = docs.select(id).schema
+    part = docs.select(F.col(id).alias("doc_id" if id == "spans" else id), F.col(text).alias("__text"))
+    schema = part.select(part.columns[0]).schema
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = re.compile("|".join(f"(?:{x})" for x in limits.allowed)) if limits.allowed else re.compile(r"(?!)")
         for batch in batches:
             rows = []
-            for value in batch.column("__text").to_pylist():
+            for value in batch.column(1).to_pylist():
                 base = base_spans(value) if value else []
                 more = entropy_spans(value, limits, allowed) if value else []
-                more = [x for x in more if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
-                every = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
+                every = sorted(base + _outside(more, base), key=lambda x: (x[0], KINDS.index(x[2])))
                 rows.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], [schema.fieldNames()[0], "spans"])
 
     out = schema.add("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])))
-    return docs.select(id, F.col(text).alias("__text")).mapInArrow(run, out)
+    return part.mapInArrow(run, out)
 

@@ -39,4 +39,28 @@ def test_every_window_is_held_against_its_own_class():
 
 def test_secrets_without_a_digit_are_candidates():
     assert secrets.entropy_spans("key qWe/+RtYuIoP/+AsDfGhJkL here", LIMITS, ALLOWED) == [(4, 27, "entropy")]
+    assert secrets.entropy_spans("qWzXvBnMkLpOiUyTrEdFgHjKaSdQeRtY", LIMITS, ALLOWED) == [(0, 32, "entropy")]
+    assert secrets.entropy_spans("wqxzvkjhtrbplmnoiuyegsdf", LIMITS, ALLOWED) == [(0, 24, "entropy")]
+    assert secrets.entropy_spans("aVeryLongHttpServletRequestWrapperFactory thequickbrownfoxjumpsoverthelazydogs", LIMITS, ALLOWED) == []
     assert secrets.entropy_spans("some-long-identifier-of-words and Antidisestablishmentarianism", LIMITS, ALLOWED) == []
+
+
+def test_most_random_letters_are_found():
+    rng = random.Random(7)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32)) for _ in range(300)]
+    assert sum(bool(secrets.entropy_spans(k, LIMITS, ALLOWED)) for k in keys) > 285
+
+
+def test_spans_within_fixed_kinds_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(2000):
+        base = sorted((a, a + rng.randrange(1, 12), "hex") for a in (rng.randrange(40) for _ in range(rng.randrange(6))))
+        more = sorted((a, a + rng.randrange(1, 9), "entropy") for a in (rng.randrange(40) for _ in range(rng.randrange(6))))
+        assert secrets._outside(more, base) == [x for x in more if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+
+
+def test_a_long_text_of_spans_is_linear(spark):
+    text = "0123456789abcdef01234567 q7Zp0Lx3Vt9Kc2Nw8Rb5Hs1Y " * 20_000
+    df = spark.createDataFrame([(1, text), (2, None)], "spans long, text string")
+    got = {r.doc_id: len(r.spans) for r in secrets.scan(df, id="spans").collect()}
+    assert got == {1: 40_000, 2: 0}
