@@ -62,12 +62,13 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) ->
     """``df`` with ``slot`` and ``shard``; no shuffle.
 
     Rows with equal keys (repeated rows, null keys, which count as empty
-    strings) share a shard; columns of ``df`` with the new names are replaced;
-    no rows give no rows.
+    strings) share a shard, however long the key is; no rows give no rows.
+    Other columns stay, whatever their names; columns called ``slot`` and ``shard``,
+    the key too, are replaced.
     """
-    spark = df.sparkSession
     held = table_of(shards, slots)
-    rest = df.drop("slot", "shard") if key not in ("slot", "shard") else df
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(held.tolist())], "__slot int, shard string")
-    placed = rest.withColumn("slot", slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(lookup), F.col("slot") == F.col("__slot")).drop("__slot")
+    lookup = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(held.tolist())], "slot int, shard string")
+    rest = [c for c in df.columns if c not in ("slot", "shard")]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__none")).alias("row")  # no name clashes in the join
+    placed = df.select(row, slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(lookup), "slot")
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in rest), "slot", "shard")

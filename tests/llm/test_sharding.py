@@ -43,3 +43,12 @@ def test_place(spark):
     held = sharding.table_of(["a", "b", "c"], 101)
     assert all("abc"[held[r.slot]] == r.shard for r in rows)
     assert sharding.place(df.limit(0), "id", ["a"]).count() == 0
+
+
+def test_place_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, "k"), (None, "b", 6, None)], "slot long, __slot string, row int, shard string")
+    got = sharding.place(df, "slot", ["a", "b", "c"], 101)
+    assert got.columns == ["__slot", "row", "slot", "shard"] and sorted((r[0], r[1]) for r in got.collect()) == [("a", 5), ("b", 6)]
+    by_shard = {r.row: r.slot for r in sharding.place(df, "shard", ["a", "b"], 101).collect()}
+    want = sharding.place(df.withColumnRenamed("shard", "key"), "key", ["a", "b"], 101).collect()
+    assert by_shard == {r.row: r.slot for r in want}
