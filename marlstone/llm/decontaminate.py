@@ -28,6 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.text import apart
 from marlstone.storage import discard, scratch, stash
 
 _WORD = re.compile(r"[^\W_]+")
@@ -196,7 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     null; no documents or no items give no rows. Other columns are left out. An
     id column that is called like one of the result's others is returned as ``doc_id``.
     """
-    name = "doc_id" if id in FOUND else id
+    name = apart(id, FOUND)
     part = docs.select(F.col(id).alias(name), F.col(text).alias("__text"))
     schema = part.select(name).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
     found = docs.sparkSession.createDataFrame([], schema)

@@ -8,7 +8,9 @@ one sort of a document's three-word windows.
 
 Defined cases: a null text counts as empty; a text without words has all
 figures zero and is rejected; blank lines are neither counted nor removed;
-repeated rows are judged alike and separately; other columns pass through.
+repeated rows are judged alike and separately; very long texts are judged whole;
+no rows give no rows; other columns pass through. A text's three-word windows
+are told apart by their 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from marlstone.llm.text import apart
+
 #: The kinds in their order, their patterns and least lengths (of group 2 for assignments).
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -166,7 +168,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", limits: Entrop
     Spans of different kinds may overlap; an entropy span within a span of a
     fixed kind adds nothing and is left out.
     """
-    part = docs.select(F.col(id).alias("doc_id" if id == "spans" else id), F.col(text).alias("__text"))
+    part = docs.select(F.col(id).alias(apart(id, ("spans",))), F.col(text).alias("__text"))
     schema = part.select(part.columns[0]).schema
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.text import words
+from marlstone.llm.text import apart, words
 from marlstone.storage import stash
 
 SHINGLE = 4
@@ -66,12 +66,14 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*rest, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of both sides and, for each, the smallest position it is linked to in this cell."""
-    values = np.concatenate((left, right))
+def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of both sides (or of one, against itself) and, for each, the smallest position it is linked to in this cell."""
+    alone = right is None
+    right = left if alone else right
+    values = left if alone else np.concatenate((left, right))
     label = np.arange(len(values))
     sides = []
-    for base, side in ((0, left), (len(left), right)):
+    for base, side in ((0, left), (0 if alone else len(left), right)):
         count = np.bitwise_count(side)
         order = np.argsort(count, kind="stable")
         sides.append((side[order], count[order].astype(np.int64), order + base))
@@ -80,6 +82,7 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
         low, high = ca[i], ca[min(i + _ROWS, len(a)) - 1]
         # only tiles of the other side within the radius of these counts
         first, last = np.searchsorted(cb, low - radius), np.searchsorted(cb, high + radius, side="right")
+        first = max(first, i) if alone else first  # the pairs before were met from the other side
         for j in range(first, last, _COLS):
             to = min(j + _COLS, last)
             x, y = np.nonzero(np.bitwise_count(a[i : i + _ROWS, None] ^ b[None, j:to]) <= radius)
@@ -114,7 +117,7 @@ def links(distinct: DataFrame, radius: int, groups: int) -> DataFrame:
         i, j = key
         fp, g = pdf["fp"].to_numpy().view(np.uint64), pdf["g"].to_numpy()
         left = fp[g == i]
-        values, label, moved = _forest(left, fp[g == j] if i != j else left, radius)
+        values, label, moved = _forest(left, fp[g == j] if i != j else None, radius)
         signed = values.view(np.int64)
         return pd.DataFrame({"a": signed[moved], "b": signed[label[moved]]})
 
@@ -127,12 +130,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     Texts without words (null, empty, blank) have fingerprint zero and are
     linked like any other. Repeated rows stay and share a component; a null id
     is kept and counts as a member, and where a component has no other id its
-    component_id is null. No rows give no rows.
+    component_id is null. Very long texts are read whole. No rows give no rows.
+    Other columns are left out; an id column with the name of one of the columns
+    used here is returned as ``doc_id``.
 
     ``groups`` follows from the number of distinct fingerprints, between the two
     bounds; past ``most_groups * per_group`` values the groups grow instead.
     """
-    rows = stash(fingerprints(docs.select(id, text), text), "fingerprints")
+    name = apart(id, ("fp", "component_id", "least_id", "root", "node"))
+    docs = docs.select(F.col(id).alias(name), F.col(text).alias("__text"))
+    id = name
+    rows = stash(fingerprints(docs, "__text"), "fingerprints")
     classes = stash(rows.groupBy("fp").agg(F.min(id).alias("least_id")), "classes")
     n = classes.count()
     groups = max(least_groups, min(most_groups, -(-n // per_group)))

@@ -40,10 +40,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from marlstone.llm.text import slices, words
-from marlstone.storage import stash
+from marlstone.llm.text import hashable, slices, words
+from marlstone.storage import discard, stash
 
 WIDTH = 35
 PREFIX = 16
@@ -109,21 +108,13 @@ class Scan:
         return at, best[at], grams
 
 
-def _hashable(kind: DataType) -> bool:
-    if isinstance(kind, ArrayType):
-        return _hashable(kind.elementType)
-    if isinstance(kind, StructType):
-        return all(_hashable(f.dataType) for f in kind.fields)
-    return not isinstance(kind, (MapType, VariantType))
-
-
 def _keyed(docs: DataFrame, text: str, rest: list[str]) -> DataFrame:
     """``(k1, k2, text, rest)``: the other columns in one struct, out of the way of every name used here.
 
     The 128-bit key tells texts apart and spreads copies; repeated rows share it.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    seen = [F.col(f"`{c}`") for c in rest if _hashable(docs.schema[c].dataType)]
+    seen = [F.col(f"`{c}`") for c in rest if hashable(docs.schema[c].dataType)]
     key = [F.xxhash64(F.lit(salt), body, *seen).alias(k) for salt, k in (("one", "k1"), ("two", "k2"))]
     return docs.select(*key, F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__none")).alias("rest"))
 
@@ -339,10 +330,13 @@ def repeats(texts: DataFrame, width: int, group: int) -> DataFrame:
     lists = anchors.groupBy("k1").agg(F.collect_set(F.when(~F.col("frequent"), F.col("pos"))).alias("rare"), F.collect_set(F.when(F.col("frequent"), F.col("pos"))).alias("often"))
     asides = copies.where("aside").groupBy("k1").agg(F.collect_set("k2").alias("asides"))  # one, but for strangers
     lists = stash(lists.join(asides, "k1", "left"), "anchors")
+    discard(live)
+    discard(classes)
     met = texts.join(lists.where(F.size("rare") > 0).drop("often"), "k1")
     found = stash(_subtrees(_parts(met, _SUFFIXES, width, "rare", _runs), width), "repeats")
     met = texts.join(lists.where(F.size("often") > 0).drop("rare"), "k1")
     places = stash(_parts(met, _WINDOWS, width, "often", _windows), "windows")
+    discard(lists)
     nodes = stash(_nodes(places.where("words IS NOT NULL"), width, group), "nodes")
     deep = places.join(nodes, ["w1", "w2"], "left_semi").select("k1", "k2", "pos", F.lit(1).cast("long").alias("bits"))
     every = found.unionByName(deep).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "bits")).alias("starts"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def words(text: str | None) -> list[bytes]:
@@ -26,3 +27,17 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def hashable(kind: DataType) -> bool:
+    """Whether Spark's hash functions take values of this type."""
+    if isinstance(kind, ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def apart(id: str, taken: tuple[str, ...]) -> str:
+    """The name of an id column in a result with other columns of these names."""
+    return "doc_id" if id in taken else id
