@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
+from marlstone.llm.text import apart
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,9 @@ def pack_examples(examples: DataFrame, n_tokens: str, n_loss: str, limits: Limit
     """``examples`` with ``sequence_id`` and ``offset``: uncut examples of instruction data under the three limits.
 
     Null counts are zero; an example that is over a limit by itself has a
-    sequence of its own; repeated rows are packed one by one.
+    sequence of its own; repeated rows are packed one by one; of equal demands
+    the one that waited in the lowest place goes first; no rows give no rows.
+    Other columns stay; those with the new names are replaced.
     """
     columns = [c for c in examples.columns if c not in ("sequence_id", "offset")]
     schema = examples.select(columns).schema.add("sequence_id", "long").add("offset", "long")
@@ -147,7 +150,7 @@ def pack_examples(examples: DataFrame, n_tokens: str, n_loss: str, limits: Limit
 
         for batch in batches:
             placed: list[tuple[Piece, int, int]] = []
-            n, loss = (batch.column(c).to_pylist() for c in ("__tokens", "__loss"))
+            n, loss = (batch.column(len(columns) + k).to_pylist() for k in range(2))
             for i in range(batch.num_rows):
                 placed += packer.add(Piece(i, 0, n[i], loss[i], batch.slice(i, 1)))
             yield from rows(placed)
@@ -162,9 +165,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_
     A document is its token ids and ``end_id`` (alone, for a null or empty
     text); ``ids`` are a piece's ids as little-endian unsigned 32-bit integers.
     Each id lies in exactly one piece; pieces lie in a sequence without gaps.
-    Repeated rows are documents of their own.
+    Very long texts are packed whole; repeated rows are documents of their own;
+    no rows give no rows. Other columns are left out; an id column with the name
+    of another of the result's is returned as ``doc_id``.
     """
-    schema = docs.select(id).schema
+    name = apart(id, ("start", "length", "ids", "doc_tokens", "sequence_id", "offset"))
+    part = docs.select(F.col(id).alias(name), F.col(text).alias("__text"))
+    schema = part.select(name).schema
     for c, t in (("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.add(c, t)
     last = np.array([end_id], "<u4").tobytes()
@@ -173,7 +180,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_
         base = TaskContext.get().partitionId() << 40
         encoder = tokens.encoder(tokenizer)
         packer = Packer(limits, cut=True)
-        key = schema.fieldNames()[0]
         key_type: list[pa.DataType] = []
         placed: list[tuple] = []
 
@@ -190,7 +196,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_
 
         for batch in batches:
             key_type[:] = [batch.column(0).type]
-            for doc, value in zip(batch.column(key).to_pylist(), batch.column("__text"), strict=True):
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoder.ids(value.as_py()) + last
                 place(packer.add(Piece(0, 0, len(ids) // 4, len(ids) // 4 - 1, (doc, ids))))
                 if len(placed) >= 4096:
@@ -199,4 +205,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_
         if placed:
             yield rows()
 
-    return docs.select(id, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return part.mapInArrow(run, schema)
+
+
+def conversation_tokens(turns: DataFrame, tokenizer: str, end_id: int, id: str = "conv_id", role: str = "role", text: str = "text", taught: str = "assistant") -> DataFrame:
+    """``(conv_id, n_tokens, n_loss)``: the ids of each conversation, ``end_id`` after every turn, and how many of them bear loss.
+
+    Loss lies on the turns of ``taught`` alone. Null texts are empty; rows with a
+    null id are one conversation; repeated turns count each. Sums are built map-side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.encoder(tokenizer)
+        for batch in batches:
+            n = [len(encoder.ids(x.as_py())) // 4 + 1 for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], fields)
+
+    part = turns.select(F.col(id).alias("conv_id"), F.col(text).alias("text"), F.coalesce(F.col(role) == taught, F.lit(False)).alias("taught"))
+    schema = part.select("conv_id").schema.add("n", "long").add("taught", "boolean")
+    fields = schema.fieldNames()
+    counted = part.mapInArrow(run, schema)
+    return counted.groupBy("conv_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("taught"), F.col("n")).otherwise(0)).alias("n_loss"))

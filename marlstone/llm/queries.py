@@ -17,6 +17,8 @@ from marlstone.storage import table
 #: For the registered query and the pipeline where the session names no key: anyone can undo these pseudonyms.
 DEMONSTRATION_KEY = b"demonstration key, not a secret"
 
+CONVERSATION_LIMITS = packing.Limits(tokens=2048, segments=6, loss=1024)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -99,6 +101,13 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data under three limits that all bind: tokens, segments, and tokens of the assistant's turns."""
+    found = packing.conversation_tokens(table(spark, sf_dir, "conversations"), "byte_bpe_50k.json", end_id=50256)
+    return packing.pack_examples(found, "n_tokens", "n_loss", CONVERSATION_LIMITS)
+
+
 @query
 def op8_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")

@@ -170,6 +170,27 @@ def test_op10(spark, docs):
     assert packs(whole, docs, df.collect()) <= df.rdd.getNumPartitions()
 
 
+def test_pack_conversations(spark):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = defaultdict(lambda: [0, 0])
+    for c, role, t in rows("conversations", "conv_id", "role", "text"):
+        n = len(whole.encode(t or "", add_special_tokens=False).ids) + 1
+        want[c][0] += n
+        want[c][1] += n * (role == "assistant")
+    got = queries.QUERIES["pack_conversations"](spark, SF).collect()
+    assert {r.conv_id: [r.n_tokens, r.n_loss] for r in got} == want and len(got) == len(want)
+    limits = queries.CONVERSATION_LIMITS
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.n_tokens
+        assert len(own) == 1 or at <= limits.tokens and len(own) <= limits.segments and sum(r.n_loss for r in own) <= limits.loss
+
+
 def test_pipeline(spark, docs):
     """Each stage against a plain version of its decision on what it got."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
