@@ -27,16 +27,17 @@ def rounded_quantile(values: Column, percent: float) -> Column:
     return F.when(n > 0, F.get(F.array_sort(values), F.bround((n - 1) * (percent / 100), 0).cast("int")))
 
 
-def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """STA-15 for groups of any size: by rank windows, without gathering a group in one array.
+def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], rounded: dict[str, float] | None = None) -> DataFrame:
+    """STA-15 (and STA-16 for ``rounded``) for groups of any size: by rank windows, without gathering a group in one array.
 
     Ranks come from one sort of each group, which spills; a hot group is one
     task's sort, not one task's memory.
     """
     w = Window.partitionBy(*keys)
     ranked = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count("*").over(w).alias("__n"))
-    picks = [F.max(F.when(F.col("__r") == F.least(F.col("__n"), F.floor(F.col("__n") * q) + 1), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(*picks)
+    places = {name: F.least(F.col("__n"), F.floor(F.col("__n") * q) + 1) for name, q in quantiles.items()}
+    places |= {name: F.bround((F.col("__n") - 1) * F.lit(q), 0).cast("long") + 1 for name, q in (rounded or {}).items()}
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("__r") == at, F.col(value))).alias(name) for name, at in places.items()))
 
 
 def entropy(df: DataFrame, keys: Sequence[str], item: str, name: str = "entropy") -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from marlstone.functions import hashing as H
 
 
 def brier(belief: Column, right: Column) -> Column:
@@ -78,33 +81,129 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, tie: str) -> Da
     return ranked.groupBy(*keys).agg(F.corr("__a", "__b").alias("rho"))
 
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], id: str, value: str, replicates: int = 1000, alpha: float = 0.05, seed: str = "boot") -> DataFrame:
-    """STA-19: percentile interval of resampled means.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit numbers from any."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Every row has in every replicate a Poisson(1) weight from a hash, so rows
-    are never gathered: the sums of all replicates are partial aggregates.
-    """
-    weighted = df.select(*keys, F.col(value).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("__b"), F.col(id).alias("__id"))
-    u = H.unit(F.concat_ws(":", F.col("__b").cast("string"), F.col("__id").cast("string")), seed)
-    # the distribution function of Poisson(1) at 0, 1, 2, ...
+
+def draws(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A 64-bit draw for each id (row) and each of ``n`` rounds (column)."""
+    rounds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return _mixed(ids.view(np.uint64)[:, None] ^ rounds[None, :])
+
+
+def poisson_weights(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights from draws."""
     steps, term, total = [], 1.0, 0.0
-    for k in range(8):
+    for k in range(8):  # the distribution function at 0, 1, 2, ...
         total += term * 0.36787944117144233
         steps.append(total)
         term /= k + 1
-    weight = sum((F.when(u >= t, 1).otherwise(0) for t in steps), F.lit(0))
-    means = weighted.withColumn("__w", weight).groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__m"))
+    return np.searchsorted(np.array(steps), (draws(ids, n, seed) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+
+
+def _round_sums(df: DataFrame, keys: Sequence[str], id: str, value: str, n: int, weigh) -> DataFrame:
+    """``(keys, b, s, w)``: for each round the sums of weighted values and of weights.
+
+    A task adds up whole rounds at a time, one array a key, and only the sums are shuffled.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.xxhash64(id).alias("__id"), F.col(value).cast("double").alias("__x"))
+    schema = df.select(*keys).schema.add("__s", ArrayType(DoubleType())).add("__w", ArrayType(DoubleType()))
+    names = schema.fieldNames()
+
+    def run(pdfs):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            table = pd.DataFrame([(*k, s.tolist(), w.tolist()) for k, (s, w) in held.items()], columns=names)
+            held.clear()
+            return table
+
+        for pdf in pdfs:
+            for key, part in pdf.groupby(list(keys), dropna=False) if keys else [((), pdf)]:
+                for at in range(0, len(part), 2048):
+                    piece = part.iloc[at : at + 2048]
+                    w = weigh(piece["__id"].to_numpy(np.int64), n)
+                    sums = np.stack((piece["__x"].to_numpy(float) @ w, w.sum(axis=0)))
+                    held[key] = held[key] + sums if key in held else sums
+            if len(held) > 512:
+                yield out()
+        if held:
+            yield out()
+
+    parts = rows.mapInPandas(run, schema)
+    cells = parts.select(*keys, F.posexplode(F.arrays_zip("__s", "__w")).alias("b", "x"))
+    return cells.groupBy(*keys, "b").agg(F.sum("x.__s").alias("s"), F.sum("x.__w").alias("w"))
+
+
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], id: str, value: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """STA-19: percentile interval of resampled means.
+
+    Every row has in every replicate a Poisson(1) weight from its id, so rows are never gathered.
+    """
+    means = _round_sums(df, keys, id, value, replicates, lambda ids, n: poisson_weights(ids, n, seed)).select(*keys, (F.col("s") / F.col("w")).alias("__m"))
     return means.groupBy(*keys).agg(F.avg("__m").alias("mean"), F.percentile("__m", alpha / 2).alias("low"), F.percentile("__m", 1 - alpha / 2).alias("high"))
 
 
-def sign_flip_test(df: DataFrame, keys: Sequence[str], id: str, diff: str, rounds: int = 1000, seed: str = "flip") -> DataFrame:
+def bca_mean(df: DataFrame, keys: Sequence[str], id: str, value: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """STA-20: bias-corrected and accelerated interval of the mean.
+
+    The jackknife's acceleration of a mean is its skewness over ``6 sqrt(n)``, one
+    aggregate; what is grouped in one place is a key's replicates.
+    """
+    means = _round_sums(df, keys, id, value, replicates, lambda ids, n: poisson_weights(ids, n, seed)).select(*keys, (F.col("s") / F.col("w")).alias("m"))
+    seen = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).cast("double").alias("mean"), (F.skewness(value) / (6 * F.sqrt(F.count("*")))).alias("a"))
+    schema = df.select(*keys).schema.add("mean", "double").add("low", "double").add("high", "double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean, a = pdf["mean"].iloc[0], pdf["a"].iloc[0]
+        low, high = bca_interval(pdf["m"].to_numpy(float), mean, 0.0 if a is None or np.isnan(a) else a, alpha)
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), mean, low, high)], columns=schema.fieldNames())
+
+    return means.join(seen, list(keys)).groupBy(*keys).applyInPandas(run, schema)
+
+
+def bca_interval(means: np.ndarray, mean: float, a: float, alpha: float) -> tuple[float, float]:
+    """The percentiles of the replicates at the corrected levels."""
+    normal = NormalDist()
+    share = min(max(float((means < mean).mean()), 1 / (len(means) + 1)), len(means) / (len(means) + 1))
+    z0 = normal.inv_cdf(share)
+    levels = [normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (normal.inv_cdf(alpha / 2), normal.inv_cdf(1 - alpha / 2))]
+    return float(np.quantile(means, levels[0])), float(np.quantile(means, levels[1]))
+
+
+def sign_flip_test(df: DataFrame, keys: Sequence[str], id: str, diff: str, rounds: int = 1000, seed: int = 11) -> DataFrame:
     """STA-21: two-sided paired permutation test, ``(hits + 1) / (rounds + 1)``."""
-    spread = df.select(*keys, F.col(diff).alias("__x"), F.col(id).alias("__id"), F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("__b"))
-    flip = H.draw(F.concat_ws(":", F.col("__b").cast("string"), F.col("__id").cast("string")), seed) % 2 == 0
-    sums = spread.groupBy(*keys, "__b").agg(F.sum(F.when((F.col("__b") > 0) & flip, -F.col("__x")).otherwise(F.col("__x"))).alias("__s"))
-    seen = F.max(F.when(F.col("__b") == 0, F.abs("__s"))).over(Window.partitionBy(*keys))
-    hits = sums.withColumn("__seen", seen).where("__b > 0")
-    return hits.groupBy(*keys).agg(((F.count_if(F.abs("__s") >= F.col("__seen")) + 1) / (rounds + 1)).alias("p"))
+    flipped = _round_sums(df, keys, id, diff, rounds, lambda ids, n: 1.0 - 2.0 * (draws(ids, n, seed) & np.uint64(1)).astype(float))
+    seen = df.groupBy(*keys).agg(F.abs(F.sum(F.col(diff).cast("double"))).alias("__seen"))
+    hits = flipped.join(seen, list(keys))
+    return hits.groupBy(*keys).agg(((F.count_if(F.abs("s") >= F.col("__seen") - 1e-9) + 1) / (rounds + 1)).alias("p"))
+
+
+def byte_grams(df: DataFrame, text: str, most: int = 8) -> DataFrame:
+    """STA-07: ``(k, grams)``: how many different runs of ``k`` bytes come, for ``k`` up to eight.
+
+    A run of eight bytes is one 64-bit number, so runs are told apart exactly; each
+    batch sends its own different runs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[] for _ in range(most)]
+            for value in batch.column(0):
+                raw = np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+                grams = np.zeros(len(raw) + 1, np.uint64)
+                for k in range(1, min(most, len(raw)) + 1):
+                    grams = grams[: len(raw) - k + 1] << np.uint64(8) | raw[k - 1 :]
+                    found[k - 1].append(grams)
+            for k, parts in enumerate(found, 1):
+                if parts:
+                    own = np.unique(np.concatenate(parts))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64))], ["k", "g"])
+
+    return df.select(text).mapInArrow(run, "k int, g long").distinct().groupBy("k").agg(F.count("*").alias("grams"))
 
 
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.storage import stash
+from marlstone.storage import discard, stash
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def reachable(edges: DataFrame) -> DataFrame:
     while True:
         up, down = (paths.select(F.col("ancestor").alias(a), F.col("node").alias(b), F.col("distance").alias(n)) for a, b, n in (("x", "m", "n1"), ("m", "y", "n2")))
         longer = up.join(down, "m").select(F.col("x").alias("ancestor"), F.col("y").alias("node"), (F.col("n1") + F.col("n2")).alias("distance"))
-        paths = stash(longer.groupBy("ancestor", "node").agg(F.min("distance").alias("distance")), "paths")
+        used, paths = paths, stash(longer.groupBy("ancestor", "node").agg(F.min("distance").alias("distance")), "paths")
+        discard(used)
         now = paths.count()
         if now == before:
             return paths
@@ -47,9 +48,12 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(label, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("least"))
         hooked = label.join(near, F.col("node") == F.col("x")).select("node", "component", F.least("component", "least").alias("next"))
         jump = hooked.select(F.col("node").alias("at"), F.col("next").alias("root"))
+        used = label
         moved = stash(hooked.join(jump, F.col("next") == F.col("at")).select("node", F.least("next", "root").alias("component"), (F.least("next", "root") != F.col("component")).alias("moved")), "labels")
         label = moved.select("node", "component")
+        discard(used)
         if moved.where("moved").isEmpty():
+            discard(both)
             return label
 
 

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.windows import numbered
+from marlstone.storage import stash
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
@@ -64,43 +67,83 @@ def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int,
 
 
 def mmr(df: DataFrame, group: str, id: str, vector: str, relevance: str, k: int, weight: float = 0.7) -> DataFrame:
-    """SIM-02: maximal marginal relevance within small candidate lists; ties go to the lowest id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id, kind="stable")
-        v = np.stack(pdf[vector].to_list()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        rel, worst = pdf[relevance].to_numpy(float), np.zeros(len(v))
-        left, picked = list(range(len(v))), []
-        for step in range(min(k, len(v))):
-            best = max(left, key=lambda i: weight * rel[i] - (1 - weight) * (worst[i] if step else 0.0))
-            left.remove(best)
-            picked.append(best)
-            worst = v @ v[best] if step == 0 else np.maximum(worst, v @ v[best])
-        return pd.DataFrame({group: pdf[group].iloc[0], id: pdf[id].to_numpy()[picked], "place": range(1, len(picked) + 1)})
-
-    schema = df.select(group, id).schema.add("place", "long")
-    return df.select(group, id, vector, relevance).groupBy(group).applyInPandas(run, schema)
-
-
-def max_sim(queries: DataFrame, docs: DataFrame, how: str = "mean") -> DataFrame:
+    """SIM-02: maximal marginal relevance; ties go to the lowest id.
+
+    A pick is one aggregate over all candidates, so a group may hold any share of
+    the rows; only the picks of before, ``k`` a group at most, are joined back.
+    """
+    rows = df.select(group, id, vector, F.col(relevance).cast("double").alias("__rel"))
+    picked = None
+    for place in range(1, k + 1):
+        if picked is None:
+            scored = rows.withColumn("__score", weight * F.col("__rel"))
+        else:
+            before = picked.groupBy(group).agg(F.collect_list(F.struct(F.col(id).alias("i"), F.col(vector).alias("v"))).alias("__before"))
+            held = rows.join(before, group).where(~F.array_contains(F.col("__before.i"), F.col(id)))
+            near = F.array_max(F.transform("__before", lambda x: cosine(F.col(vector), x["v"])))
+            scored = held.withColumn("__score", weight * F.col("__rel") - (1 - weight) * near)
+        best = scored.groupBy(group).agg(F.min_by(F.struct(id, vector), F.struct(-F.col("__score"), id)).alias("__best"))
+        best = best.select(group, F.col("__best")[id].alias(id), F.col("__best")[vector].alias(vector), F.lit(place).cast("long").alias("place"))
+        picked = stash(best if picked is None else picked.union(best), "picks")
+    return picked.select(group, id, "place")
+
+
+def max_sim(queries: DataFrame, docs: DataFrame, how: str = "mean", block_rows: int = 2048) -> DataFrame:
     """SIM-05: late interaction: each query token's best document token, as mean or sum.
 
-    ``queries(q, tok, v)`` and ``docs(d, tok, v)`` hold one token vector a row; queries are a stated, small set.
+    ``queries(q, tok, v)`` and ``docs(d, v)`` hold one token vector a row; queries are a
+    stated set. Both are dealt in blocks, and a pair of blocks is one matrix product
+    that keeps a token's best of each document.
     """
-    a, b = queries.select("q", F.col("tok").alias("qt"), F.col("v").alias("qv")), docs.select("d", F.col("v").alias("dv"))
-    best = F.broadcast(a).crossJoin(b).groupBy("q", "qt", "d").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("m"))
+
+    def packed(df: DataFrame, *keys: str) -> DataFrame:
+        n = max(1, -(-df.count() // block_rows))
+        dealt = df.withColumn("block", F.pmod(F.xxhash64(*keys, "v"), F.lit(n)))
+        return dealt.groupBy("block").agg(F.collect_list(F.struct(*keys, F.transform("v", lambda x: x.cast("double")).alias("v"))).alias("rows")).drop("block")
+
+    cells = packed(queries, "q", "tok").withColumnRenamed("rows", "a").crossJoin(packed(docs, "d").withColumnRenamed("rows", "b"))
+    schema = queries.select("q", "tok").schema.add(docs.schema["d"]).add("m", "double")
+
+    def run(batches):
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                scores = np.stack([r["v"] for r in a]) @ np.stack([r["v"] for r in b]).T
+                names, of = np.unique(np.array([r["d"] for r in b]), return_inverse=True)
+                best = np.full((len(names), len(a)), -np.inf)
+                np.maximum.at(best, of, scores.T)
+                yield pd.DataFrame({"q": [r["q"] for r in a] * len(names), "tok": [r["tok"] for r in a] * len(names), "d": np.repeat(names, len(a)), "m": best.ravel()})
+
+    best = cells.mapInPandas(run, schema).groupBy("q", "tok", "d").agg(F.max("m").alias("m"))
     return best.groupBy("q", "d").agg((F.avg("m") if how == "mean" else F.sum("m")).alias("score"))
 
 
+def shuffled_null(df: DataFrame, id: str, vector: str, permutations: int) -> DataFrame:
+    """SIM-08: mean cosine of each row with the row that a permutation puts in its place; a row in its own place meets the next.
+
+    Rows are numbered through range partitions, never in one window; only ids are sorted.
+    """
+    ids = numbered(df.select(id), [F.col(id)], "i")
+    n = ids.count()
+    turned = ids.select(F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"), "i", id)
+    key = F.sha2(F.concat_ws(":", F.col("permutation").cast("string"), F.col(id).cast("string")).cast("binary"), 256)
+    placed = numbered(turned.select("permutation", "i", key.alias("h")), [F.col("permutation"), F.col("h")], "j").withColumn("j", F.col("j") - F.col("permutation") * n)
+    placed = placed.select("permutation", "i", F.when(F.col("i") == F.col("j"), (F.col("j") + 1) % n).otherwise(F.col("j")).alias("j"))
+    vectors = df.select(id, vector).join(ids, id)
+    met = placed.join(vectors.select("i", F.col(vector).alias("a")), "i").join(vectors.select(F.col("i").alias("j"), F.col(vector).alias("b")), "j")
+    return met.groupBy("permutation").agg(F.avg(cosine(F.col("a"), F.col("b"))).alias("mean"))
+
+
 def tf_idf(docs: DataFrame, id: str, tokens: str, min_df: int = 2) -> DataFrame:
-    """SIM-11: ``(id, term, weight)`` with smooth idf ``ln((1 + n) / (1 + df)) + 1`` and unit length."""
+    """SIM-11: ``(id, term, weight)`` with smooth idf ``ln((1 + n) / (1 + df)) + 1`` and unit length.
+
+    The texts are split once: counts are written and read for both uses.
+    """
     n = docs.select(F.count("*").alias("n"))
-    tf = docs.select(id, F.explode(tokens).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    tf = stash(docs.select(id, F.explode(tokens).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf")), "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # n is one row
-    length = raw.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, id).select(id, "term", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id)))  # one document's terms
+    return raw.select(id, "term", (F.col("w") / length).alias("weight"))
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

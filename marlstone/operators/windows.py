@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.storage import stash
+
 
 def byte_ids(text: Column) -> Column:
     """TOK-01: UTF-8 bytes plus 16; the first sixteen numbers are special."""
@@ -47,3 +49,12 @@ def greedy_spans(df: DataFrame, group: str, start: str, end: str, score: str) ->
 
     found = df.groupBy(group).agg(spans.alias("__spans")).select(group, F.explode(F.aggregate(own, F.slice(own, 1, 0), keep)).alias("x"))
     return found.select(group, F.col("x.a").alias(start), F.col("x.b").alias(end), (-F.col("x.s")).alias(score))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in a total order: one range sort, and a small table of partition sizes."""
+    placed = stash(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row for each partition
+    return placed.withColumn("__p", part).join(F.broadcast(before), "__p").select(*df.columns, (F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

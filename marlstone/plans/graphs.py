@@ -33,7 +33,7 @@ def _(s, d):
 
 @query("sim_02_mmr")
 def _(s, d):
-    e = table(s, d, "embeddings").where("vec_id < 400").withColumn("relevance", F.get("embedding", F.lit(0)).cast("double"))
+    e = table(s, d, "embeddings").withColumn("relevance", F.get("embedding", F.lit(0)).cast("double"))
     return S.mmr(e, "label", "vec_id", "embedding", "relevance", 5)
 
 
@@ -44,21 +44,16 @@ def _(s, d):
     return e.join(cache, "vec_id", "left").select("vec_id", F.coalesce("hit", F.lit(False)).alias("cached"))
 
 
-@query("sim_05_06_max_sim", f"WITH t AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT q.label AS q, q.vec_id AS qt, x.label AS d, max(list_dot_product(q.v, x.v)) AS m FROM t q, t x WHERE q.vec_id < 40 GROUP BY ALL) SELECT q, d, round(avg(m), 6) AS score FROM m GROUP BY ALL")
+@query("sim_05_06_max_sim", f"WITH t AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT q.label AS q, q.vec_id AS qt, x.label AS d, max(list_dot_product(q.v, x.v)) AS m FROM t q, t x WHERE q.vec_id % 20 = 0 GROUP BY ALL) SELECT q, d, round(avg(m), 6) AS score FROM m GROUP BY ALL")
 def _(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id < 40").select(F.col("label").alias("q"), F.col("vec_id").alias("tok"), F.col("embedding").alias("v"))
+    q = e.where("vec_id % 20 = 0").select(F.col("label").alias("q"), F.col("vec_id").alias("tok"), F.col("embedding").alias("v"))
     return S.max_sim(q, e.select(F.col("label").alias("d"), F.col("embedding").alias("v"))).withColumn("score", F.round("score", 6))
 
 
-@query("sim_08_shuffled_null", f"SELECT round(avg({_cos('a.embedding', 'b.embedding')}), 6) AS mean FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings) a JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) b ON b.r = a.r % a.n + 1")
+@query("sim_08_shuffled_null", f"WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings), p AS (SELECT k, i, n, row_number() OVER (PARTITION BY k ORDER BY sha256(k || ':' || vec_id)) - 1 AS j FROM e, range(25) t(k)), q AS (SELECT k, i, CASE WHEN i = j THEN (j + 1) % n ELSE j END AS j FROM p) SELECT q.k::INT AS permutation, round(avg({_cos('a.embedding', 'b.embedding')}), 6) AS mean FROM q JOIN e a USING (i) JOIN e b ON b.i = q.j GROUP BY 1")
 def _(s, d):
-    e = table(s, d, "embeddings")
-    ordered = e.select("embedding", F.row_number().over(Window.orderBy("vec_id")).alias("r"))
-    n = ordered.agg(F.count("*").alias("n"))
-    a = ordered.crossJoin(F.broadcast(n)).select("embedding", (F.col("r") % F.col("n") + 1).alias("r"))
-    b = ordered.select(F.col("embedding").alias("other"), "r")
-    return a.join(b, "r").agg(F.round(F.avg(S.cosine(F.col("embedding"), F.col("other"))), 6).alias("mean"))
+    return S.shuffled_null(table(s, d, "embeddings"), "vec_id", "embedding", 25).select("permutation", F.round("mean", 6).alias("mean"))
 
 
 _TFIDF = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
@@ -71,9 +66,9 @@ def _(s, d):
     return S.tf_idf(docs, "doc_id", "t").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("sim_12_13_feature_cosine", "WITH f AS (SELECT DISTINCT o_custkey % 12 AS g, o_orderpriority || o_orderstatus || (o_orderkey % 7) AS t FROM orders WHERE o_orderkey % 11 < 3), n AS (SELECT g, count(*) AS n FROM f GROUP BY 1) SELECT a.g AS a, b.g AS b, round(count(*) / sqrt(max(na.n) * max(nb.n)), 6) AS cosine FROM f a JOIN f b ON a.t = b.t AND a.g < b.g JOIN n na ON na.g = a.g JOIN n nb ON nb.g = b.g GROUP BY 1, 2")
+@query("sim_12_13_feature_cosine", "WITH f AS (SELECT DISTINCT o_custkey % 12 AS g, o_orderpriority || o_orderstatus || (o_orderkey % 7) AS t FROM orders ), n AS (SELECT g, count(*) AS n FROM f GROUP BY 1) SELECT a.g AS a, b.g AS b, round(count(*) / sqrt(max(na.n) * max(nb.n)), 6) AS cosine FROM f a JOIN f b ON a.t = b.t AND a.g < b.g JOIN n na ON na.g = a.g JOIN n nb ON nb.g = b.g GROUP BY 1, 2")
 def _(s, d):
-    f = table(s, d, "orders").where("o_orderkey % 11 < 3").select((F.col("o_custkey") % 12).alias("g"), F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 7).cast("string")).alias("t")).distinct()
+    f = table(s, d, "orders").select((F.col("o_custkey") % 12).alias("g"), F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 7).cast("string")).alias("t")).distinct()
     n = f.groupBy("g").agg(F.count("*").alias("n"))
     k = f.select(F.col("g").alias("a"), "t").join(f.select(F.col("g").alias("b"), "t"), "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
     met = k.join(n.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b")
@@ -142,10 +137,10 @@ def _(s, d):
 
 
 def supply(s, d):
-    return table(s, d, "lineitem").where("l_orderkey < 60").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
 
 
-_SUPPLY = "(SELECT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey < 60)"
+_SUPPLY = "(SELECT l_orderkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
 
 
 @query("grf_01_02_upsert", "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'new' ELSE n_name END AS n_name FROM nation")
@@ -163,9 +158,9 @@ def _(s, d):
     return reads.union(writes)
 
 
-@query("grf_06_up_down", "SELECT DISTINCT o_custkey AS up, l_suppkey AS down FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 50")
+@query("grf_06_up_down", "SELECT DISTINCT o_custkey AS up, l_suppkey AS down FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def _(s, d):
-    return table(s, d, "orders").where("o_custkey < 50").join(table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("up"), F.col("l_suppkey").alias("down")).distinct()
+    return table(s, d, "orders").join(table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("up"), F.col("l_suppkey").alias("down")).distinct()
 
 
 @query("grf_07_expansion", f"WITH RECURSIVE e AS (SELECT a, b FROM {_SUPPLY} UNION SELECT b, a FROM {_SUPPLY}), w(node, distance) AS (SELECT 1::BIGINT, 0 UNION SELECT b, distance + 1 FROM w JOIN e ON node = a WHERE distance < 3) SELECT node, min(distance)::INT AS distance FROM w GROUP BY 1")
@@ -193,39 +188,71 @@ def _(s, d):
     return steps.withColumn("known", known).select("step", F.explode(F.array_except("inputs", "known")).alias("missing"))
 
 
-@query("grf_16_components", f"WITH RECURSIVE e AS (SELECT a, b FROM {_SUPPLY} UNION SELECT b, a FROM {_SUPPLY}), w(node, r) AS (SELECT a, a FROM e UNION SELECT b, r FROM w JOIN e ON node = a) SELECT node, min(r) AS component FROM w GROUP BY 1")
+#: Orders, their customers and their lines: a forest of stars on stars, so components have a closed form.
+_FOREST = "SELECT o_orderkey AS a, 1000000000000 + o_custkey AS b FROM orders UNION ALL SELECT l_orderkey, 2000000000000 + l_orderkey * 8 + l_linenumber FROM lineitem"
+
+
+def forest(s, d):
+    held = table(s, d, "orders").select(F.col("o_orderkey").alias("a"), (F.lit(1_000_000_000_000) + F.col("o_custkey")).alias("b"))
+    return held.union(table(s, d, "lineitem").select("l_orderkey", F.lit(2_000_000_000_000) + F.col("l_orderkey") * 8 + F.col("l_linenumber")))
+
+
+@query("grf_16_components", f"WITH e AS ({_FOREST}), top AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_custkey) AS r FROM orders), n AS (SELECT a, b, coalesce(r, a) AS r FROM e LEFT JOIN top ON k = a) SELECT a AS node, min(r) AS component FROM n GROUP BY 1 UNION ALL SELECT b, min(r) FROM n GROUP BY 1")
 def _(s, d):
-    return G.connected(supply(s, d), "a", "b")
+    return G.connected(forest(s, d), "a", "b")
+
+
+#: Orders, their parts, and parts on neighbouring lines: triangles, with parts as hubs.
+_BASKETS = "SELECT DISTINCT 1000000000000 + l_orderkey AS a, l_partkey AS b FROM lineitem UNION SELECT x.l_partkey, y.l_partkey FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_partkey <> y.l_partkey"
 
 
-@query("grf_17_18_pruned")
+def baskets(s, d):
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    held = lines.select((F.lit(1_000_000_000_000) + F.col("l_orderkey")).alias("a"), F.col("l_partkey").alias("b"))
+    return held.union(lines.join(after, ["l_orderkey", "l_linenumber"]).select("l_partkey", "b").where("l_partkey <> b"))
+
+
+_PRUNED = f"""WITH raw AS ({_BASKETS}), e AS (SELECT a, b FROM raw UNION SELECT b, a FROM raw), keep AS (SELECT a FROM e GROUP BY 1 HAVING count(*) <= 90),
+live AS (SELECT * FROM e WHERE a IN (SELECT a FROM keep) AND b IN (SELECT a FROM keep)), n AS (SELECT a, count(*) AS n FROM live GROUP BY 1),
+k AS (SELECT x.a, x.b, count(*) AS k FROM live x JOIN live y ON y.a = x.a JOIN live z ON z.a = x.b AND z.b = y.b WHERE x.a < x.b GROUP BY 1, 2),
+s AS (SELECT l.a, l.b, coalesce(k.k, 0) AS k, na.n + nb.n - 2 - coalesce(k.k, 0) AS u FROM live l LEFT JOIN k ON k.a = l.a AND k.b = l.b JOIN n na ON na.a = l.a JOIN n nb ON nb.a = l.b WHERE l.a < l.b)
+SELECT a, b FROM s WHERE CASE WHEN u > 0 THEN k / u ELSE 0 END >= 0.015"""
+
+
+@query("grf_17_18_pruned", _PRUNED)
 def _(s, d):
-    parts = table(s, d, "lineitem").where("l_orderkey < 300").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
-    return G.pruned_hubs(parts, 50, 0.0)
+    return G.pruned_hubs(baskets(s, d), 90, 0.015)
 
 
-_TREE = [(i, (i - 1) // 2) for i in range(1, 40)]
-_TREE_VALUES = ", ".join(f"({c}, {p})" for c, p in _TREE)
+#: A hierarchy over all customers: each is below the one with a third of its number.
+_EDGES = "SELECT c_custkey AS c, c_custkey // 3 AS p FROM customer WHERE c_custkey > 0"
 
 
-def tree(s):
-    return s.createDataFrame(_TREE, "child long, parent long")
+def tree(s, d):
+    return table(s, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
 
 
-@query("hie_03_04_closure", f"WITH RECURSIVE e(c, p) AS (VALUES {_TREE_VALUES}), w(ancestor, node, distance) AS (SELECT x, x, 0 FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT ancestor, c, distance + 1 FROM w JOIN e ON node = p) SELECT ancestor::BIGINT AS ancestor, node::BIGINT AS node, distance FROM w")
+@query("hie_03_04_closure", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(ancestor, node, distance) AS (SELECT x, x, 0 FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT ancestor, c, distance + 1 FROM w JOIN e ON node = p) SELECT ancestor::BIGINT AS ancestor, node::BIGINT AS node, distance FROM w")
 def _(s, d):
-    return G.reachable(tree(s))
+    return G.reachable(tree(s, d))
 
 
-@query("hie_05_06_root", f"WITH RECURSIVE e(c, p) AS (VALUES {_TREE_VALUES}), w(node, top, distance) AS (SELECT c, p, 1 FROM e UNION ALL SELECT node, p, distance + 1 FROM w JOIN e ON top = c) SELECT node::BIGINT AS node, max_by(top, distance)::BIGINT AS root, max(distance) AS depth FROM w GROUP BY 1")
+@query("hie_05_06_root", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(node, top, distance) AS (SELECT c, p, 1 FROM e UNION ALL SELECT node, p, distance + 1 FROM w JOIN e ON top = c) SELECT node::BIGINT AS node, max_by(top, distance)::BIGINT AS root, max(distance) AS depth FROM w GROUP BY 1")
 def _(s, d):
-    paths = G.reachable(tree(s)).where("distance > 0")
+    paths = G.reachable(tree(s, d)).where("distance > 0")
     return paths.groupBy("node").agg(F.max_by("ancestor", "distance").alias("root"), F.max("distance").alias("depth"))
 
 
-@query("grf_19_21_cycles", "SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT), (3::BIGINT)) v(node)")
+#: Parts point at the part before; every tenth stretch of ten closes in a ring.
+_RINGS = "SELECT p_partkey AS c, CASE WHEN p_partkey % 10 = 1 AND p_partkey // 10 % 10 = 0 THEN p_partkey + 9 ELSE p_partkey - 1 END AS p FROM part"
+
+
+@query("grf_19_21_cycles", f"WITH RECURSIVE e AS ({_RINGS}), w(x, y) AS (SELECT c, p FROM e UNION SELECT x, p FROM w JOIN e ON y = c WHERE y > x - 12 AND y < x + 12) SELECT DISTINCT x AS node FROM w WHERE x = y")
 def _(s, d):
-    return G.cycle_nodes(s.createDataFrame([(2, 1), (3, 2), (1, 3), (4, 3), (5, 4)], "child long, parent long"))
+    k = F.col("p_partkey")
+    ring = (k % 10 == 1) & (F.floor(k / 10) % 10 == 0)
+    return G.cycle_nodes(table(s, d, "part").select(k.alias("child"), F.when(ring, k + 9).otherwise(k - 1).alias("parent")))
 
 
 @query("grf_23_24_backlinks", "SELECT l_partkey, count(DISTINCT l_orderkey) AS backlinks FROM lineitem GROUP BY 1")
@@ -244,9 +271,9 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", F.array_join(ancestors, ",").alias("ancestors"), code.startswith("1.").alias("below_1"), F.coalesce(F.split_part(code, F.lit("."), F.lit(1)), F.lit("_unassigned")).alias("top"))
 
 
-@query("hie_07_inherited", f"WITH RECURSIVE e(c, p) AS (VALUES {_TREE_VALUES}), w(ancestor, node) AS (SELECT x, x FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT ancestor, c FROM w JOIN e ON node = p) SELECT node::BIGINT AS node, count(*) FILTER (ancestor % 3 = 0) AS properties FROM w GROUP BY 1")
+@query("hie_07_inherited", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(ancestor, node) AS (SELECT x, x FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT ancestor, c FROM w JOIN e ON node = p) SELECT node::BIGINT AS node, count(*) FILTER (ancestor % 3 = 0) AS properties FROM w GROUP BY 1")
 def _(s, d):
-    return G.reachable(tree(s)).groupBy("node").agg(F.count_if(F.col("ancestor") % 3 == 0).alias("properties"))
+    return G.reachable(tree(s, d)).groupBy("node").agg(F.count_if(F.col("ancestor") % 3 == 0).alias("properties"))
 
 
 @query("hie_08_family_coverage", "SELECT n_regionkey, count(*) AS members, bool_and(n_nationkey IN (SELECT c_nationkey FROM customer)) AS covered, count(*) * (count(*) - 1) // 2 AS pairs FROM nation GROUP BY 1")

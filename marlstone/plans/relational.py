@@ -315,9 +315,14 @@ def _(s, d):
     from marlstone.functions.text import words
 
     w = words(F.lower("text"))
-    listed = table(s, d, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 5)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    counted = listed.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    # behind a generator of one row the words are built once, not for every use
+    listed = table(s, d, "documents").select("doc_id", F.explode(F.array(w)).alias("w")).where(F.size("w") >= 5)
+    # a run of five words moves as two 64-bit hashes
+    five = F.arrays_zip(*(F.slice("w", k + 1, F.size("w") - 4).alias(f"w{k}") for k in range(5)))
+    names = [f"x.w{k}" for k in range(5)]
+    runs = listed.select("doc_id", five.alias("five")).select("doc_id", F.explode("five").alias("x"))
+    keys = runs.select("doc_id", F.struct(F.xxhash64(*names).alias("a"), F.xxhash64(F.lit(1), *names).alias("b")).alias("g")).distinct()
+    counted = keys.groupBy("g.a", "g.b").agg(F.count("*").alias("n"))
     return counted.agg(F.round(F.count_if(F.col("n") > 1) / F.count("*"), 6).alias("redundancy"))
 
 
@@ -416,10 +421,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", words(F.lower("text")).alias("w")).select("doc_id", F.round(F.when(n <= 100, F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1))).otherwise(long), 8).alias("mattr"))
 
 
-@query("win_17_elbow", "SELECT max_by(k, bend) AS elbow FROM (SELECT k, lag(v) OVER (ORDER BY k) - 2 * v + lead(v) OVER (ORDER BY k) AS bend FROM (SELECT p_size AS k, sum(p_retailprice) AS v FROM part GROUP BY 1) WHERE k <= 12) WHERE bend IS NOT NULL")
+@query("win_17_elbow", "SELECT max_by(k, bend) AS elbow FROM (SELECT k, lag(v) OVER (ORDER BY k) - 2 * v + lead(v) OVER (ORDER BY k) AS bend FROM (SELECT p_size AS k, sum(p_retailprice) AS v FROM part GROUP BY 1)) WHERE bend IS NOT NULL")
 def _(s, d):
     w = Window.orderBy("k")  # one row a cluster count
-    v = table(s, d, "part").where("p_size <= 12").groupBy(F.col("p_size").alias("k")).agg(F.sum("p_retailprice").alias("v"))
+    v = table(s, d, "part").groupBy(F.col("p_size").alias("k")).agg(F.sum("p_retailprice").alias("v"))
     bend = v.select("k", (F.lag("v").over(w) - 2 * F.col("v") + F.lead("v").over(w)).alias("bend"))
     return bend.where("bend IS NOT NULL").agg(F.max_by("k", "bend").alias("elbow"))
 

@@ -208,11 +208,18 @@ def _(s, d):
     return E.compression_ratio(table(s, d, "documents").select("doc_id", "text"), "text")
 
 
-@query("sta_07_08_byte_entropy", "SELECT k, count(DISTINCT g) AS grams, round(log2(count(DISTINCT g)) / k, 6) AS rate FROM (SELECT k::INT AS k, unnest([array_to_string(c[i:i + k - 1], '') FOR i IN range(1, len(c) - k + 2)]) AS g FROM (SELECT string_split(text, '') AS c, k FROM documents, range(1, 4) r(k) WHERE lang = 'en')) GROUP BY 1")
+_LEADS = ", ".join("x" + "".join(f" || lead(x, {j}) OVER w" for j in range(1, k)) + f" AS g{k}" for k in range(1, 9))
+_BYTE_GRAMS = f"WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) AS i FROM documents), g AS (SELECT {_LEADS} FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)), c AS (" + " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT g{k}) AS grams FROM g" for k in range(1, 9)) + ") SELECT k, grams, round(log2(grams) / k, 6) AS rate, round((SELECT sum(octet_length(encode(text))) FROM documents) * log2((SELECT grams FROM c WHERE k = 8)) / 8 / 8, 2) AS ceiling FROM c"
+
+
+@query("sta_07_08_byte_entropy", _BYTE_GRAMS)
 def _(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'").select(F.split("text", "").alias("c"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).where(F.size("c") >= F.col("k"))
-    grams = docs.select("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("c") - F.col("k") + 1), lambda i: F.array_join(F.slice("c", i, F.col("k")), "")))).alias("g"))
-    return grams.distinct().groupBy("k").agg(F.count("*").alias("grams")).select("k", "grams", F.round(F.log2("grams") / F.col("k"), 6).alias("rate"))
+    docs = table(s, d, "documents").select("text")
+    rates = E.byte_grams(docs, "text", 8).select("k", "grams", (F.log2("grams") / F.col("k")).alias("rate"))
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary"))).alias("bytes"))
+    last = rates.where("k = 8").select(F.col("rate").alias("h8"))
+    met = rates.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(last))  # eight rows, one, one
+    return met.select("k", "grams", F.round("rate", 6).alias("rate"), F.round(F.col("bytes") * F.col("h8") / 8, 2).alias("ceiling"))
 
 
 @query("sta_09_geometric_mean", "SELECT p_partkey, round(CASE WHEN p_size <= 1 THEN 0 ELSE exp((ln(p_size - 1) + ln(p_retailprice)) / 2) END, 4) AS g FROM part")
@@ -239,8 +246,7 @@ def _(s, d):
 
 @query("sta_15_16_quantiles", "SELECT p_brand, list_sort(list(p_size))[least(count(*), floor(0.25 * count(*))::INT + 1)] AS low, list_sort(list(p_size))[round_even(0.9::DOUBLE * (count(*) - 1), 0)::INT + 1] AS high FROM part GROUP BY 1")
 def _(s, d):
-    sizes = table(s, d, "part").groupBy("p_brand").agg(F.collect_list("p_size").alias("x"))  # a brand's parts: small by nature
-    return sizes.select("p_brand", A.index_quantile(F.col("x"), 0.25).alias("low"), A.rounded_quantile(F.col("x"), 90).alias("high"))
+    return A.ranked_quantiles(table(s, d, "part"), ["p_brand"], "p_size", {"low": 0.25}, {"high": 0.9})
 
 
 @query("sta_17_linear_quantile", "SELECT p_brand, round(quantile_cont(p_retailprice, 0.1), 4) AS p10, round(quantile_cont(p_retailprice, 0.9), 4) AS p90, round(stddev_pop(p_retailprice) / avg(p_retailprice), 6) AS cv FROM part GROUP BY 1")
@@ -249,9 +255,9 @@ def _(s, d):
     return table(s, d, "part").groupBy("p_brand").agg(F.round(F.percentile(x, 0.1), 4).alias("p10"), F.round(F.percentile(x, 0.9), 4).alias("p90"), F.round(F.stddev_pop(x) / F.avg(x), 6).alias("cv"))
 
 
-@query("sta_18_spearman", "SELECT c_nationkey, round(corr(a, b), 6) AS rho FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS b FROM customer) GROUP BY 1")
+@query("sta_18_spearman", "SELECT c_nationkey, round(corr(a, b), 6) + 0::DOUBLE AS rho FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS b FROM customer) GROUP BY 1")
 def _(s, d):
-    return E.spearman(table(s, d, "customer"), ["c_nationkey"], "c_acctbal", "c_mktsegment", "c_custkey").withColumn("rho", F.round("rho", 6))
+    return E.spearman(table(s, d, "customer"), ["c_nationkey"], "c_acctbal", "c_mktsegment", "c_custkey").withColumn("rho", F.round("rho", 6) + F.lit(0.0))
 
 
 @query("sta_19_bootstrap")
@@ -259,6 +265,11 @@ def _(s, d):
     return E.bootstrap_mean(table(s, d, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", replicates=100)
 
 
+@query("sta_20_bca")
+def _(s, d):
+    return E.bca_mean(table(s, d, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", replicates=200)
+
+
 @query("sta_21_permutation")
 def _(s, d):
     diffs = table(s, d, "customer").select("c_mktsegment", "c_custkey", (F.col("c_acctbal") - 4500).alias("x"))

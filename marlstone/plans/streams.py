@@ -37,10 +37,10 @@ def _(s, d):
     return E.roster(e, "user_id", "ts", "ttl", F.lit("2024-01-30 20:00:00").cast("timestamp")).select("user_id", "event_type")
 
 
-@query("stm_12_14_ingest", "SELECT 1000::BIGINT AS first, 0::BIGINT AS second FROM range(1)")
+@query("stm_12_14_ingest", "SELECT count(*) AS first, 0::BIGINT AS second FROM events")
 def _(s, d):
     source, target = scratch(s, "ingest-in"), scratch(s, "ingest-out")
-    rows = table(s, d, "events").where("event_id < 1000").select("event_id", "event_type")
+    rows = table(s, d, "events").select("event_id", "event_type")
     rows.write.json(source)
     counts = [E.ingest(s, source, rows.schema, target, "event_id") for _ in range(2)]
     return s.createDataFrame([tuple(counts)], "first long, second long")
