@@ -105,7 +105,7 @@ def camel_tokens(name: Column) -> Column:
 
 def snake(name: Column) -> Column:
     """STR-17: an underscore before each capital but the first letter."""
-    return F.lower(F.regexp_replace(name, r"(.)([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(name, r"(?<!^)(?=[A-Z])", "_"))
 
 
 def plural(noun: Column) -> Column:
@@ -223,3 +223,22 @@ def chunk_paragraphs(text: Column, size: int = 700) -> Column:
         F.expr("cast(array() as array<string>)"),
         lambda acc, p: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + F.length(p) + 1 <= size), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), p)))).otherwise(F.array_append(acc, p)),
     )
+
+
+def echo_reason(name: Column, offer: Column, most: float) -> Column:
+    """STR-23: why an offered name (in words, as the meant one) is refused: invalid, an echo, or too many shared words; else ok."""
+    shared = F.size(F.array_intersect(name, offer)) / F.size(F.array_distinct(offer))
+    return F.when(F.array_join(offer, "") == "", "invalid").when(F.array_sort(name) == F.array_sort(offer), "echo").when(shared > most, "shared").otherwise("ok")
+
+
+def line_windows(text: Column, size: int) -> Column:
+    """STR-30: windows of whole lines that close at ``size`` characters, never inside a fence; joined again they are the text."""
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(False).alias("fence"))
+
+    def step(acc: Column, line: Column) -> Column:
+        fence = F.when(line.startswith("```"), ~acc["fence"]).otherwise(acc["fence"])
+        now = F.when(acc["now"].isNull(), line).otherwise(F.concat(acc["now"], F.lit("\n"), line))
+        full = ~fence & (F.length(now) >= size)
+        return F.struct(F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"), F.when(~full, now).alias("now"), fence.alias("fence"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))

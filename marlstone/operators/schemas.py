@@ -28,6 +28,16 @@ def infer_types(cells: DataFrame, column: str, value: str) -> DataFrame:
     return cells.groupBy(column).agg(sql_type.alias("sql_type"), kind.alias("kind"), F.coalesce(F.max(F.length(seen)), F.lit(0)).alias("width"))
 
 
+def sized_types(cells: DataFrame, column: str, value: str) -> DataFrame:
+    """SCH-34: one row a column: boolean, integer, decimal (with a point), date, timestamp, or VARCHAR with room to spare."""
+    v = F.trim(F.col(value))
+    seen = F.when(v != "", v)
+    every = lambda p: F.coalesce(F.every(seen.rlike(p)), F.lit(False))
+    width = F.least(F.lit(512), F.greatest(F.lit(32), F.max(F.length(seen)) + 8)).cast("string")
+    typed = F.when(every(BOOLEAN), "BOOLEAN").when(every(INTEGER), "INTEGER").when(every(r"^[+-]?\d+\.\d+$"), "DECIMAL").when(every(DATE), "DATE").when(every(TIMESTAMP), "TIMESTAMP")
+    return cells.groupBy(column).agg(F.when(F.count(seen) == 0, "VARCHAR(255)").otherwise(F.coalesce(typed, F.concat(F.lit("VARCHAR("), width, F.lit(")")))).alias("sql_type"))
+
+
 def column_class(cells: DataFrame, column: str, value: str) -> DataFrame:
     """SCH-32: empty, constant, placeholder or informative."""
     v = F.trim(F.coalesce(F.col(value), F.lit("")))

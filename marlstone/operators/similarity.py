@@ -199,3 +199,72 @@ def window_mean(df: DataFrame, id: str, vectors: Sequence[str]) -> DataFrame:
     """SIM-09: the unit mean of a row's window vectors."""
     mean = F.transform(F.col(vectors[0]), lambda x, i: x.cast("double") + sum((F.get(F.col(v), i).cast("double") for v in vectors[1:]), F.lit(0.0)))
     return df.select(id, normalised(mean).alias("vector"))
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """SIM-18: for each row the column of the assignment with the least total cost (as many columns as rows at least)."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    owner = np.zeros(m + 1, int)  # the row that holds each column; 0 is none
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:  # grow a tree of tight edges until a free column is met
+            used[at] = True
+            slack = np.where(used[1:], np.inf, cost[owner[at] - 1] - u[owner[at]] - v[1:])
+            better = slack < least[1:]
+            least[1:][better], back[1:][better] = slack[better], at
+            nearest = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
+            step = least[nearest]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = nearest
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    out = np.empty(n, int)
+    out[owner[1:][owner[1:] > 0] - 1] = np.flatnonzero(owner[1:] > 0)
+    return out
+
+
+def aligned(left: DataFrame, right: DataFrame, label: str, vector: str) -> DataFrame:
+    """SIM-18: ``(label, other, cosine)`` of the one-to-one match of two sets of centroids with the largest mean cosine.
+
+    Centroids are as many as labels, a hundred at most; one task solves.
+    """
+    a, b = (df.select(F.lit(side).alias("side"), F.col(label).alias("l"), F.col(vector).alias("v")) for side, df in ((0, left), (1, right)))
+    schema = left.select(F.col(label).alias("label"), F.col(label).alias("other")).schema.add("cosine", "double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "l"])
+        mine, theirs = (pdf[pdf["side"] == k] for k in (0, 1))
+        unit = lambda x: np.stack(x["v"].to_list()) / np.maximum(np.linalg.norm(np.stack(x["v"].to_list()), axis=1, keepdims=True), 1e-9)
+        scores = unit(mine) @ unit(theirs).T
+        best = assignment(-scores)
+        return pd.DataFrame({"label": mine["l"].to_numpy(), "other": theirs["l"].to_numpy()[best], "cosine": scores[np.arange(len(best)), best]})
+
+    return a.union(b).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
+
+
+def lloyd(df: DataFrame, id: str, vector: str, k: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """SIM-14/20: k-means by cosine: ``(centres(cluster, centroid), members(id, cluster, score))``.
+
+    The first centres are the rows with the least hashes of their ids; each round is one
+    look-up of the nearest centre and one aggregate by element.
+    """
+    rows = df.select(id, normalised(F.col(vector)).alias(vector))
+    first = rows.orderBy(F.xxhash64(id), id).limit(k).withColumn("cluster", F.row_number().over(Window.orderBy(F.xxhash64(id), id)) - 1)  # k rows
+    centres = stash(first.select("cluster", F.col(vector).alias("centroid")), "centres")
+    for _ in range(rounds):
+        placed = closest(rows, id, vector, centres)
+        centres = stash(centroids(placed, "cluster", vector), "centres")
+    return centres, closest(rows, id, vector, centres).select(id, "cluster", "score")
+
+
+def closest(df: DataFrame, id: str, vector: str, centres: DataFrame) -> DataFrame:
+    """``df`` with the nearest of a few centres and its cosine; ties by cluster."""
+    held = F.broadcast(centres.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("__c")))  # k centres in one row
+    scored = F.transform("__c", lambda c: F.struct((-F.round(cosine(F.col(vector), c["centroid"]), 9)).alias("d"), c["cluster"].alias("cluster")))
+    best = F.array_min(scored)
+    return df.crossJoin(held).withColumn("__b", best).select(*df.columns, F.col("__b.cluster").alias("cluster"), (-F.col("__b.d")).alias("score"))

@@ -85,12 +85,8 @@ def _(s, d):
 
 @query("sim_14_20_kmeans")
 def _(s, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(s, d, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=10, seed=7, distanceMeasure="cosine", maxIter=10).fit(e)
-    return model.transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+    _, members = S.lloyd(table(s, d, "embeddings"), "vec_id", "embedding", 10, 5)
+    return members.select("vec_id", "cluster")
 
 
 @query("sim_21_insufficiency", f"WITH c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1) SELECT a.label, round(max({_cos('a.c', 'b.c')}), 6) AS nearest, max({_cos('a.c', 'b.c')}) > 0.92 AS close FROM c a JOIN c b ON a.label <> b.label GROUP BY 1")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -127,3 +128,89 @@ def test_session_stream_sends_each_span_once(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(out).collect()]
     assert got and max(Counter(got).values()) == 1
+
+
+def test_assignment_against_all_permutations():
+    from itertools import permutations
+
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 6), (6, 6)):
+        for _ in range(20):
+            cost = rng.integers(0, 9, (n, m)).astype(float)
+            got = S.assignment(cost)
+            assert len(set(got.tolist())) == n
+            assert cost[np.arange(n), got].sum() == min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(m), n))
+
+
+def test_lloyd_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(c, 0.3, (30, 3)) for c in ((3, 0, 0), (0, 3, 0), (0, 0, 3))])
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(90)], "id long, v array<double>")
+    first = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(3).collect()]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = u[first]
+    for _ in range(3):
+        own = np.argmax(np.round(u @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 9), axis=1)
+        c = np.stack([u[own == k].mean(axis=0) for k in range(3)])
+    want = np.argmax(np.round(u @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 9), axis=1)
+    _, members = S.lloyd(df, "id", "v", 3, 3)
+    assert {r.id: r.cluster for r in members.collect()} == dict(enumerate(want.tolist()))
+
+
+def test_bca_is_the_corrected_interval(spark):
+    rng = np.random.default_rng(9)
+    x = rng.exponential(2, 300)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "g int, id long, x double")
+    r = E.bca_mean(df, ["g"], "id", "x", replicates=400).first()
+    ids = np.array([row.h for row in df.orderBy("id").select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    w = E.poisson_weights(ids, 400, 7)
+    means = (x @ w) / w.sum(axis=0)
+    jack = (x.sum() - x) / (len(x) - 1)
+    d = jack.mean() - jack
+    low, high = E.bca_interval(means, x.mean(), (d**3).sum() / (6 * (d**2).sum() ** 1.5), 0.05)
+    assert abs(r.low - low) < 1e-9 and abs(r.high - high) < 1e-9 and low < x.mean() < high
+
+
+def test_line_windows_keep_fences(spark):
+    texts = ["", "a", "aaaa\nbbbb\ncc", "x\n```\n" + "code\n" * 9 + "```\nafter\nmore text here", "```\nnever closed\n" + "y\n" * 20]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.line_windows(F.col("t"), 8).alias("w")).collect():
+        want, now, fence = [], [], False
+        for line in r.t.split("\n"):
+            now.append(line)
+            fence ^= line.startswith("```")
+            if not fence and len("\n".join(now)) >= 8:
+                want.append("\n".join(now))
+                now = []
+        assert r.w == want + (["\n".join(now)] if now else []) and "\n".join(r.w) == r.t
+
+
+def test_greedy_spans_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(a), int(a + n), float(q)) for g, a, n, q in zip(rng.integers(0, 9, 200), rng.integers(0, 60, 200), rng.integers(1, 12, 200), rng.integers(0, 9, 200), strict=True)]
+    got = sorted(tuple(r) for r in X.greedy_spans(spark.createDataFrame(rows, "g int, a int, b int, q double"), "g", "a", "b", "q").collect())
+    want = []
+    for g in range(9):
+        kept = []
+        for _, a, b, q in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2])):
+            if not any(x < b and a < y for x, y in kept):
+                kept.append((a, b))
+                want.append((g, a, b, q))
+    assert got == sorted(want)
+
+
+def test_numbering_and_hubs(spark):
+    df = spark.range(0, 500, numPartitions=7).select((F.col("id") * 37 % 501).alias("k"))
+    assert [r.i for r in X.numbered(df, [F.col("k")], "i").orderBy("k").collect()] == list(range(500))
+    edges = [(1, 2), (2, 3), (1, 3), (3, 4), *((99, i) for i in range(200, 230))]
+    got = {tuple(r) for r in G.pruned_hubs(spark.createDataFrame(edges, "a long, b long"), 5, 0.3).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from marlstone import storage
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(spark)
