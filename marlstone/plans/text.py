@@ -117,7 +117,7 @@ _CAMEL = "[t FOR t IN string_split(lower(regexp_replace(regexp_replace(n, '([a-z
 
 @query(
     "str_16_24_names",
-    f"""SELECT n, array_to_string({_CAMEL}, ' ') AS parts, lower(regexp_replace(n, '(.)([A-Z])', '\\1_\\2', 'g')) AS snake,
+    f"""SELECT n, array_to_string({_CAMEL}, ' ') AS parts, lower(n[1] || regexp_replace(n[2:], '([A-Z])', '_\\1', 'g')) AS snake,
     CASE WHEN regexp_matches(n, '[^aeiou]y$') THEN regexp_replace(n, 'y$', 'ies') WHEN regexp_matches(n, '(s|x|z|ch|sh)$') THEN n || 'es' ELSE n || 's' END AS plural,
     CASE WHEN regexp_matches(n, 'ies$') THEN regexp_replace(n, 'ies$', 'y') WHEN regexp_matches(n, 'ses$') THEN regexp_replace(n, 'es$', '') WHEN regexp_matches(n, '[^s]s$') THEN regexp_replace(n, 's$', '') ELSE n END AS singular,
     array_to_string([regexp_replace(t, 's$', '') FOR t IN {_CAMEL}], '_') AS key,
