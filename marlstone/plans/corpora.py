@@ -315,10 +315,12 @@ def _(s, d):
 # ---- schemas and hierarchies
 
 
-@query("sch_03_04_categories", "SELECT * FROM (VALUES ('int', 'integer', true), ('decimal', 'float', false), ('date', 'dateTime', true)) v(a, b, same)")
+@query("sch_03_04_categories", "SELECT p_partkey, a, b, a IN ('int', 'long') AND b IN ('int', 'long', 'integer') OR a = 'decimal' AND b = 'decimal' OR a = 'float' AND b IN ('float', 'double') OR a = 'date' AND b IN ('date', 'dateTime') OR a = 'text' AND b = 'text' AS same FROM (SELECT p_partkey, ['int', 'decimal', 'float', 'date', 'text', 'long'][p_partkey % 6 + 1] AS a, ['integer', 'double', 'decimal', 'dateTime', 'text'][p_size % 5 + 1] AS b FROM part)")
 def _(s, d):
     kind = lambda c: F.when(F.col(c).isin("int", "integer", "long"), "whole").when(F.col(c).isin("decimal"), "exact").when(F.col(c).isin("float", "double"), "real").when(F.col(c).isin("date", "dateTime"), "time").otherwise("text")
-    return s.createDataFrame([("int", "integer"), ("decimal", "float"), ("date", "dateTime")], "a string, b string").select("a", "b", (kind("a") == kind("b")).alias("same"))
+    pick = lambda at, *names: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    pairs = table(s, d, "part").select("p_partkey", pick(F.col("p_partkey") % 6, "int", "decimal", "float", "date", "text", "long").alias("a"), pick(F.col("p_size") % 5, "integer", "double", "decimal", "dateTime", "text").alias("b"))
+    return pairs.select("p_partkey", "a", "b", (kind("a") == kind("b")).alias("same"))
 
 
 @query("sch_06_fidelity", "SELECT round(avg((l_shipdate >= o_orderdate)::INT), 6) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -335,10 +337,10 @@ def _(s, d):
     return df.select(F.inline(parts))
 
 
-@query("sch_22_26_generators", "SELECT i AS id, CASE WHEN u < 0.5227 THEN 'bare_id' WHEN u < 0.7254 THEN 'natural' ELSE 'table_id' END AS shape FROM (SELECT i, ('0x' || sha256('k:' || i)[1:12])::BIGINT / 281474976710656.0 AS u FROM range(0, 300) t(i))")
+@query("sch_22_26_generators", "SELECT c_custkey AS id, CASE WHEN u < 0.5227 THEN 'bare_id' WHEN u < 0.7254 THEN 'natural' ELSE 'table_id' END AS shape FROM (SELECT c_custkey, ('0x' || sha256('k:' || c_custkey)[1:12])::BIGINT / 281474976710656.0 AS u FROM customer)")
 def _(s, d):
-    u = H.unit(F.col("id"), "k")
-    return s.range(300).select("id", F.when(u < 0.5227, "bare_id").when(u < 0.7254, "natural").otherwise("table_id").alias("shape"))
+    u = H.unit(F.col("c_custkey"), "k")
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(u < 0.5227, "bare_id").when(u < 0.7254, "natural").otherwise("table_id").alias("shape"))
 
 
 @query("sch_28_views", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -191,9 +191,10 @@ def _(s, d):
     return c.groupBy("p_brand").agg(F.round(F.when(F.count("*") == 1, 0.0).otherwise(bits / F.log2(F.count("*"))), 6).alias("normed"), F.round(F.max("n") / t, 6).alias("top"))
 
 
-@query("sta_03_register_score", "SELECT round(0.4 * (1 - 0.1) + 0.4 * (1 - m) + 0.2 * greatest(0, 1 - abs(e - 0.516) / 0.516), 3) AS score FROM (SELECT 0.25 AS m, 0.4 AS e)")
+@query("sta_03_register_score", "SELECT l_orderkey, l_linenumber, round(0.4::DOUBLE * (1 - x) + 0.4::DOUBLE * (1 - m) + 0.2::DOUBLE * greatest(0, 1 - abs(e - 0.516::DOUBLE) / 0.516::DOUBLE), 3) AS score FROM (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS x, l_tax::DOUBLE AS m, l_quantity::DOUBLE / 64 AS e FROM lineitem)")
 def _(s, d):
-    return s.range(1).select(E.register_score(F.lit(0.1), F.lit(0.25), F.lit(0.4)).alias("score"))
+    number = lambda c: F.col(c).cast("double")
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", E.register_score(number("l_discount"), number("l_tax"), number("l_quantity") / 64).alias("score"))
 
 
 @query("sta_04_05_distinct_n", f"SELECT doc_id, round(len(list_distinct(g)) / greatest(len(g), 1), 6) AS distinct2 FROM (SELECT doc_id, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM (SELECT doc_id, {_W} AS w FROM documents))")
@@ -335,10 +336,12 @@ def _(s, d):
 # ---- arrays, maps and JSON
 
 
-@query("arr_01_list_or_string", "SELECT * FROM (VALUES (0, 'a,b'), (1, 'x,y'), (2, '')) v(i, items)")
+@query("arr_01_list_or_string", "SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN '' ELSE replace(p_name, ' ', ',') END AS items FROM part")
 def _(s, d):
-    df = s.createDataFrame([(0, '["a", "b"]'), (1, "['x', 'y']"), (2, "oops")], "i int, v string")
-    return df.select("i", F.array_join(F.coalesce(F.from_json(F.translate("v", "'", '"'), "array<string>"), F.expr("cast(array() as array<string>)")), ",").alias("items"))
+    """Lists as JSON, as a written list with single quotes, or as neither."""
+    double, single = (F.concat(F.lit(f"[{q}"), F.replace("p_name", F.lit(" "), F.lit(f"{q}, {q}")), F.lit(f"{q}]")) for q in ('"', "'"))
+    df = table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 3, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, single).otherwise(double).alias("v"))
+    return df.select("p_partkey", F.array_join(F.coalesce(F.from_json(F.translate("v", "'", '"'), "array<string>"), F.expr("cast(array() as array<string>)")), ",").alias("items"))
 
 
 @query("arr_02_03_json_facets", "SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type || '_k' AS facet FROM events")
