@@ -31,27 +31,41 @@ def _(s, d):
     return fresh.groupBy("h", "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
 
 
-_TTL = "\n\n".join(f":c{i} a skos:Concept ;\n skos:prefLabel \"Label {i}\" ;\n skos:broader :c{i // 2} ." for i in range(1, 9))
+def _scanned(s, d, name, text, sep):
+    """Text of all customers' entries, a file for each part of the table, read back entry by entry."""
+    path = scratch(s, name)
+    table(s, d, "customer").select(text.alias("value")).write.option("lineSep", sep).text(path)
+    return s.read.option("lineSep", sep).text(path)
 
 
-@query("src_21_22_turtle", "SELECT 'c' || i AS id, 'Label ' || i AS label, 'c' || (i // 2) AS broader FROM range(1, 9) t(i)")
+def _key(c="c_custkey"):
+    return F.col(c).cast("string")
+
+
+def _parent():
+    return F.floor(F.col("c_custkey") / 3).cast("string")
+
+
+@query("src_21_22_turtle", "SELECT 'c' || c_custkey AS id, c_name AS label, 'c' || (c_custkey // 3) AS broader FROM customer")
 def _(s, d):
-    blocks = s.createDataFrame([(_TTL,)], "t string").select(F.explode(F.split("t", "\n\n")).alias("b"))
-    part = lambda p: F.regexp_extract("b", p, 1)
-    return blocks.select(part(r"^:(\w+) a skos:Concept").alias("id"), part(r'skos:prefLabel "([^"]*)"').alias("label"), part(r"skos:broader :(\w+)").alias("broader"))
+    block = F.concat(F.lit(":c"), _key(), F.lit(' a skos:Concept ;\n skos:prefLabel "'), "c_name", F.lit('" ;\n skos:broader :c'), _parent(), F.lit(" ."))
+    blocks = _scanned(s, d, "turtle", block, "\n\n")
+    part = lambda p: F.regexp_extract("value", p, 1)
+    return blocks.select(part(r":(\w+) a skos:Concept").alias("id"), part(r'skos:prefLabel "([^"]*)"').alias("label"), part(r"skos:broader :(\w+)").alias("broader"))
 
 
-@query("src_20_owl_xml", "SELECT 'A' AS class, 'Thing' AS parent UNION ALL SELECT 'B', 'A'")
+@query("src_20_owl_xml", "SELECT c_name AS class, 'C' || (c_custkey // 3) AS parent FROM customer")
 def _(s, d):
-    xml = '<Class ID="A"><subClassOf resource="Thing"/></Class><Class ID="B"><subClassOf resource="A"/></Class>'
-    rows = s.createDataFrame([(xml,)], "x string").select(F.explode(F.regexp_extract_all("x", F.lit(r"(?s)(<Class .*?</Class>)"), F.lit(1))).alias("c"))
+    xml = F.concat(F.lit('<Class ID="'), "c_name", F.lit('"><subClassOf resource="C'), _parent(), F.lit('"/></Class>'))
+    rows = _scanned(s, d, "owl", xml, "\n").select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<Class .*?</Class>)"), F.lit(1))).alias("c"))
     return rows.select(F.regexp_extract("c", 'ID="([^"]*)"', 1).alias("class"), F.regexp_extract("c", 'resource="([^"]*)"', 1).alias("parent"))
 
 
-@query("src_19_graph_json", "SELECT * FROM (VALUES ('A', 'Thing'), ('B', 'A'), ('B', 'Thing')) v(id, parent)")
+@query("src_19_graph_json", "SELECT c_name AS id, 'C' || (c_custkey // 3) AS parent FROM customer UNION ALL SELECT c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
 def _(s, d):
-    text = '{"g": [{"id": "A", "parent": ["Thing"]}, {"id": "B", "parent": ["A", "Thing"]}]}'
-    rows = s.createDataFrame([(text,)], "t string").select(F.explode(F.from_json("t", "g array<struct<id string, parent array<string>>>")["g"]).alias("n"))
+    parents = F.when(F.col("c_custkey") % 2 == 0, F.array(F.concat(F.lit("C"), _parent()), F.col("c_mktsegment"))).otherwise(F.array(F.concat(F.lit("C"), _parent())))
+    graph = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("id"), parents.alias("parent"))).alias("g")))
+    rows = _scanned(s, d, "graph", graph, "\n").select(F.explode(F.from_json("value", "g array<struct<id string, parent array<string>>>")["g"]).alias("n"))
     return rows.select("n.id", F.explode("n.parent").alias("parent"))
 
 
