@@ -56,6 +56,14 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def uuid7(at: Column, key: Column) -> Column:
+    """HSH-12: a version 7 id of a time and, in place of chance, of the sha256 of a key: a repeated task mints it again."""
+    ms = F.lpad(F.lower(F.hex(F.unix_millis(at))), 12, "0")
+    r = F.sha2(key.cast("binary"), 256)
+    variant = F.substr(F.lit("89ab"), F.conv(F.substring(r, 4, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(ms, 1, 8), F.substring(ms, 9, 4), F.concat(F.lit("7"), F.substring(r, 1, 3)), F.concat(variant, F.substring(r, 5, 3)), F.substring(r, 8, 12))
+
+
 def is_uuid7(value: Column) -> Column:
     """HSH-12."""
     return value.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")

@@ -13,6 +13,7 @@ from marlstone.operators import similarity as S
 from marlstone.plans.catalog import query
 from marlstone.sources import io
 from marlstone.storage import scratch, table
+from marlstone.streaming.events import trails
 
 # ---- scans
 
@@ -343,12 +344,14 @@ def _(s, d):
     return met.agg(F.round(F.avg((F.col("l_shipdate") >= F.col("o_orderdate")).cast("int")), 6).alias("score"))
 
 
-@query("sch_08_restrictions", "SELECT * FROM (VALUES ('hasPart', 'some', 'Wheel'), ('hasOwner', 'only', 'Person')) v(property, quantifier, filler)")
+@query("sch_08_restrictions", "SELECT p_partkey, 'has' || p_type AS property, 'some' AS quantifier, string_split(p_name, ' ')[1] AS filler FROM part UNION ALL SELECT p_partkey, 'of' || p_size, 'only', string_split(p_name, ' ')[-1] FROM part WHERE p_partkey % 3 > 0")
 def _(s, d):
-    df = s.createDataFrame([("hasPart some Wheel and hasOwner only Person",)], "t string")
+    pieces = F.split("p_name", " ")
+    one = F.concat(F.lit("has"), "p_type", F.lit(" some "), F.element_at(pieces, 1))
+    other = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("of"), F.col("p_size").cast("string"), F.lit(" only "), F.element_at(pieces, -1)))
     p = F.lit(r"(\w+) (some|only) (\w+)")
-    parts = F.arrays_zip(*(F.regexp_extract_all("t", p, F.lit(i)).alias(n) for i, n in enumerate(("property", "quantifier", "filler"), 1)))
-    return df.select(F.inline(parts))
+    found = F.arrays_zip(*(F.regexp_extract_all("t", p, F.lit(i)).alias(n) for i, n in enumerate(("property", "quantifier", "filler"), 1)))
+    return table(s, d, "part").select("p_partkey", F.concat_ws(" and ", one, other).alias("t")).select("p_partkey", F.inline(found))
 
 
 @query("sch_22_26_generators", "SELECT c_custkey AS id, CASE WHEN u < 0.5227 THEN 'bare_id' WHEN u < 0.7254 THEN 'natural' ELSE 'table_id' END AS shape FROM (SELECT c_custkey, ('0x' || sha256('k:' || c_custkey)[1:12])::BIGINT / 281474976710656.0 AS u FROM customer)")
@@ -365,12 +368,10 @@ def _(s, d):
 # ---- read models, trails and functions of the caller
 
 
-@query("stm_09_trail", "SELECT user_id, max(event_id) AS top FROM events GROUP BY 1")
+@query("stm_09_trail", "SELECT user_id, array_to_string(list_reduce(c, lambda t, x: CASE WHEN list_contains(t, x[1]) THEN t[:list_position(t, x[1])] ELSE list_append(t[-2:], x[1]) END), '>') AS trail FROM (SELECT user_id, list([event_type] ORDER BY event_id) AS c FROM events GROUP BY 1)")
 def _(s, d):
-    clicks = F.sort_array(F.collect_list("event_id"))
-    # a click on a known panel cuts the trail there; ids are new, so each click extends it
-    trail = F.aggregate(F.col("c"), F.expr("cast(array() as array<bigint>)"), lambda t, x: F.when(F.array_contains(t, x), F.slice(t, 1, F.array_position(t, x).cast("int"))).otherwise(F.slice(F.array_append(t, x), F.greatest(F.lit(1), F.size(t) - 3), F.lit(5))))
-    return table(s, d, "events").groupBy("user_id").agg(clicks.alias("c")).select("user_id", F.element_at(trail, -1).alias("top"))
+    clicks = table(s, d, "events").select("user_id", "event_id", F.col("event_type").alias("panel"))
+    return trails(clicks, "user_id", "event_id", "panel", most=3).select("user_id", F.array_join("trail", ">").alias("trail"))
 
 
 @query("stm_10_peer_walk", "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey // 3, c_custkey FROM customer WHERE c_custkey > 0), w(node, distance) AS (SELECT 5::BIGINT, 0 UNION SELECT b, distance + 1 FROM w JOIN e ON node = a WHERE distance < 3) SELECT node, min(distance)::INT AS distance FROM w GROUP BY 1")

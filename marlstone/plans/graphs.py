@@ -176,12 +176,14 @@ def _(s, d):
     return table(s, d, "supplier").select("s_suppkey", F.coalesce(F.nullif(F.lit(None).cast("string"), F.lit("")), F.nullif(F.lit(""), F.lit("")), "s_name").alias("shown"), F.array_join(F.concat(F.array(low), pieces), "|").alias("tokens"))
 
 
-@query("grf_14_chain_check", "SELECT * FROM (VALUES (2, 'z')) v(step, missing)")
-def _(s, d):
-    steps = s.createDataFrame([(0, [], ["a"]), (1, ["a"], ["b"]), (2, ["a", "z"], ["c"]), (3, ["b", "c"], [])], "step int, inputs array<string>, outputs array<string>")
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a declared chain: a few steps
-    known = F.flatten(F.collect_list("outputs").over(w))
-    return steps.withColumn("known", known).select("step", F.explode(F.array_except("inputs", "known")).alias("missing"))
+@query("grf_14_chain_check", "SELECT l_orderkey, l_linenumber AS step, l_suppkey % 4 AS missing FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey % 4 = a.l_suppkey % 4 AND b.l_linenumber < a.l_linenumber)")
+def _(s, d):
+    """Steps of chains (lines of orders) whose input no earlier step of the chain gives: each output's first step, joined to the inputs."""
+    lines = table(s, d, "lineitem")
+    given = lines.groupBy("l_orderkey", (F.col("l_partkey") % 4).alias("missing")).agg(F.min("l_linenumber").alias("first"))
+    wanted = lines.select("l_orderkey", F.col("l_linenumber").alias("step"), (F.col("l_suppkey") % 4).alias("missing"))
+    met = wanted.join(given, ["l_orderkey", "missing"], "left")
+    return met.where("first IS NULL OR first >= step").select("l_orderkey", "step", "missing")
 
 
 #: Orders, their customers and their lines: a forest of stars on stars, so components have a closed form.

@@ -79,23 +79,30 @@ def _(s, d):
     return table(s, d, "orders").join(out, "o_orderpriority", "left_anti").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-_MAXIMAL = [["a", "b", "c"], ["c", "d"]]
-_PUNCTURED = [["a", "b", "c"]]
-_SETS = [(0, ["a", "b"]), (1, ["a", "b", "c"]), (2, ["a", "d"]), (3, ["d"]), (4, ["c", "d"])]
+_MAXIMAL = [["A", "N", "R"], ["F", "R"], ["A", "F"], ["O"]]
+_PUNCTURED = [["A", "N", "R"]]
 
 
-@query("fil_13_14_closure", "SELECT * FROM (VALUES (0, true, 'a,b'), (1, false, 'a,b'), (2, false, 'a'), (3, true, 'd'), (4, true, 'c,d')) v(i, allowed, face)")
+@query(
+    "fil_13_14_closure",
+    """WITH o AS (SELECT list_sort(list_distinct(list(l_returnflag) || list(l_linestatus))) AS s FROM lineitem GROUP BY l_orderkey), c AS (SELECT s, count(*) AS n FROM o GROUP BY 1),
+    f AS (SELECT s, n, [s[i] FOR i IN range(1, len(s) + 1) IF (b >> (i - 1)) & 1 = 1] AS face FROM c, range(1, 32) t(b) WHERE b < 2 ** len(s)),
+    a AS (SELECT *, face <> ['A', 'N', 'R'] AND (list_has_all(['A', 'N', 'R'], face) OR list_has_all(['F', 'R'], face) OR list_has_all(['A', 'F'], face) OR list_has_all(['O'], face)) AS ok FROM f)
+    SELECT array_to_string(s, ',') AS flags, any_value(n) AS n, bool_or(ok AND len(face) = len(a.s)) AS allowed, arg_min(array_to_string(face, ','), printf('%d', 9 - len(face)) || array_to_string(face, ',')) FILTER (ok) AS face FROM a GROUP BY a.s""",
+)
 def _(s, d):
-    sets = s.createDataFrame(_SETS, "i int, s array<string>")
+    """Orders' sets of line flags against a closure: which are allowed, and the largest allowed part of each. Flags are five, so are a set's members at most."""
+    flags = F.sort_array(F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus")))
+    sets = table(s, d, "lineitem").groupBy("l_orderkey").agg(flags.alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     maximal, punctured = (F.array(*(F.array(*map(F.lit, m)) for m in ms)) for ms in (_MAXIMAL, _PUNCTURED))
 
     def allowed(x):
         return F.exists(maximal, lambda m: F.size(F.array_except(x, m)) == 0) & ~F.exists(punctured, lambda p: F.array_sort(x) == p)
 
-    faces = sets.select("i", "s", F.explode(F.sequence(F.lit(1), (F.pow(2, F.size("s")) - 1).cast("int"))).alias("bits"))
-    faces = faces.select("i", "s", F.expr("filter(s, (x, k) -> (shiftright(bits, k) & 1) = 1)").alias("face")).where(allowed(F.col("face")))
-    best = faces.groupBy("i", "s").agg(F.min_by(F.array_join("face", ","), F.struct(-F.size("face"), F.array_join("face", ","))).alias("face"))
-    return best.select("i", allowed(F.col("s")).alias("allowed"), "face")
+    faces = sets.select("s", F.explode(F.sequence(F.lit(1), (F.pow(2, F.size("s")) - 1).cast("int"))).alias("bits"))
+    faces = faces.select("s", F.expr("filter(s, (x, k) -> (shiftright(bits, k) & 1) = 1)").alias("face")).where(allowed(F.col("face")))
+    best = faces.groupBy("s").agg(F.min_by(F.array_join("face", ","), F.struct(-F.size("face"), F.array_join("face", ","))).alias("face"))
+    return sets.join(best, "s", "left").select(F.array_join("s", ",").alias("flags"), "n", allowed(F.col("s")).alias("allowed"), "face")
 
 
 @query("fil_15_path_safe", r"SELECT c_custkey, regexp_matches(c_name, '^[\p{L}\p{N}_-]{1,64}$') AS safe FROM customer")
@@ -207,10 +214,12 @@ def _(s, d):
     return J.inclusion(values, keys)
 
 
-@query("joi_17_reverse_fk", "SELECT * FROM (VALUES ('region', 'nation'), ('nation', 'customer,supplier'), ('customer', 'orders')) v(ref, referenced_by)")
+@query("joi_17_reverse_fk", "SELECT key, string_agg(DISTINCT name, ',' ORDER BY name) AS referenced_by FROM (SELECT n_nationkey AS key, 'customer' AS name FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, 'supplier' FROM nation JOIN supplier ON s_nationkey = n_nationkey) GROUP BY 1")
 def _(s, d):
-    fks = s.createDataFrame([("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer")], "name string, ref string")
-    return fks.groupBy("ref").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("referenced_by"))
+    """Which tables' rows point at each nation: a set of two table names at most."""
+    uses = table(s, d, "customer").select(F.col("c_nationkey").alias("key"), F.lit("customer").alias("name")).union(table(s, d, "supplier").select("s_nationkey", F.lit("supplier"))).distinct()
+    known = uses.join(table(s, d, "nation").select(F.col("n_nationkey").alias("key")), "key", "left_semi")
+    return known.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("referenced_by"))
 
 
 @query("joi_18_chain", "SELECT round(avg(a::INT), 6) AS ordered, round(avg((a AND b)::INT), 6) AS shipped FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS a, c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F') AS b FROM customer)")

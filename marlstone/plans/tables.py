@@ -39,10 +39,12 @@ def _(s, d):
     return s.createDataFrame([(C.create_table("region", table(s, d, "region").schema),)], "ddl string")
 
 
-@query("sch_11_sql_features", "SELECT * FROM (VALUES (0, 1, 0), (1, 0, 1), (2, 2, 0)) v(i, joins, groups)")
+@query("sch_11_sql_features", "SELECT p_partkey, p_size % 4 AS joins, (p_partkey % 2)::INT AS groups FROM part")
 def _(s, d):
-    df = s.createDataFrame([(0, "select 1 from a join b on x"), (1, "select k from t group by k"), (2, "select 1 from a join b on x join c on y")], "i int, q string")
-    return df.select("i", F.regexp_count("q", F.lit(r"(?i)\bjoin\b")).alias("joins"), F.regexp_count("q", F.lit(r"(?i)\bgroup by\b")).alias("groups"))
+    join = F.repeat(F.lit(" join u on x"), F.col("p_size") % 4)
+    made = F.concat(F.lit("select k from t"), join, F.when(F.col("p_partkey") % 2 == 1, " group by k").otherwise(""))
+    df = table(s, d, "part").select("p_partkey", made.alias("q"))
+    return df.select("p_partkey", F.regexp_count("q", F.lit(r"(?i)\bjoin\b")).alias("joins"), F.regexp_count("q", F.lit(r"(?i)\bgroup by\b")).alias("groups"))
 
 
 @query("sch_13_14_junction", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
@@ -62,16 +64,18 @@ def _(s, d):
     return table(s, d, "orders").join(dim, "o_orderpriority").select("o_orderkey", "code")
 
 
-@query("sch_17_wide_names", "SELECT * FROM (VALUES ('customer', 'name', 'customer_name'), ('customer', 'segment', 'segment'), ('supplier', 'name', 'supplier_name'), ('supplier', 'balance', 'balance')) v(member, col, wide)")
+@query("sch_17_wide_names", "WITH m AS (SELECT DISTINCT p_brand AS member, string_split(p_name, ' ')[1] || CASE WHEN p_size <= 3 THEN p_partkey::VARCHAR ELSE '' END AS col FROM part) SELECT member, col, CASE WHEN count(*) OVER (PARTITION BY col) > 1 THEN member || '_' || col ELSE col END AS wide FROM m")
 def _(s, d):
-    df = s.createDataFrame([("customer", "name"), ("customer", "segment"), ("supplier", "name"), ("supplier", "balance")], "member string, col string")
-    n = F.count("*").over(Window.partitionBy("col"))
-    return df.select("member", "col", F.when(n > 1, F.concat_ws("_", "member", "col")).otherwise(F.col("col")).alias("wide"))
+    col = F.concat(F.split("p_name", " ")[0], F.when(F.col("p_size") <= 3, F.col("p_partkey").cast("string")).otherwise(""))
+    df = table(s, d, "part").select(F.col("p_brand").alias("member"), col.alias("col")).distinct()
+    shared = df.groupBy("col").agg(F.count("*").alias("n"))
+    return df.join(shared, "col").select("member", "col", F.when(F.col("n") > 1, F.concat_ws("_", "member", "col")).otherwise(F.col("col")).alias("wide"))
 
 
-@query("sch_18_19_synthesis", "SELECT i AS pk, ('0x' || sha256('fk:' || i)[1:12])::BIGINT % 25 AS fk FROM range(0, 500) t(i)")
+@query("sch_18_19_synthesis", "SELECT o_orderkey AS pk, ('0x' || sha256('fk:' || o_orderkey)[1:12])::BIGINT % (SELECT count(*) FROM nation) AS fk FROM orders")
 def _(s, d):
-    return s.range(500).select(F.col("id").alias("pk"), (H.draw(F.col("id"), "fk") % 25).alias("fk"))
+    parents = table(s, d, "nation").agg(F.count("*").alias("n"))  # one row
+    return table(s, d, "orders").crossJoin(F.broadcast(parents)).select(F.col("o_orderkey").alias("pk"), (H.draw(F.col("o_orderkey"), "fk") % F.col("n")).alias("fk"))
 
 
 @query("sch_20_precedence", "SELECT p_partkey, coalesce(CASE WHEN p_size < 5 THEN 'enum' END, CASE WHEN p_size < 10 THEN 'typed' END, CASE WHEN p_size < 40 THEN p_name END, 'placeholder') AS v FROM part")
@@ -80,12 +84,12 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", F.coalesce(F.when(z < 5, "enum"), F.when(z < 10, "typed"), F.when(z < 40, F.col("p_name")), F.lit("placeholder")).alias("v"))
 
 
-_KEYS = ["id", "order_id", "customer_id", "uuid", "name", "billing_address_id", "parent_key", "code"]
-
-
-@query("sch_21_30_31_key_names", "SELECT * FROM (VALUES ('id', 'bare_id'), ('order_id', 'table_id'), ('customer_id', 'other_id'), ('uuid', 'natural'), ('name', 'natural'), ('billing_address_id', 'other_id'), ('parent_key', 'natural'), ('code', 'natural')) v(n, shape)")
+@query("sch_21_30_31_key_names", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'bare_id' WHEN 1 THEN 'table_id' WHEN 2 THEN CASE WHEN string_split(p_name, ' ')[1] = string_split(p_name, ' ')[-1] THEN 'table_id' ELSE 'other_id' END WHEN 3 THEN 'other_id' ELSE 'natural' END AS shape FROM part")
 def _(s, d):
-    return s.createDataFrame([(k,) for k in _KEYS], "n string").select("n", C.key_shape(F.col("n"), F.lit("order")).alias("shape"))
+    words_of = F.split("p_name", " ")
+    first, last = F.element_at(words_of, 1), F.element_at(words_of, -1)
+    names = F.array(F.lit("ID"), F.concat(last, F.lit("_id")), F.concat(first, F.lit("_id")), F.concat(F.lit("parent_"), last, F.lit("_id")), F.concat(first, F.lit("_key")), F.lit("uuid"))
+    return table(s, d, "part").select("p_partkey", C.key_shape(F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")), last).alias("shape"))
 
 
 @query("sch_25_convention", "SELECT * FROM (VALUES ('n_regionkey', 'region', 0::BIGINT), ('c_nationkey', 'nation', 0::BIGINT)) v(fk, target, orphans)")
@@ -155,11 +159,14 @@ def _(s, d):
     return table(s, d, "documents").withColumn("r", r).where("r <= 40").groupBy("source").agg((F.count_if(F.contains(F.lower("text"), F.lit("all rights"))) >= 2).alias("dropped"))
 
 
-@query("dq_10_notation", "SELECT * FROM (VALUES ('1.2', true), ('3', false), ('x', false), ('7', true)) v(child, ok)")
+@query("dq_10_notation", "SELECT p_partkey, p_partkey % 5 NOT IN (3, 4) AS ok FROM part")
 def _(s, d):
-    df = s.createDataFrame([("1.2", "1"), ("3", "1.1"), ("x", "1"), ("7", None)], "child string, parent string")
+    """A child's notation is its parent's, or that and a point and more; without a parent any will do. Here 3 is another branch and 4 lacks the point."""
+    own, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    child = F.when(k == 0, F.concat(own, F.lit(".2"))).when(k == 1, own).when(k == 2, "x").when(k == 3, F.concat(F.lit("0."), own)).otherwise(F.concat(own, F.lit("2")))
+    df = table(s, d, "part").select("p_partkey", child.alias("child"), F.when(k != 2, own).alias("parent"))
     ok = F.col("parent").isNull() | (F.col("child") == F.col("parent")) | F.col("child").startswith(F.concat("parent", F.lit(".")))
-    return df.select("child", ok.alias("ok"))
+    return df.select("p_partkey", ok.alias("ok"))
 
 
 @query("dq_11_common_values", "SELECT p_name, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 10")
@@ -167,12 +174,13 @@ def _(s, d):
     return table(s, d, "part").groupBy("p_name").agg(F.count_distinct("p_brand").alias("brands")).where("brands >= 10")
 
 
-@query("dq_12_slots", "SELECT * FROM (VALUES ('a', 'missing'), ('c', 'unused')) v(slot, error)")
+@query("dq_12_slots", "WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b, lower(p_type) AS c FROM part) SELECT p_partkey, a AS slot, 'missing' AS error FROM p WHERE a NOT IN (b, c) UNION ALL SELECT p_partkey, c, 'unused' FROM p WHERE c NOT IN (a, b)")
 def _(s, d):
-    used = s.createDataFrame([("x {a} and {b}",)], "t string").select(F.explode(F.regexp_extract_all("t", F.lit(r"\{(\w+)\}"), F.lit(1))).alias("slot")).withColumn("used", F.lit(True))
-    declared = s.createDataFrame([("b",), ("c",)], "slot string").withColumn("declared", F.lit(True))
-    met = used.join(declared, "slot", "full_outer")
-    return met.select("slot", F.when(F.col("declared").isNull(), "missing").when(F.col("used").isNull(), "unused").alias("error")).where("error IS NOT NULL")
+    words_of = F.split("p_name", " ")
+    text = F.format_string("x {%s} and {%s}", F.element_at(words_of, 1), F.element_at(words_of, -1))
+    p = table(s, d, "part").select("p_partkey", F.regexp_extract_all(text, F.lit(r"\{(\w+)\}"), F.lit(1)).alias("used"), F.array(F.element_at(words_of, -1), F.lower("p_type")).alias("declared"))
+    wrong = lambda a, b, name: F.transform(F.array_except(a, b), lambda x: F.struct(x.alias("slot"), F.lit(name).alias("error")))
+    return p.select("p_partkey", F.inline(F.concat(wrong("used", "declared", "missing"), wrong("declared", "used", "unused"))))
 
 
 # ---- synthetic statements
@@ -191,9 +199,10 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", F.replace(text, F.col("p_type"), other).alias("swapped"))
 
 
-@query("syn_07_typed_table", "SELECT i AS id, 'item_' || i % 7 AS label, ('0x' || sha256('v:' || i)[1:12])::BIGINT % 1000 / 10.0 AS v FROM range(0, 100) t(i)")
+@query("syn_07_typed_table", "SELECT c_custkey AS id, 'item_' || c_custkey % 7 AS label, ('0x' || sha256('v:' || c_custkey)[1:12])::BIGINT % 1000 / 10.0 AS v FROM customer")
 def _(s, d):
-    return s.range(100).select("id", F.concat(F.lit("item_"), (F.col("id") % 7).cast("string")).alias("label"), (H.draw(F.col("id"), "v") % 1000 / 10.0).alias("v"))
+    k = F.col("c_custkey")
+    return table(s, d, "customer").select(k.alias("id"), F.concat(F.lit("item_"), (k % 7).cast("string")).alias("label"), (H.draw(k, "v") % 1000 / 10.0).alias("v"))
 
 
 # ---- bytes, serialisation, mixtures
@@ -368,9 +377,12 @@ def _(s, d):
     return table(s, d, "documents").select("source").distinct()
 
 
-@query("orc_03_stage_key", "SELECT sha256('a:1|b:2')[1:12] AS key")
+@query("orc_03_stage_key", "SELECT n_regionkey, sha256(string_agg(x, '|' ORDER BY x))[1:12] AS key FROM (SELECT n_regionkey, n_name || ':' || sha256(n_name)[1:8] AS x FROM nation) GROUP BY 1")
 def _(s, d):
-    return s.createDataFrame([("b", "2"), ("a", "1")], "c string, h string").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "c", "h"))), "|").cast("binary"), 256), 1, 12).alias("key"))
+    """A stage's key from its inputs' names and hashes: a region is a stage, its nations are the inputs (few for any stage)."""
+    one = F.concat_ws(":", "n_name", F.substring(F.sha2(F.col("n_name").cast("binary"), 256), 1, 8))
+    listed = F.array_join(F.sort_array(F.collect_list(one)), "|")
+    return table(s, d, "nation").groupBy("n_regionkey").agg(F.substring(F.sha2(listed.cast("binary"), 256), 1, 12).alias("key"))
 
 
 @query("orc_05_matrix", "SELECT DISTINCT c_mktsegment, r_name FROM customer, region")

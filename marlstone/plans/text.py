@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import hashing as H
@@ -35,19 +35,33 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy(T.mask(F.col("c_name")).alias("mask")).agg(F.count("*").alias("n"))
 
 
-HEADERS = ["id", "customer_id", "No", "Index", "Total Price", "price_usd", "Weight (kg)", "orderDate", "first name", "#", "Share (%)", "x"]
-_HEADER_VALUES = ", ".join(f"('{h}')" for h in HEADERS)
+#: The first and the last word of a part's name, the last with a capital, and the name with capitals.
+_FIRST = "string_split(p_name, ' ')[1]"
+_LAST = ("upper(string_split(p_name, ' ')[-1][1]) || string_split(p_name, ' ')[-1][2:]", "string_split(p_name, ' ')[-1]")
+_TITLE = "array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(p_name, ' ')], ' ')"
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the first and the last word of their names."""
+    pieces = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").withColumns({"first": F.element_at(pieces, 1), "last": F.element_at(pieces, -1)})
+
+
+def spelt(key: str, *forms: Column) -> Column:
+    """One of several forms, by a row's key."""
+    return F.element_at(F.array(*forms), (F.col(key) % len(forms) + 1).cast("int"))
 
 
 @query(
     "str_04_05_header_register",
-    f"""SELECT h, regexp_matches(h, '(?i)^(id|.*_id|no|no\\.|nr|#|index|key|code|uuid|guid)$') AS is_id,
+    f"""SELECT p_partkey, h, regexp_matches(h, '(?i)^(id|.*_id|no|no\\.|nr|#|index|key|code|uuid|guid)$') AS is_id,
     CASE WHEN regexp_matches(h, '\\((%|[a-z]{{1,4}}(/[a-z]{{1,4}})?)\\)|_(pct|usd|eur|kg|km|ms|sec)$') THEN 'unit' WHEN regexp_matches(h, '^[a-z0-9]+(_[a-z0-9]+)+$|^[a-z]+[A-Z][A-Za-z0-9]*$') THEN 'machine'
-    WHEN regexp_matches(h, '^[A-Z][A-Za-z]*([ -][A-Za-z]+)*$') THEN 'human' ELSE 'other' END AS register FROM (VALUES {_HEADER_VALUES}) t(h)""",
+    WHEN regexp_matches(h, '^[A-Z][A-Za-z]*([ -][A-Za-z]+)*$') THEN 'human' ELSE 'other' END AS register
+    FROM (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN {_TITLE} WHEN 2 THEN {_TITLE} || ' (kg)' WHEN 3 THEN {_FIRST} || '_id' WHEN 4 THEN {_FIRST} || {_LAST[0]} WHEN 5 THEN p_brand ELSE {_FIRST} || '_usd' END AS h FROM part)""",
 )
 def _(spark, sf_dir):
-    df = spark.createDataFrame([(h,) for h in HEADERS], "h string")
-    return df.select("h", T.is_identifier_header(F.col("h")).alias("is_id"), T.header_register(F.col("h")).alias("register"))
+    df = parts(spark, sf_dir).select("p_partkey", spelt("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")), F.initcap("p_name"), F.concat(F.initcap("p_name"), F.lit(" (kg)")), F.concat("first", F.lit("_id")), F.concat("first", F.initcap("last")), F.col("p_brand"), F.concat("first", F.lit("_usd"))).alias("h"))
+    return df.select("p_partkey", "h", T.is_identifier_header(F.col("h")).alias("is_id"), T.header_register(F.col("h")).alias("register"))
 
 
 _SYL = "greatest(1, len(regexp_extract_all(lower({w}), '[aeiouy]+')) - CASE WHEN regexp_matches(lower({w}), '[^aeiouy]e$') THEN 1 ELSE 0 END)"
@@ -110,25 +124,27 @@ def _(spark, sf_dir):
     return notes(spark, sf_dir).select("doc_id", T.heading(F.col("note")).alias("title"))
 
 
-NAMES = ["OrderLineItem", "customer_id", "regionName", "HTTPServer", "total price", "boxes", "cities", "classes", "Analysis", "tax", "branch", "key", "status_codes", "2nd_value"]
-_NAME_VALUES = ", ".join(f"('{n}')" for n in NAMES)
 _CAMEL = "[t FOR t IN string_split(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\W]+', ' ', 'g')), ' ') IF t <> '']"
 
 
 @query(
     "str_16_24_names",
-    f"""SELECT n, array_to_string({_CAMEL}, ' ') AS parts, lower(n[1] || regexp_replace(n[2:], '([A-Z])', '_\\1', 'g')) AS snake,
+    f"""SELECT p_partkey, n, array_to_string({_CAMEL}, ' ') AS parts, lower(n[1] || regexp_replace(n[2:], '([A-Z])', '_\\1', 'g')) AS snake,
     CASE WHEN regexp_matches(n, '[^aeiou]y$') THEN regexp_replace(n, 'y$', 'ies') WHEN regexp_matches(n, '(s|x|z|ch|sh)$') THEN n || 'es' ELSE n || 's' END AS plural,
     CASE WHEN regexp_matches(n, 'ies$') THEN regexp_replace(n, 'ies$', 'y') WHEN regexp_matches(n, 'ses$') THEN regexp_replace(n, 'es$', '') WHEN regexp_matches(n, '[^s]s$') THEN regexp_replace(n, 's$', '') ELSE n END AS singular,
     array_to_string([regexp_replace(t, 's$', '') FOR t IN {_CAMEL}], '_') AS key,
     regexp_replace(regexp_replace(lower(n), '_(id|key|code|name|tbl|table)$', ''), '([^s])s$', '\\1') AS stem,
     CASE WHEN regexp_matches(lower(regexp_replace(n, '[^A-Za-z0-9_]+', '_', 'g')), '^[a-z_]') THEN lower(regexp_replace(n, '[^A-Za-z0-9_]+', '_', 'g')) ELSE 't_' || lower(regexp_replace(n, '[^A-Za-z0-9_]+', '_', 'g')) END AS identifier,
     array_to_string([CASE WHEN length(t) > 4 THEN (t[1] || regexp_replace(t[2:], '[aeiou]', '', 'g'))[1:5] ELSE t END FOR t IN string_split(n, '_')], '_') AS short,
-    regexp_replace(lower(n), '[^a-z0-9:/.\\-]+', '-', 'g') AS slug FROM (VALUES {_NAME_VALUES}) v(n)""",
+    regexp_replace(lower(n), '[^a-z0-9:/.\\-]+', '-', 'g') AS slug
+    FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN {_FIRST} || {_LAST[0]} WHEN 1 THEN {_FIRST} || '_' || {_LAST[1]} || '_id' WHEN 2 THEN {_TITLE} WHEN 3 THEN p_size || ' ' || p_name WHEN 4 THEN p_brand || 'Boxes' ELSE p_type || {_LAST[0]} || 's' END AS n FROM part)""",
 )
 def _(spark, sf_dir):
     n = F.col("n")
-    return spark.createDataFrame([(x,) for x in NAMES], "n string").select(
+    last = F.initcap("last")
+    forms = (F.concat("first", last), F.concat("first", F.lit("_"), "last", F.lit("_id")), F.initcap("p_name"), F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name"), F.concat("p_brand", F.lit("Boxes")), F.concat("p_type", last, F.lit("s")))
+    return parts(spark, sf_dir).select("p_partkey", spelt("p_partkey", *forms).alias("n")).select(
+        "p_partkey",
         "n",
         F.array_join(T.camel_tokens(n), " ").alias("parts"),
         T.snake(n).alias("snake"),
@@ -187,20 +203,18 @@ def _(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunk_paragraphs(F.col("text"))).alias("chunk", "body"))
 
 
-SQL_TEXTS = ["SELECT a.id, b.name AS label, count(x, y) FROM orders a JOIN lines b ON a.id = b.id", "SELECT max(v) AS top FROM s.t", "select one from two join three on 1 = 1 join two on 2 = 2"]
-
-
-@query("str_34_35_sql_parts", "SELECT * FROM (VALUES (0, 'id,label,y', 'orders,lines'), (1, 'top', 's.t'), (2, 'one', 'two,three,two')) v(i, names, tables)")
+@query("str_34_35_sql_parts", f"SELECT p_partkey, {_FIRST} || ',top_' || p_size || ',' || {_LAST[1]} AS names, lower(p_type) || ',s.' || {_FIRST} AS tables FROM part")
 def _(spark, sf_dir):
-    df = spark.createDataFrame(list(enumerate(SQL_TEXTS)), "i int, sql string")
+    """Statements made of every part's words: a plain column, one with another name, a call of two arguments; two tables, one of a schema."""
+    made = F.format_string("SELECT a.%s, max(v) AS top_%d, count(x, %s) FROM %s JOIN s.%s ON 1 = 1", "first", "p_size", "last", F.lower("p_type"), "first")
     listed = F.regexp_extract("sql", r"(?i)^select (.*?) from ", 1)
-    return df.select("i", F.array_join(T.select_names(listed), ",").alias("names"), F.array_join(T.table_references(F.col("sql")), ",").alias("tables"))
+    return parts(spark, sf_dir).select("p_partkey", made.alias("sql")).select("p_partkey", F.array_join(T.select_names(listed), ",").alias("names"), F.array_join(T.table_references(F.col("sql")), ",").alias("tables"))
 
 
-@query("str_36_closed_list", "SELECT * FROM (VALUES (0, 'open|closed|new'), (1, ''), (2, ''), (3, 'a|b')) v(i, options)")
+@query("str_36_closed_list", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'open|' || {_FIRST} || '|' || {_LAST[1]} WHEN 3 THEN {_FIRST} || '|' || p_size ELSE '' END AS options FROM part")
 def _(spark, sf_dir):
-    df = spark.createDataFrame([(0, "The state (open, closed or new)."), (1, "No list (only one)."), (2, "Some (e.g. a, b)."), (3, "Two (a, b) here")], "i int, d string")
-    return df.select("i", F.array_join(T.closed_list(F.col("d")), "|").alias("options"))
+    given = (F.format_string("The state (open, %s or %s).", "first", "last"), F.format_string("No list (only %s).", "first"), F.format_string("Some (e.g. %s, %s).", "first", "last"), F.format_string("Two (%s, %d) here", "first", "p_size"))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(T.closed_list(spelt("p_partkey", *given)), "|").alias("options"))
 
 
 @query("str_37_39_lengths", "SELECT lang, count(*) FILTER (length(text) BETWEEN 400 AND 20000) AS fits, sum(length(text[1:300]))::BIGINT AS cut FROM documents GROUP BY 1")
@@ -220,9 +234,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("finished"))
 
 
-@query("dtm_04_role", "SELECT * FROM (VALUES ('start_date', 'start'), ('ClosedAt', 'end'), ('begin_end', 'start'), ('amount', NULL), ('expiry', 'end'), ('issued', 'start')) v(n, role)")
+@query("dtm_04_role", f"SELECT p_partkey, CASE WHEN regexp_matches(n, 'start|begin|created|issued|effective|opened') THEN 'start' WHEN regexp_matches(n, 'end|finish|stop|closed|completed|expir') THEN 'end' END AS role FROM (SELECT p_partkey, {_FIRST} || ['_start_date', 'closedat', '_begin_end', '_amount', '_expiry', '_issued', ''][p_partkey % 7 + 1] AS n FROM part)")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("start_date", "ClosedAt", "begin_end", "amount", "expiry", "issued")], "n string").select("n", D.role(F.col("n")).alias("role"))
+    name = spelt("p_partkey", *(F.concat("first", F.lit(x)) for x in ("_start_date", "ClosedAt", "_begin_end", "_amount", "_expiry", "_issued", "")))
+    return parts(spark, sf_dir).select("p_partkey", D.role(name).alias("role"))
 
 
 @query("dtm_05_06_quarters", "SELECT CASE WHEN o_orderdate < date_trunc('quarter', DATE '1998-05-20') THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) END AS archive, count(*) AS n, CAST(min(date_trunc('quarter', o_orderdate)) AS DATE) AS first_quarter FROM orders GROUP BY 1")
@@ -288,6 +303,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (H.draw(F.col("c_custkey"), "pick") % 5).alias("choice"))
 
 
-@query("hsh_12_uuid7", "SELECT * FROM (VALUES ('018f3a5e-7c1b-7abc-8def-0123456789ab', true), ('018f3a5e-7c1b-4abc-8def-0123456789ab', false), ('x', false)) v(u, ok)")
+@query("hsh_12_uuid7", "SELECT event_id, u, event_id % 5 > 0 AS ok FROM (SELECT event_id, m[1:8] || '-' || m[9:12] || CASE WHEN event_id % 5 > 0 THEN '-7' ELSE '-4' END || r[1:3] || '-' || '89ab'[('0x' || r[4])::INT % 4 + 1] || r[5:7] || '-' || r[8:19] AS u FROM (SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS m, sha256('id:' || event_id) AS r FROM events))")
 def _(spark, sf_dir):
-    return spark.createDataFrame([("018f3a5e-7c1b-7abc-8def-0123456789ab",), ("018f3a5e-7c1b-4abc-8def-0123456789ab",), ("x",)], "u string").select("u", H.is_uuid7(F.col("u")).alias("ok"))
+    minted = H.uuid7(F.col("ts").cast("timestamp"), F.concat(F.lit("id:"), F.col("event_id").cast("string")))
+    # a fifth with another version: these are refused
+    u = F.when(F.col("event_id") % 5 > 0, minted).otherwise(F.overlay(minted, F.lit("4"), F.lit(15)))
+    return table(spark, sf_dir, "events").select("event_id", u.alias("u")).withColumn("ok", H.is_uuid7(F.col("u")))

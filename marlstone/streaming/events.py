@@ -56,6 +56,40 @@ def replace_frames(frames: DataFrame, session: str, seq: str, arrival: str, text
     return kept.groupBy(session).agg(F.array_join(F.transform(ordered, lambda x: x[text]), "").alias("text"))
 
 
+def trails(clicks: DataFrame, user: str, order: str, panel: str, most: int = 5) -> DataFrame:
+    """STM-09: ``(user, trail)``: a click on a panel of the trail cuts it there, any other extends it, and the last ``most`` stay.
+
+    A click depends on all before it, so a user's clicks are one sorted run of
+    one task; they stream through it in batches, and no more than one trail is
+    held, however many clicks a user has. Clicks without a panel are left out.
+    """
+    from pyspark.sql.types import ArrayType, StructField, StructType
+
+    schema = StructType([StructField(user, clicks.schema[user].dataType), StructField("trail", ArrayType(clicks.schema[panel].dataType))])
+
+    def walk(batches):
+        import pyarrow as pa
+
+        to = None
+        now, trail, met = None, [], False
+        for batch in batches:
+            to = to or pa.schema([(user, batch.schema.field(0).type), ("trail", pa.list_(batch.schema.field(1).type))])
+            users, out = [], []
+            for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if met and u != now:
+                    users.append(now)
+                    out.append(trail)
+                    trail = []
+                now, met = u, True
+                trail = trail[: trail.index(x) + 1] if x in trail else [*trail, x][-most:]
+            yield pa.RecordBatch.from_arrays([pa.array(users, to.field(0).type), pa.array(out, to.field(1).type)], schema=to)
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array([now], to.field(0).type), pa.array([trail], to.field(1).type)], schema=to)
+
+    runs = clicks.where(F.col(panel).isNotNull()).repartition(user).sortWithinPartitions(user, order)
+    return runs.select(user, panel).mapInArrow(walk, schema)
+
+
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, key: str) -> int:
     """STM-12/14: append new files' rows once; the checkpoint is the cursor, broken rows go to a side folder.
 

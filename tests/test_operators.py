@@ -214,3 +214,20 @@ def test_a_cluster_needs_a_shared_folder():
     spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError):
         storage.shared_dir(spark)
+
+
+def test_trails_hold_one_trail_at_a_time(spark):
+    import random
+
+    from marlstone.streaming.events import trails
+
+    rng = random.Random(5)
+    rows = [(u, i, rng.choice("abcdefgh")) for u in (1, 2, None) for i in range(400 if u == 1 else 7)]
+    want = {}
+    for u, _, x in sorted(rows, key=lambda r: r[1]):
+        t = want.get(u, [])
+        want[u] = t[: t.index(x) + 1] if x in t else (t + [x])[-5:]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (3, 1, None)], "u long, i long, p string")
+    assert {r.u: list(r.trail) for r in trails(df, "u", "i", "p").collect()} == want
+    assert trails(df.limit(0), "u", "i", "p").collect() == []
