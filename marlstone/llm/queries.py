@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, packing, pii, quality, secrets, sharding, simhash, simple8b, substring, warc
+from marlstone.llm import decontaminate, packing, pii, quality, queries_dialogue, secrets, sharding, simhash, simple8b, substring, warc
 from marlstone.storage import table
 
 #: For the registered query and the pipeline where the session names no key: anyone can undo these pseudonyms.
@@ -19,8 +19,8 @@ DEMONSTRATION_KEY = b"demonstration key, not a secret"
 
 CONVERSATION_LIMITS = packing.Limits(tokens=2048, segments=6, loss=1024)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_dialogue.QUERIES}
+ORACLES: dict[str, str] = {**queries_dialogue.ORACLES}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
