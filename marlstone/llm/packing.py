@@ -8,7 +8,8 @@ be cut fills the rest exactly; one that may not waits for the next sequence.
 
 Every task packs its own partition, with a buffer of fixed size, so there is
 no shuffle; a task leaves one sequence at most that is not full because it ran
-out of examples. Sequence ids hold the partition number, so a task that
+out of examples. The documents' limit on segments is that on tokens, so that short texts fill
+sequences too. Sequence ids hold the partition number, so a task that
 runs again gives the same rows.
 """
 
@@ -51,13 +52,17 @@ class Packer:
 
     ``cut``: examples may be cut anywhere. Every token but a piece's first then
     bears loss. An example over a limit that may not be cut has a sequence of its own.
+
+    One sequence is open at a time. It takes a piece whenever the buffer is full, so that each choice
+    is among ``most`` pieces, and it stays open while more examples come: also short
+    examples fill it, however many it takes.
     """
 
     limits: Limits = field(default_factory=Limits)
     cut: bool = False
     most: int = 512
     waiting: list[Piece | None] = field(default_factory=list)
-    sequence: int = 0
+    used: int = 0  # sequence numbers given out
 
     def __post_init__(self) -> None:
         self.room = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
@@ -65,26 +70,32 @@ class Packer:
         self.alive = np.zeros(self.most + 1, bool)
         self.waiting = [None] * (self.most + 1)
         self.free = list(range(self.most + 1))
+        self._open()
+
+    def _open(self) -> None:
+        self.left, self.offset, self.sequence = self.room.copy(), 0, -1
+
+    def _number(self) -> int:
+        self.used += 1
+        return self.used - 1
 
     def add(self, piece: Piece) -> Iterator[tuple[Piece, int, int]]:
         if self.cut:  # whole sequences need no search
             while piece.tokens >= self.limits.tokens:
                 head, piece = self._cut(piece, min(self.limits.tokens, self.limits.loss + 1))
-                yield head, self.sequence, 0
-                self.sequence += 1
+                yield head, self._number(), 0
         elif not self._fits_alone(piece):
-            yield piece, self.sequence, 0
-            self.sequence += 1
+            yield piece, self._number(), 0
             return
         if piece.tokens == 0 and (self.cut or piece.start):
             return
         self._keep(piece)
-        if not self.free:
-            yield from self._fill()
+        while not self.free:
+            yield from self._place()
 
     def finish(self) -> Iterator[tuple[Piece, int, int]]:
         while self.alive.any():
-            yield from self._fill()
+            yield from self._place()
 
     def _fits_alone(self, p: Piece) -> bool:
         return p.tokens <= self.limits.tokens and p.loss <= self.limits.loss and self.limits.segments >= 1
@@ -104,27 +115,27 @@ class Packer:
         rest = Piece(p.row, p.start + n, p.tokens - n, max(0, p.tokens - n - 1), p.payload)
         return head, rest
 
-    def _fill(self) -> Iterator[tuple[Piece, int, int]]:
-        """One sequence."""
-        left, offset = self.room.copy(), 0
-        while True:
-            fits = self.alive & (self.demand <= left).all(axis=1)
-            if fits.any():
-                # both vectors in shares of the limits
-                at = int(np.argmax(np.where(fits, self.demand @ (left / self.room**2), -1)))
-                piece = self._take(at)
-            elif self.cut and self.alive.any() and left[0] >= 1 and left[1] >= 1 and left[2] >= 0:
-                # the largest leaves the largest rest, which fits badly anyway
-                at = int(np.argmax(np.where(self.alive, self.demand[:, 0], -1)))
-                piece, rest = self._cut(self._take(at), int(min(left[0], left[2] + 1)))
-                if rest.tokens:
-                    self._keep(rest)
-            else:
-                break
-            yield piece, self.sequence, offset
-            offset += piece.tokens
-            left -= (piece.tokens, 1, piece.loss)
-        self.sequence += 1
+    def _place(self) -> Iterator[tuple[Piece, int, int]]:
+        """One piece into the open sequence; where none goes, the sequence is closed."""
+        left = self.left
+        fits = self.alive & (self.demand <= left).all(axis=1)
+        if fits.any():
+            # both vectors in shares of the limits
+            piece = self._take(int(np.argmax(np.where(fits, self.demand @ (left / self.room**2), -1))))
+        elif self.cut and left[0] >= 1 and left[1] >= 1 and left[2] >= 0:
+            # the largest leaves the largest rest, which fits badly anyway
+            at = int(np.argmax(np.where(self.alive, self.demand[:, 0], -1)))
+            piece, rest = self._cut(self._take(at), int(min(left[0], left[2] + 1)))
+            if rest.tokens:
+                self._keep(rest)
+        else:
+            self._open()
+            return
+        if self.sequence < 0:
+            self.sequence = self._number()
+        yield piece, self.sequence, self.offset
+        self.offset += piece.tokens
+        self.left = left - (piece.tokens, 1, piece.loss)
 
 
 def pack_examples(examples: DataFrame, n_tokens: str, n_loss: str, limits: Limits = Limits()) -> DataFrame:

@@ -92,7 +92,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The packing contract's columns for ``docs``."""
-    found = packing.pack_documents(docs, "byte_bpe_50k.json", end_id=0, limits=packing.Limits(tokens=1024, segments=64, loss=1024))
+    found = packing.pack_documents(docs, "byte_bpe_50k.json", end_id=0, limits=packing.Limits(tokens=1024, segments=1024, loss=1024))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

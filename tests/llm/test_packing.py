@@ -83,3 +83,27 @@ def test_examples_keep_their_columns(spark):
     for s in {r.sequence_id for r in rows}:
         own = [r for r in rows if r.sequence_id == s]
         assert len(own) <= 8 and (own[0].id == 99 or sum(r.n or 0 for r in own) <= 1024 and sum(r.l or 0 for r in own) <= 300)
+
+
+def fill(sizes, limits=Limits(1024, 1024, 1024)):
+    p = Packer(limits, cut=True)
+    placed = [x for i, n in enumerate(sizes) for x in p.add(Piece(i, 0, n, n - 1))] + [*p.finish()]
+    assert sum(q.tokens for q, _, _ in placed) == sum(sizes)
+    return sum(sizes) / (1024 * len({s for _, s, _ in placed}))
+
+
+def test_short_documents_fill_sequences():
+    rng = random.Random(6)
+    assert fill([rng.randint(1, 12) for _ in range(40_000)]) > 0.99
+    assert fill([3] * 40_000) > 0.99 and fill([1] * 120_000) > 0.99
+    assert fill([rng.choice([1, 1, 1, 700]) for _ in range(20_000)]) > 0.99
+
+
+def test_short_texts_fill_sequences(spark):
+    from marlstone.llm.queries import packed
+
+    for text in (None, "", "one two"):
+        df = spark.range(30_000).selectExpr("id AS doc_id", f"CAST({'NULL' if text is None else repr(text)} AS string) AS text").coalesce(1)
+        rows = packed(df).select("sequence_id", "length").collect()
+        assert sum(r.length for r in rows) > 0.95 * 1024 * len({r.sequence_id for r in rows})
+        assert sum(r.length for r in rows) / 1024 > len({r.sequence_id for r in rows}) - 1
