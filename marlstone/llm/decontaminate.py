@@ -6,8 +6,8 @@ pieces, at least one piece survives any such edits unchanged. All pieces go
 into one Aho-Corasick automaton, which finds the exact piece hits in one pass
 over a text; the stretches that a passage around a hit may cover are merged, and
 Myers' bit-parallel algorithm finds the passages within budget there.
-Short items allow no edits and must begin and end at word boundaries; they are
-single pieces of the same automaton.
+An item so short that its budget is zero is a single piece of the same automaton, and is met
+only from word boundary to word boundary.
 
 The items are dealt to blocks of about ``block_bytes`` by a hash and written to
 the shared folder; a worker reads a block, builds its automaton once and keeps
@@ -117,16 +117,15 @@ def _boundary(folded: str, at: int) -> bool:
 
 
 class Matcher:
-    """The items of one block, ready for a pass over texts; those under ``least_chars`` are matched as whole words without edits."""
+    """The items of one block, ready for a pass over texts; those without a budget are matched as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 24):
-        self.items: list[tuple[int, str, int, dict[str, int] | None]] = []  # short items have no masks
+    def __init__(self, items: list[tuple[int, str]], rate: float):
+        self.items: list[tuple[int, str, int, dict[str, int] | None]] = []  # items without a budget have no masks
         self.automaton = ahocorasick.Automaton()
         for item_id, folded in items:
-            short = len(folded) < least_chars
-            errors = 0 if short else int(rate * len(folded))
+            errors = int(rate * len(folded))
             k = len(self.items)
-            self.items.append((item_id, folded, errors, None if short else letter_masks(folded)))
+            self.items.append((item_id, folded, errors, letter_masks(folded) if errors else None))
             for offset, piece in pieces(folded, errors):
                 found = self.automaton.get(piece, None)
                 if found is None:
@@ -180,7 +179,7 @@ def _passages(item: str, errors: int, masks: dict[str, int], folded: str, a: int
 FOUND = ("item_id", "start", "end", "distance")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, block_bytes: int = 8 << 20) -> DataFrame:
     """``(id, item_id, start, end, distance)`` for every passage of ``docs`` within an item's edit budget.
 
     ``start`` and ``end`` are code points of the original text (of the first
@@ -189,8 +188,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     the ends within twice the budget behind the first that is within it (the
     first of equally good ones, and the shortest with that end).
 
-    Items with fewer than ``least_chars`` folded characters have no edit budget
-    and are met only from word boundary to word boundary (at any code point in
+    An item's budget is ``rate`` times its folded characters, rounded down, at any
+    length. Where that is zero the item is met only from word boundary to word boundary (at any code point in
     scripts without blanks). Items without words and null items are left out;
     null and empty texts match nothing; very long texts are searched whole;
     repeated rows, and items with equal texts, are each reported; null ids stay
@@ -202,12 +201,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     schema = part.select(name).schema.add("item_id", "long").add("start", "long").add("end", "long").add("distance", "integer")
     found = docs.sparkSession.createDataFrame([], schema)
     for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        own = part.mapInArrow(_searcher(block, rate, least_chars, schema.fieldNames()), schema)
+        own = part.mapInArrow(_searcher(block, rate, schema.fieldNames()), schema)
         found = found.unionByName(own) if n else own
     return found
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, least_chars: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.08, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no passage that :func:`matches` would report, with all their columns.
 
     Each row is judged by its own text, so ids do not matter; null and empty
@@ -221,7 +220,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
             left = written
             if before is not None:
                 discard(before)
-        left = left.mapInArrow(_keeper(block, rate, least_chars, docs.columns.index(text)), docs.schema)
+        left = left.mapInArrow(_keeper(block, rate, docs.columns.index(text)), docs.schema)
     return left
 
 
@@ -239,12 +238,12 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int
     return [f"{path}/block={i}" for i in range(blocks)]
 
 
-_KEPT: dict[tuple[str, float, int], Matcher] = {}
+_KEPT: dict[tuple[str, float], Matcher] = {}
 
 
-def _matcher(block: str, rate: float, least_chars: int) -> Matcher:
+def _matcher(block: str, rate: float) -> Matcher:
     """This worker's matcher of a block; it keeps one."""
-    key = (block, rate, least_chars)
+    key = (block, rate)
     if key not in _KEPT:
         _KEPT.clear()
         system, path = fs.FileSystem.from_uri(block)
@@ -252,13 +251,13 @@ def _matcher(block: str, rate: float, least_chars: int) -> Matcher:
         if system.get_file_info(path).type == fs.FileType.Directory:
             found = pyarrow.dataset.dataset(path, filesystem=system, format="parquet").to_table(["item", "text"])
             rows = [(i, x) for i, t in zip(*(found.column(c).to_pylist() for c in ("item", "text")), strict=True) if (x := fold(t))]
-        _KEPT[key] = Matcher(rows, rate, least_chars)
+        _KEPT[key] = Matcher(rows, rate)
     return _KEPT[key]
 
 
-def _keeper(block: str, rate: float, least_chars: int, text: int):
+def _keeper(block: str, rate: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(block, rate, least_chars)
+        matcher = _matcher(block, rate)
         for batch in batches:
             clean = [not value or not matcher.search(fold(value)) for value in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -266,9 +265,9 @@ def _keeper(block: str, rate: float, least_chars: int, text: int):
     return run
 
 
-def _searcher(block: str, rate: float, least_chars: int, names: list[str]):
+def _searcher(block: str, rate: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(block, rate, least_chars)
+        matcher = _matcher(block, rate)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, value in enumerate(batch.column(1).to_pylist()):
