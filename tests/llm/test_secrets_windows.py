@@ -11,10 +11,35 @@ ALLOWED = re.compile("|".join(f"(?:{x})" for x in secrets.ALLOWED))
 
 def limit(w):
     if re.fullmatch("[0-9]+", w):
-        return 3.2
+        return LIMITS.digits
     if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w):
-        return 3.1
-    return 3.6 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", w) else 3.8
+        return LIMITS.hexadecimal
+    return LIMITS.one_case if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", w) else LIMITS.mixed
+
+
+def plain_words(s):
+    """Whether letters may be words, by counting."""
+    if not re.fullmatch("[A-Za-z]+([-_/.=+][A-Za-z]+)*", s):
+        return False
+    letters = re.sub("[^a-z]", "", s.lower())
+    if len(re.sub("[^aeiouy]", "", letters)) / len(letters) < 0.3 or len(re.sub("[^jkqvwxz]", "", letters)) / len(letters) > 0.2:
+        return False
+    parts = re.findall("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", s)
+    if any(re.search("[^aeiouy]{5}", p.lower()) for p in parts):
+        return False
+    odd = [p for p in parts if len(p) < 3 or not set(p.lower()) & set("aeiouy")]
+    return len(odd) <= 2 or 3 * len(odd) <= len(parts)
+
+
+def plain_spans(text):
+    """Entropy spans of a text, by the rules: candidates, what is allowed, every window."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        s = m.group()
+        bare = s.strip("=-_/+")
+        if not (ALLOWED.fullmatch(s) or ALLOWED.fullmatch(bare) or plain_words(bare)) and plain(s):
+            out.append((m.start(), m.end(), "entropy"))
+    return out
 
 
 def plain(s):
@@ -30,7 +55,9 @@ def test_every_window_is_held_against_its_own_class():
         for letters in ("0123456789ABCDEF", "0123456789abcdef", "0123456789", "abcdefghijklmnop0123", "ABCDEFxyz+/=012"):
             for _ in range(60):
                 s = prefix + "".join(rng.choice(letters) for _ in range(rng.randrange(20, 40)))
-                if s[-1] in "+/=" or ALLOWED.fullmatch(s) or ALLOWED.fullmatch(s.strip("=-_/+")):
+                bare = s.strip("=-_/+")
+                if s[-1] in "+/=" or ALLOWED.fullmatch(s) or ALLOWED.fullmatch(bare) or plain_words(bare):
+                    assert secrets.entropy_spans(s, LIMITS, ALLOWED) == plain_spans(s)
                     continue
                 assert secrets.entropy_spans(s, LIMITS, ALLOWED) == ([(0, len(s), "entropy")] if plain(s) else []), s
                 found += plain(s)
@@ -64,3 +91,20 @@ def test_a_long_text_of_spans_is_linear(spark):
     df = spark.createDataFrame([(1, text), (2, None)], "spans long, text string")
     got = {r.doc_id: len(r.spans) for r in secrets.scan(df, id="spans").collect()}
     assert got == {1: 40_000, 2: 0}
+
+
+def test_at_most_a_tenth_of_random_keys_is_missed():
+    rng = random.Random(12)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    classes = {"digits": digits, "hexadecimal": digits + "ABCDEF", "lower": low, "upper": up, "lower and digits": low + digits, "mixed": low + up, "mixed and digits": low + up + digits}
+    for name, letters in classes.items():
+        for n in (20, 24, 32, 40):
+            for around in ("{}", "https={}", "http/{}", "key {} here", "http://x/{}"):
+                keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(400)]
+                missed = sum(not secrets.entropy_spans(around.format(k), LIMITS, ALLOWED) for k in keys)
+                assert missed <= 40, (name, n, around, missed)
+
+
+def test_times_and_words_are_allowed():
+    for s in ("20240305T101500+0100Z", "2024-03-05T1015000100", "123e4567-e89b-12d3-a456-426614174000", "AbstractSingletonProxyFactoryBean", "internationalization", "MAX_CONNECTION_TIMEOUT_SECONDS"):
+        assert secrets.entropy_spans(s, LIMITS, ALLOWED) == [], s
