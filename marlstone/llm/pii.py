@@ -8,7 +8,7 @@ so it is a bijection: equal values get equal pseudonyms in every document,
 different values different ones, and whoever holds the key can go back. A value
 is what it says, not how it is spelled: a day has one pseudonym in every notation, a
 mail address in upper and lower case, a number with and without its separators, a
-telephone number's digits with and without the country.
+telephone number's digits with and without the country, whose code is read from the digits by the table of codes.
 Only where a rejected candidate overlaps a value, and the usual pseudonym would
 make that candidate valid, another pseudonym is taken, so that going back works.
 Check digits are computed anew, so a pseudonym passes the validation of its kind.
@@ -96,20 +96,57 @@ def _card(p: Feistel, s: str, back: bool) -> str | None:
     return _refill(s, body + str(_luhn(body)))
 
 
+#: Country codes of one and two digits; all others have three. None begins another.
+_CODES = {
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
+#: Digits behind the country code, where a country's numbers have one length or two.
+_LENGTHS = {
+    "1": (10,), "7": (10,), "30": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "41": (9,), "44": (9, 10), "45": (8,), "47": (8,), "48": (9,), "52": (10,), "55": (10, 11), "61": (9,), "81": (9, 10), "86": (10, 11), "91": (10,),
+}
+_TRUNK = re.compile(r"(\+\d{1,3}[ .-]?)(\(0\))(.*)\Z", re.DOTALL)
+
+
+def _country(digits: str) -> str:
+    """The country code that begins the digits after a plus sign."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+
+
+def _phone_parts(s: str) -> tuple[str, str, str, str]:
+    """``(before, kept, after, country)``: what is refilled, a trunk zero in brackets, and the code if the number begins with a plus sign."""
+    trunk = _TRUNK.match(s)
+    before, kept, after = trunk.groups() if trunk else (s, "", "")
+    return before, kept, after, _country(re.sub(r"\D", "", before + after)) if s.startswith("+") else ""
+
+
 def _phone(p: Feistel, s: str, back: bool) -> str | None:
-    """The country's digits stay; without separators only that of the one-digit country with ten digits more is known."""
-    d = re.sub(r"\D", "", s)
-    apart = re.match(r"\+(\d{1,3})(?=[ \n.(-])", s)
-    unknown = s.startswith("+") and not apart
-    country = apart[1] if apart else "1" if unknown and len(d) == 11 and d[0] == "1" else ""
+    """The country's digits stay; the others are permuted alike with and without the country, and in every grouping."""
+    before, kept, after, country = _phone_parts(s)
+    d = re.sub(r"\D", "", before + after)
     local = d[len(country) :]
     if not 7 <= len(local) <= 12:
         return None
-    tweak = f"phone{len(local)}"
-    new = _digits(p, tweak, local, back)
-    while unknown and not country and len(d) == 11 and new[0] == "1":  # else its country would be read from it
-        new = _digits(p, tweak, new, back)
-    return _refill(s, country + new)
+    new = _refill(before + after, country + _digits(p, f"phone{len(local)}", local, back))
+    return new[: len(before)] + kept + new[len(before) :]
+
+
+def _phone_forms(s: str) -> Iterator[str]:
+    """The candidate up to the end of a group where it has the length of its country's numbers, longest first; then all of it."""
+    *_, country = _phone_parts(s)
+    for m in reversed([*re.finditer(r"(?<=\d)(?=[ .-]|\Z)", s)]) if country in _LENGTHS else ():
+        form = s[: m.start()]
+        before, _, after, _ = _phone_parts(form)
+        if len(re.sub(r"\D", "", before + after)) - len(country) in _LENGTHS[country]:
+            yield form
+    yield s
+
+
+def _iban_forms(s: str) -> Iterator[str]:
+    """The candidate, and what is left without its last words, which may only look like groups of the number."""
+    while s:
+        yield s
+        s = re.split(r"[ \n](?=[^ \n]*\Z)", s)[0] if re.search("[ \n]", s) else ""
 
 
 def _ip(p: Feistel, s: str, back: bool) -> str | None:
@@ -197,7 +234,7 @@ _FOUND: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "card": (r"(?<![\w-])(?:\d{13,19}|(?:\d{4}[ \n]){3}\d{4}|(?:\d{4}-){3}\d{4}|\d{4}[ \n]\d{6}[ \n]\d{5}|\d{4}-\d{6}-\d{5})(?![\w-])", _card),
     "phone": (
-        r"(?<![\w+])(?:(?:\+\d{1,3}[ \n.-]?)?\(\d{2,4}\)[ \n.-]?\d{3,4}[ \n.-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+        r"(?<![\w+])(?:(?:\+\d{1,3}[ \n.-]?)?\(\d{2,4}\)[ \n.-]?\d{3,4}[ \n.-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\(0\))?(?:[ .-]?\d){5,14}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
         _phone,
     ),
 }
@@ -223,12 +260,11 @@ class _Hit:
 
 def _valid(p: Feistel, m: re.Match[str], kind: str, back: bool) -> tuple[int, str] | None:
     """Where the candidate's valid form ends and what replaces it."""
-    s = m.group()
-    while s:
+    forms = {"iban": _iban_forms, "phone": _phone_forms}.get(kind, lambda s: iter((s,)))
+    for s in forms(m.group()):
         new = _FOUND[kind][1](p, s, back)
         if new is not None:
             return m.start() + len(s), new
-        s = re.split(r"[ \n](?=[^ \n]*\Z)", s)[0] if kind == "iban" and re.search("[ \n]", s) else ""  # the words after the number may look like its groups
     return None
 
 
