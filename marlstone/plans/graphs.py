@@ -37,13 +37,6 @@ def _(s, d):
     return S.mmr(e, "label", "vec_id", "embedding", "relevance", 5)
 
 
-@query("sim_03_04_cache", "SELECT vec_id, vec_id % 3 > 0 AS cached FROM embeddings")
-def _(s, d):
-    e = table(s, d, "embeddings")
-    cache = e.where("vec_id % 3 > 0").select("vec_id", F.lit(True).alias("hit"))
-    return e.join(cache, "vec_id", "left").select("vec_id", F.coalesce("hit", F.lit(False)).alias("cached"))
-
-
 @query("sim_05_06_max_sim", f"WITH t AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT q.label AS q, q.vec_id AS qt, x.label AS d, max(list_dot_product(q.v, x.v)) AS m FROM t q, t x WHERE q.vec_id % 20 = 0 GROUP BY ALL) SELECT q, d, round(avg(m), 6) AS score FROM m GROUP BY ALL")
 def _(s, d):
     e = table(s, d, "embeddings")
