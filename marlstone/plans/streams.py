@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.plans.catalog import query
 from marlstone.storage import scratch, table
 from marlstone.streaming import events as E
+from marlstone.streaming import roster as R
 
 
 @query("stm_x1_tumbling", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -50,3 +51,26 @@ def _(s, d):
 def _(s, d):
     rows = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.run_stream(s, rows, lambda x: x.where("event_type = 'click'").select("event_id")).agg(F.count("*").alias("n"))
+
+
+@query("stm_07_08_roster_stream", "SELECT user_id::VARCHAR AS key, max_by(event_type, (ts, event_id)) AS target FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1800 SECOND > (SELECT max(ts) FROM events)")
+def _(s, d):
+    """The roster as a stream in event time, in three starts: who is live at the last event."""
+    own = E.with_state_store(s)
+    rows = table(own, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), F.lit(1800).alias("ttl"))
+    day = F.day("at")
+    parts = [rows.where(day <= 10), rows.where((day > 10) & (day <= 20)), rows.where(day > 20)]
+    return R.live(E.run_in_parts(own, parts, R.roster_changes))
+
+
+@query("stm_13_refreshed_view", "SELECT event_type, user_id % 100 AS shard, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1, 2")
+def _(s, d):
+    """A view that two starts of a stream merge, the second part run twice."""
+    source, cursor = scratch(s, "view-in"), scratch(s, "view-cursor")
+    rows = table(s, d, "events").select("event_type", (F.col("user_id") % 100).alias("shard"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    view = R.EpochView(s, scratch(s, "view"), ["event_type", "shard"])
+    for half in range(2):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
+        view.start(s.readStream.schema(rows.schema).parquet(source), cursor, None).awaitTermination()
+    view.put(rows.where(F.col("event_id") % 2 == 1), 1)  # an epoch that runs again
+    return view.read().select("event_type", "shard", "n", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))

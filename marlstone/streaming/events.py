@@ -117,3 +117,32 @@ def run_stream(spark: SparkSession, df: DataFrame, transform) -> DataFrame:
     query = transform(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream-cursor")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(transform(df).schema).parquet(out)
+
+
+def with_state_store(spark: SparkSession, idle_batches: bool = True) -> SparkSession:
+    """A session beside the caller's, with the state store that state of one's own needs; the caller's settings stay as they are.
+
+    State that expires by the clock asks for a batch without data after every batch, so a query that is to
+    end when its input is read needs ``idle_batches`` off; event-time timers need it on.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
+    return own
+
+
+def run_in_parts(spark: SparkSession, parts: list[DataFrame], transform) -> DataFrame:
+    """A transformation over a file stream to which ``parts`` are added one after the other.
+
+    The query is started anew for each part and goes on from its checkpoint; returns what the sink got.
+    """
+    source, out, cursor = scratch(spark, "stream-in"), scratch(spark, "stream-out"), scratch(spark, "stream-cursor")
+    schema = parts[0].schema
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = transform(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", cursor).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(transform(spark.readStream.schema(schema).parquet(source)).schema).parquet(out)

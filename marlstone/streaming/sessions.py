@@ -1,53 +1,191 @@
-"""The session stream: frames in, spans out, each span once."""
+"""The session stream: frames in, labelled windows out, each once, at a cost that follows the new text.
+
+A session's text is that of its frames in the order of their numbers. A frame drops every
+earlier arrival whose number is not smaller. What remains does not
+depend on the order in which a batch brings the frames, so batches of any cut and chunks of any
+order give one text.
+
+State goes on from the last stable place: the first window that is not settled yet. Each frame
+keeps where that was when the frame was added, so a rewind restarts there. Window texts that were
+scored stay known by their hash. Every entry of the state expires ``ttl`` after it was written; a rewind past
+expired frames restarts at the oldest one left.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "session string, start int, end int, word string"
+OUTPUT = "session string, start long, stop long, label string"
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Labels of each text.
+Score = Callable[[list[str]], list[list[str]]]
 
-class SessionSpans(StatefulProcessor):
-    """STM-01/02/06: keeps a session's frames and what it has sent.
 
-    A frame with a number that is already there replaces it and drops the
-    frames after it; hits are then looked for in the joined text, and only
-    spans that were not sent before are sent.
-    """
+class Survivors:
+    """Frames that no later arrival dropped: numbers and arrivals both ascend."""
+
+    def __init__(self, known: list[tuple[int, int]]):
+        self.seqs = [s for s, _ in known]
+        self.arrivals = [a for _, a in known]
 
-    def __init__(self, terms: tuple[str, ...]):
-        self.terms = terms
+    def add(self, seq: int, arrival: int) -> tuple[bool, list[int]]:
+        """Whether the frame stays, and the numbers that it drops. A frame that is there already stays as it is."""
+        at = bisect_right(self.seqs, seq)
+        if at and (self.arrivals[at - 1] > arrival or (self.seqs[at - 1], self.arrivals[at - 1]) == (seq, arrival)):
+            return False, []
+        first = bisect_left(self.seqs, seq)
+        last = max(first, bisect_left(self.arrivals, arrival))
+        dropped = self.seqs[first:last]
+        self.seqs[first:last], self.arrivals[first:last] = [seq], [arrival]
+        return True, dropped
+
+
+class SessionWindows(StatefulProcessor):
+    """STM-01/02/06: windows of ``size`` tokens every ``stride``; a window is settled when a stride of tokens more has come, or the session was flushed."""
+
+    def __init__(self, score: Score, size: int, stride: int, ttl: int):
+        self.score, self.size, self.stride, self.ttl = score, size, stride, ttl * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getMapState("frames", "seq int", "text string")
-        self.sent = handle.getMapState("sent", "start int, end int, word string", "yes boolean")
+        self.index = handle.getMapState("index", "seq int", "arrival long, begin long, k long, at long", self.ttl)
+        self.texts = handle.getMapState("texts", "seq int", "text string", self.ttl)
+        self.end = handle.getValueState("end", "seq int, arrival long, stop long, k long, at long, tail string, flushed boolean", self.ttl)
+        self.sent = handle.getMapState("sent", "start long, stop long, label string", "yes boolean", self.ttl)
+        self.memo = handle.getMapState("memo", "segment binary", "labels array<string>", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for seq, text in pdf.sort_values("arrival")[["seq", "text"]].itertuples(index=False):
-                for (old,) in [k for k in self.frames.keys() if k[0] >= seq]:
-                    self.frames.removeKey((old,))
-                self.frames.updateValue((int(seq),), (text,))
-        whole = "".join(text for _, (text,) in sorted(self.frames.iterator()))
+        last, last_arrival, stop, k, at, tail, flushed = self.end.get() if self.end.exists() else (-(2**31), -(2**63), 0, 0, 0, "", False)
+        held: Survivors | None = None  # of the frames of batches before, read only where one of them may be touched
+        fresh = Survivors([])  # frames after all of those
+        touched: list[int] = []
+        for chunk in rows:
+            for seq, arrival, text, flush in chunk[["seq", "arrival", "text", "flush"]].itertuples(index=False):
+                seq, arrival, flushed = int(seq), int(arrival), bool(flushed or flush)
+                if held is None and seq <= last:
+                    held = Survivors(sorted((s, a) for (s,), (a, *_) in self.index.iterator()))
+                    for s, a in zip(fresh.seqs, fresh.arrivals, strict=True):
+                        held.add(s, a)
+                frames = fresh if held is None else held
+                if held is None and arrival < last_arrival:
+                    continue  # the last frame arrived later and has a smaller number
+                stays, dropped = frames.add(seq, arrival)
+                if stays:
+                    self.texts.updateValue((seq,), ("" if text is None else text,))
+                    touched += [seq, *dropped]
+                    for s in dropped:
+                        if s != seq:
+                            self.texts.removeKey((s,))
+        found: list[tuple[int, int, str]] = []
+        if touched or flushed:
+            first = min(touched, default=last + 1)
+            if held is None:
+                order = fresh.seqs
+            else:
+                order = held.seqs[bisect_left(held.seqs, first) :]
+                if first <= last:
+                    stop, k, at, tail = self._rewound(first, held.seqs)
+            found = self._settled(order, stop, k, at, tail, flushed, held or fresh, (last, last_arrival))
+        rows_out = self._unsent(found)
+        yield pd.DataFrame([(key[0], *x) for x in rows_out], columns=["session", "start", "stop", "label"])
+
+    def _rewound(self, first: int, kept: list[int]) -> tuple[int, int, int, str]:
+        """The state before the first frame from number ``first`` on; frames that are gone leave the index."""
+        later = sorted(s for (s,) in self.index.keys() if s >= first)
+        _, begin, k, at = self.index.getValue((later[0],))
+        alive = set(kept)
+        for s in later:
+            if s not in alive:
+                self.index.removeKey((s,))
+        parts, reach = [], begin
+        for s in reversed(kept[: bisect_left(kept, first)]):
+            if reach <= at:
+                break
+            if not self.texts.containsKey((s,)):  # expired: go on from what is left
+                break
+            text = self.texts.getValue((s,))[0]
+            parts.append(text)
+            reach -= len(text)
+        at = max(at, reach)
+        return begin, k, at, "".join(reversed(parts))[at - reach :]
+
+    def _settled(self, order: list[int], stop: int, k: int, at: int, tail: str, flushed: bool, frames: Survivors, end: tuple[int, int]) -> list[tuple[int, int, str]]:
+        """Add the frames in ``order`` to the text and return the windows that are settled now: start, stop and text."""
         found = []
-        for term in self.terms:
-            at = whole.find(term)
-            while at >= 0:
-                span = (at, at + len(term), term)
-                if not self.sent.containsKey(span):
-                    self.sent.updateValue(span, (True,))
-                    found.append((key[0], *span))
-                at = whole.find(term, at + len(term))
-        yield pd.DataFrame(found, columns=["session", "start", "end", "word"])
+        tokens = [(at + m.start(), at + m.end()) for m in _TOKEN.finditer(tail)]
+        arrivals = dict(zip(frames.seqs, frames.arrivals, strict=True))
+        for seq in order:
+            self.index.updateValue((seq,), (arrivals[seq], stop, k, at))
+            text = self.texts.getValue((seq,))[0]
+            # the last token may go on in this frame
+            since = tokens.pop()[0] if tokens and tokens[-1][1] == stop else stop
+            tail += text
+            stop += len(text)
+            tokens += [(since + m.start(), since + m.end()) for m in _TOKEN.finditer(tail[since - at :])]
+            skip = 0
+            while len(tokens) - skip >= self.size + self.stride:
+                a, b = tokens[skip][0], tokens[skip + self.size - 1][1]
+                found.append((a, b, tail[a - at : b - at]))
+                skip += self.stride
+                k += 1
+            if skip:
+                tokens = tokens[skip:]
+                tail, at = tail[tokens[0][0] - at :], tokens[0][0]
+        if order:
+            end = (frames.seqs[-1], frames.arrivals[-1])
+        self.end.update((*end, stop, k, at, tail, flushed))
+        if flushed and tokens:
+            whole = max((len(tokens) - self.size) // self.stride + 1, 1 if k == 0 else 0)
+            for j in range(whole):
+                own = tokens[j * self.stride : j * self.stride + self.size]
+                found.append((own[0][0], own[-1][1], tail[own[0][0] - at : own[-1][1] - at]))
+        return found
+
+    def _unsent(self, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Labels of windows, scored once for each text; what was sent before is left out."""
+        digests = [hashlib.blake2b(text.encode(), digest_size=16).digest() for *_, text in found]
+        missing: dict[bytes, str] = {}
+        labels: dict[bytes, list[str]] = {}
+        for digest, (_, _, text) in zip(digests, found, strict=True):
+            if digest not in missing and digest not in labels:
+                if self.memo.containsKey((digest,)):
+                    labels[digest] = list(self.memo.getValue((digest,))[0])
+                else:
+                    missing[digest] = text
+        for digest, own in zip(missing, self.score([*missing.values()]) if missing else [], strict=True):
+            labels[digest] = sorted(set(own))
+            self.memo.updateValue((digest,), (labels[digest],))
+        out = []
+        for digest, (a, b, _) in zip(digests, found, strict=True):
+            for label in labels[digest]:
+                if not self.sent.containsKey((a, b, label)):
+                    self.sent.updateValue((a, b, label), (True,))
+                    out.append((a, b, label))
+        return out
 
     def close(self) -> None:
         pass
 
 
-def session_spans(frames: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """``frames(session, seq, arrival, text)`` as a stream, to ``(session, start, end, word)``."""
-    return frames.groupBy("session").transformWithStateInPandas(SessionSpans(terms), OUTPUT, "Append", "None")
+def session_windows(frames: DataFrame, score: Score, size: int = 512, stride: int = 256, ttl: int = 3600) -> DataFrame:
+    """``frames(session, seq, arrival, text, flush)`` as a stream, to ``(session, start, stop, label)``, code points of the session's text.
+
+    Arrivals order a session's frames; a frame that comes again with its number and arrival changes nothing.
+    A null text is empty; a null flush is false. ``ttl`` is in seconds. The session must use the RocksDB state store.
+    """
+    from pyspark.sql import functions as F
+
+    rows = frames.select("session", "seq", "arrival", "text", F.coalesce("flush", F.lit(False)).alias("flush"))
+    return rows.groupBy("session").transformWithStateInPandas(SessionWindows(score, size, stride, ttl), OUTPUT, "Append", "ProcessingTime")
+
+
+def term_labels(terms: tuple[str, ...]) -> Score:
+    """A score that labels a text with the terms in it."""
+    return lambda texts: [[t for t in terms if t in text] for text in texts]
