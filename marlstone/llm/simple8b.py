@@ -139,7 +139,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
     The rows are dealt by ranges of ``id`` and sorted within, so ``(part, file)``
     orders the files. Null ids come first; repeated ids stay neighbours, in no
     particular order; null texts count as empty; ids must be integers. A file
-    closes when it holds ``ids_per_file`` ids; a document is never cut.
+    closes when it holds ``ids_per_file`` ids; a document is never cut: a very long
+    text may make a file larger. Other columns are left out, those with the names used here too. No rows give no files
+    and an empty manifest.
     """
     folder = folder or scratch(docs.sparkSession, "token-ids")
     ordered = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
@@ -180,7 +182,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
 def read_ids(manifest: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` from the files: ``start`` counts the ids of all documents before.
 
-    The running sum is over files, one small row each.
+    The running sum is over files, one small row each. Null ids come back null, repeated ones as often as they were written; an empty
+    manifest gives no rows; other columns of the manifest are left out. Blocks are decoded a few at a time, but a very long document is one row.
     """
     before = F.sum("n_ids").over(Window.orderBy("part", "file")) - F.col("n_ids")
     placed = manifest.select("path", before.alias("before")).repartition(max(1, min(10_000, manifest.count())))

@@ -106,7 +106,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     Null payloads are empty ones. Rows that repeat the smallest id of a payload
     are all responses; a row without an id is a response only if no row with
     its payload has one. A task holds one file's records, ``file_bytes`` at most
-    (or one record).
+    (or one record): a very long payload is one record, and may be a file of its own.
+    Rows that are equal in all columns are records each; no rows give no files and an empty manifest.
+    Other columns are left out.
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
@@ -141,7 +143,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """``(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to)`` of every record; a revisit's payload is null."""
+    """``(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to)`` of every record; a revisit's payload is null.
+
+    Very long payloads are read whole; an empty manifest gives no rows; of the manifest only ``path`` is read, so
+    other columns do no harm. A payload that does not match its digest raises an error.
+    """
     spread = manifest.select("path").repartition(max(1, min(10_000, manifest.count())))
 
     def number(uri: str) -> int | None:
