@@ -14,28 +14,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from marlstone.operators.windows import first_rows
 from marlstone.storage import stash
 
 #: An encoder: texts in, one row of a float matrix for each out.
 Encoder = Callable[[list[str]], np.ndarray]
 
-_SALTS = 64
-
 
 def first_cells(cells: DataFrame, keys: list[str], order: list[str], cell: str, most: int = 50) -> DataFrame:
     """``(*keys, cells)``: the first ``most`` cells of each column by ``order``, as an array; null cells are left out.
 
-    Each of 64 parts of a column is cut to its first cells before they meet, so a
+    Parts of a column are cut to their first cells before they meet, so a
     column with most of the rows costs no task more than its share.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(_SALTS))
-    rows = cells.where(F.col(cell).isNotNull()).select(*keys, *order, F.col(cell).cast("string").alias("__cell"), part.alias("__part"))
-    for by in ([*keys, "__part"], keys):
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "__cell"))).where(F.col("__n") <= most)
+    rows = cells.where(F.col(cell).isNotNull()).select(*keys, *order, F.col(cell).cast("string").alias("__cell"))
+    rows = first_rows(rows, keys, [*order, "__cell"], most, "__n")
     listed = F.array_sort(F.collect_list(F.struct("__n", "__cell")))
     return rows.groupBy(*keys).agg(F.transform(listed, lambda x: x["__cell"]).alias("cells"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from marlstone.operators.windows import running
 
 
 def brier(belief: Column, right: Column) -> Column:
@@ -209,8 +210,8 @@ def byte_grams(df: DataFrame, text: str, most: int = 8) -> DataFrame:
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """STA-23: by average ranks, from counts of equal scores."""
     counts = df.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"), F.count_if(F.col(truth) == 1).alias("__p"))
-    before = F.sum("__n").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("__r", F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2)
+    ranked = running(counts, [], [F.col("__s")], {"__before": ("sum", "__n")})
+    ranked = ranked.withColumn("__r", F.coalesce("__before", F.lit(0)) + (F.col("__n") + 1) / 2)
     p, n = F.sum("__p"), F.sum(F.col("__n") - F.col("__p"))
     return ranked.agg(((F.sum(F.col("__r") * F.col("__p")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
 

@@ -73,10 +73,12 @@ def pruned_hubs(edges: DataFrame, most: int, floor: float) -> DataFrame:
 
 
 def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """GRF-07: nodes within ``depth`` steps of ``start(node)`` either way, with their least distance."""
+    """GRF-07: nodes within ``depth`` steps of ``start(node)`` either way, with their least distance; a depth that is not 1 to 5 is an error."""
+    if not 1 <= depth <= 5:
+        raise ValueError(f"depth {depth} is not between 1 and 5")
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     seen = start.select("node", F.lit(0).alias("distance"))
-    for _ in range(max(1, min(depth, 5))):
+    for _ in range(depth):
         step = seen.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + 1).alias("distance"))
         seen = stash(seen.union(step).groupBy("node").agg(F.min("distance").alias("distance")), "seen")
     return seen

@@ -44,7 +44,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, id: str, vector: str, k: int,
 
     Queries and corpus are dealt in blocks; each pair of blocks is one matrix
     product in a task that keeps its ``k`` best a query, and a window keeps the
-    best of these. Only block keys are crossed, never rows.
+    best of these. The blocks, a row each, are crossed, so each corpus block moves once for each block of queries:
+    the queries must be few beside the corpus.
     """
     q, c = _blocks(queries, id, vector, block_rows), _blocks(corpus, id, vector, block_rows)
     cells = q.select(F.col("block").alias("qb"), F.col("rows").alias("qrows")).crossJoin(c.select(F.col("block").alias("cb"), F.col("rows").alias("crows")))
@@ -152,9 +153,15 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return cells.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("centroid"))
 
 
+def _small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df``, written, to be sent to all tasks if it has ``most`` rows or fewer; beyond that Spark chooses how it meets the others."""
+    held = stash(df, "small")
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def assign(df: DataFrame, id: str, vector: str, centres: DataFrame, label: str) -> DataFrame:
     """SIM-17: labels ranked by cosine to a small set of centres, 0-based; ties by label."""
-    scored = df.select(id, vector).crossJoin(F.broadcast(centres)).select(id, label, F.round(cosine(F.col(vector), F.col("centroid")), 9).alias("score"))
+    scored = df.select(id, vector).crossJoin(_small(centres)).select(id, label, F.round(cosine(F.col(vector), F.col("centroid")), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), label)) - 1)
 
 
@@ -167,7 +174,7 @@ def silhouette(df: DataFrame, id: str, label: str, vector: str) -> DataFrame:
     unit = df.select(id, label, normalised(F.col(vector)).alias("u"))
     sums = centroids(unit, label, "u").join(unit.groupBy(label).agg(F.count("*").alias("n")), label)
     sums = sums.select(F.col(label).alias("other"), F.col("centroid").alias("c"), "n")
-    met = unit.crossJoin(F.broadcast(sums))  # as many rows as labels
+    met = unit.crossJoin(_small(sums))  # as many rows as labels
     own = F.col(label) == F.col("other")
     total = dot(F.col("u"), F.col("c")) * F.col("n")
     distance = F.when(own, 1 - (total - 1) / (F.col("n") - 1)).otherwise(1 - total / F.col("n"))

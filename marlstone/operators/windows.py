@@ -37,18 +37,75 @@ def byte_chunks(df: DataFrame, id: str, text: str, size: int, least: int) -> Dat
 
 
 def greedy_spans(df: DataFrame, group: str, start: str, end: str, score: str) -> DataFrame:
-    """SRT-10, DOC-04: of a document's spans, the best that overlap none kept before, by score, start, end.
+    """SRT-10, DOC-04: of a group's spans, the best that overlap none kept before, by score, start, end.
 
-    A fold over one document's sorted spans in the JVM.
+    Spans that no overlap connects do not touch each other's fate, so a group is first split at its gaps. Each
+    part streams through a task in the order of its scores; the kept spans are disjoint and stay sorted, so a span is
+    tested by one search among them. Spans with a null end are left out.
     """
-    spans = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(start).alias("a"), F.col(end).alias("b"))))
-    own = F.col("__spans")
-
-    def keep(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda y: (y["a"] < x["b"]) & (x["a"] < y["b"])), kept).otherwise(F.array_append(kept, x))
-
-    found = df.groupBy(group).agg(spans.alias("__spans")).select(group, F.explode(F.aggregate(own, F.slice(own, 1, 0), keep)).alias("x"))
-    return found.select(group, F.col("x.a").alias(start), F.col("x.b").alias(end), (-F.col("x.s")).alias(score))
+    from bisect import bisect_left, insort
+
+    import pyarrow as pa
+
+    spans = df.select(F.col(group).alias("g"), F.col(start).alias("a"), F.col(end).alias("b"), F.col(score).alias("s")).where("a IS NOT NULL AND b IS NOT NULL")
+    reach = running(spans, ["g"], [F.col("a"), F.col("b"), F.col("s")], {"reach": ("max", "b")})
+    gap = reach["reach"].isNull() | (reach["a"] >= reach["reach"])
+    parts = running(reach.withColumn("at", F.when(gap, F.col("a"))), ["g"], [F.col("a"), F.col("b"), F.col("s")], {"island": ("max", "at")})
+    parts = parts.select("g", F.coalesce("at", "island").alias("island"), "s", "a", "b")
+    schema = parts.select("g", "a", "b", "s").schema
+
+    def keep(batches):
+        now, starts, ends = None, [], []
+        for batch in batches:
+            flags = []
+            for g, island, a, b in zip(*(batch.column(c).to_pylist() for c in ("g", "island", "a", "b")), strict=True):
+                if (g, island) != now:
+                    now, starts, ends = (g, island), [], []
+                i = bisect_left(starts, b)
+                free = not (i and ends[i - 1] > a)
+                if free:
+                    insort(starts, a)
+                    insort(ends, b)
+                flags.append(free)
+            kept = batch.filter(pa.array(flags, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("g", "a", "b", "s")], ["g", "a", "b", "s"])
+
+    found = parts.repartition("g", "island").sortWithinPartitions("g", "island", F.desc("s"), "a", "b").mapInArrow(keep, schema)
+    return found.select(F.col("g").alias(group), F.col("a").alias(start), F.col("b").alias(end), F.col("s").alias(score))
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with sums or maxima over the rows before each, in its group ``by`` and the total order ``order``.
+
+    ``values`` maps a new name to ("sum" or "max", column); the first row of a group has null. Rows are dealt by ranges of
+    group and order, so a group with most of the rows is many parts: each part is summed by itself and
+    then raised by what the parts before it hold, a row for each group and part.
+    """
+    placed = stash(df.orderBy(*by, *order).withColumns({"__run_part": F.spark_partition_id(), "__run_place": F.monotonically_increasing_id()}), "running")
+    fold = {c: {"sum": F.sum, "max": F.max}[kind] for c, (kind, _) in values.items()}
+    whole = placed.groupBy(*by, "__run_part").agg(*(fold[c](v).alias(f"__w_{c}") for c, (_, v) in values.items()))
+    earlier = Window.partitionBy(*by).orderBy("__run_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(*(F.col(b).alias(f"__b_{i}") for i, b in enumerate(by)), F.col("__run_part").alias("__run_other"), *(fold[c](f"__w_{c}").over(earlier).alias(f"__e_{c}") for c in values))
+    inside = Window.partitionBy(*by, "__run_part").orderBy("__run_place").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumns({f"__i_{c}": fold[c](v).over(inside) for c, (_, v) in values.items()})
+    same = F.col("__run_part") == F.col("__run_other")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__b_{i}"))
+    met = local.join(before, same)
+
+    def both(c: str) -> Column:
+        x, y = F.col(f"__e_{c}"), F.col(f"__i_{c}")
+        return F.greatest(x, y) if fold[c] is F.max else F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+    return met.select(*df.columns, *(both(c).alias(c) for c in values))
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], most: int, name: str = "r") -> DataFrame:
+    """The first ``most`` rows of each group by ``order``, with their number from 1; 64 parts of a group are cut before they meet."""
+    rows = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    for own in ([*by, "__part"], by):
+        rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col(name) <= most)
+    return rows.drop("__part")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

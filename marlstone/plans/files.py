@@ -14,12 +14,12 @@ from marlstone.storage import scratch, table
 
 
 def _corpus(s, d):
-    """A Parquet file for each brand: names with their first word as label, sizes without one, types labelled alike."""
+    """A Parquet file for each brand and 20,000 part numbers, whole: names and types with labels, sizes without one."""
     parts = table(s, d, "part")
-    cells = lambda c: F.transform(F.slice(F.sort_array(F.collect_list(F.struct("p_partkey", F.col(c).cast("string").alias("v")))), 1, 300), lambda x: x["v"])
+    cells = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", F.col(c).cast("string").alias("v")))), lambda x: x["v"])
     column = lambda name, label, c: F.struct(F.lit(name).alias("name"), label.alias("label"), cells(c).alias("cells"))
     none = F.lit(None).cast("string")
-    by = parts.groupBy(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("table"))
+    by = parts.groupBy(F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("-"), F.floor(F.col("p_partkey") / 20000).cast("string")).alias("table"))
     made = by.agg(F.array(column("name", F.concat(F.lit("label/"), F.min("p_type")), "p_name"), column("size", none, "p_size"), column("type", F.concat(F.lit("label/"), F.max("p_type")), "p_type")).alias("columns"))
     folder = scratch(s, "tables")
     C.write_tables(made, folder, "dbpedia")
@@ -28,8 +28,8 @@ def _corpus(s, d):
 
 @query(
     "src_04_table_corpus",
-    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, min(p_type) OVER (PARTITION BY p_brand) AS lo, max(p_type) OVER (PARTITION BY p_brand) AS hi FROM part)
-    SELECT replace(p_brand, '#', '-') AS table_id, k::INT AS column_ix, CASE k WHEN 0 THEN 'name' ELSE 'type' END AS name, 'label/' || CASE k WHEN 0 THEN lo ELSE hi END AS label, count(*) AS cells, string_agg(CASE k WHEN 0 THEN p_name ELSE p_type END, '|' ORDER BY r) AS text
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 20000 ORDER BY p_partkey) AS r, min(p_type) OVER (PARTITION BY p_brand, p_partkey // 20000) AS lo, max(p_type) OVER (PARTITION BY p_brand, p_partkey // 20000) AS hi FROM part)
+    SELECT replace(p_brand, '#', '-') || '-' || (p_partkey // 20000) AS table_id, k::INT AS column_ix, CASE k WHEN 0 THEN 'name' ELSE 'type' END AS name, 'label/' || CASE k WHEN 0 THEN lo ELSE hi END AS label, count(*) AS cells, string_agg(CASE k WHEN 0 THEN p_name ELSE p_type END, '|' ORDER BY r) AS text
     FROM p, (VALUES (0), (2)) v(k) WHERE r <= 200 GROUP BY 1, 2, 3, 4""",
 )
 def _(s, d):
@@ -39,7 +39,7 @@ def _(s, d):
 
 @query(
     "src_05_06_labels",
-    """WITH l AS (SELECT min(p_type) AS x FROM part GROUP BY p_brand UNION SELECT max(p_type) FROM part GROUP BY p_brand)
+    """WITH l AS (SELECT min(p_type) AS x FROM part GROUP BY p_brand, p_partkey // 20000 UNION SELECT max(p_type) FROM part GROUP BY p_brand, p_partkey // 20000)
     SELECT 'label/' || x AS label, (row_number() OVER (ORDER BY x) - 1)::INT AS id, first AS hit_first, true AS hit_again FROM l, (SELECT false AS first)""",
 )
 def _(s, d):

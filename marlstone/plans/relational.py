@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import hashing as H
 from marlstone.operators import joins as J
+from marlstone.operators.windows import running
 from marlstone.plans.catalog import query
 from marlstone.storage import table
 
@@ -125,10 +126,7 @@ def _(s, d):
 
 @query("joi_02_view", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(s, d):
-    table(s, d, "nation").createOrReplaceTempView("v_nation")
-    table(s, d, "region").createOrReplaceTempView("v_region")
-    s.sql("CREATE OR REPLACE TEMP VIEW nation_region AS SELECT n_name, r_name FROM v_nation JOIN v_region ON n_regionkey = r_regionkey")
-    return s.table("nation_region")
+    return s.sql("SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", nation=table(s, d, "nation"), region=table(s, d, "region"))
 
 
 @query("joi_03_last_wins", "SELECT c_custkey, o_orderkey AS last_order FROM customer JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -207,7 +205,12 @@ def _(s, d):
     return table(s, d, "part").join(links, "p_partkey", "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("confirmed"))
 
 
-@query("joi_16_inclusion", "SELECT * FROM (VALUES ('l_orderkey', 'orders', 1.0::DOUBLE), ('o_custkey', 'customer', 1.0::DOUBLE)) v(col, target, share)")
+@query(
+    "joi_16_inclusion",
+    """WITH v AS (SELECT DISTINCT 'l_orderkey' AS col, l_orderkey AS x FROM lineitem UNION ALL SELECT DISTINCT 'o_custkey', o_custkey FROM orders), k AS (SELECT 'orders' AS target, o_orderkey AS x FROM orders UNION SELECT 'customer', c_custkey FROM customer UNION SELECT 'supplier', s_suppkey FROM supplier),
+h AS (SELECT col, target, count(*) AS hits FROM v JOIN k USING (x) GROUP BY ALL), n AS (SELECT col, count(*) AS n FROM v GROUP BY 1), r AS (SELECT col, target, hits / n AS share, row_number() OVER (PARTITION BY col ORDER BY hits / n DESC, target) AS r FROM h JOIN n USING (col) WHERE hits / n >= 0.5)
+SELECT col, target, share::DOUBLE AS share FROM r WHERE r = 1""",
+)
 def _(s, d):
     values = table(s, d, "lineitem").select(F.lit("l_orderkey").alias("col"), F.col("l_orderkey").alias("value")).union(table(s, d, "orders").select(F.lit("o_custkey"), "o_custkey"))
     keys = table(s, d, "orders").select(F.lit("orders").alias("target"), F.col("o_orderkey").alias("value")).union(table(s, d, "customer").select(F.lit("customer"), "c_custkey")).union(table(s, d, "supplier").select(F.lit("supplier"), "s_suppkey"))
@@ -267,8 +270,9 @@ def _(s, d):
 
 @query("set_01_ordered_distinct", "SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY first) AS seen FROM (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS first FROM orders GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"])
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_distinct(listed), ",").alias("seen"))
+    first = table(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("first"))  # a customer has few statuses, however many orders
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("first", "o_orderstatus"))), lambda x: x["o_orderstatus"])
+    return first.groupBy("o_custkey").agg(F.array_join(listed, ",").alias("seen"))
 
 
 @query("set_02_case_distinct", "SELECT lower(p_type) AS k, min_by(p_type, p_partkey) AS spelling FROM part WHERE lower(p_type) <> 'promo' GROUP BY 1")
@@ -372,10 +376,10 @@ def _(s, d):
 
 @query("win_06_balanced_quartiles", "SELECT lang, q::INT AS q, count(*) AS n FROM (SELECT lang, least(3, floor(4 * coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n_chars) OVER (PARTITION BY lang))) AS q FROM documents) GROUP BY 1, 2")
 def _(s, d):
-    w = Window.partitionBy("lang")
-    before = F.coalesce(F.sum("n_chars").over(w.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    q = F.least(F.lit(3), F.floor(4 * before / F.sum("n_chars").over(w))).cast("int")
-    return table(s, d, "documents").select("lang", q.alias("q")).groupBy("lang", "q").agg(F.count("*").alias("n"))
+    docs = running(table(s, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.col("doc_id")], {"before": ("sum", "n_chars")})
+    total = docs.groupBy("lang").agg(F.sum("n_chars").alias("total"))
+    q = F.least(F.lit(3), F.floor(4 * F.coalesce("before", F.lit(0)) / F.col("total"))).cast("int")
+    return docs.join(total, "lang").select("lang", q.alias("q")).groupBy("lang", "q").agg(F.count("*").alias("n"))
 
 
 @query("win_07_08_trend", "SELECT user_id, round(max(m) FILTER (b = 1), 8) AS first, round(max(m) FILTER (b = 4), 8) AS last, CASE WHEN max(m) FILTER (b = 4) > 1.1 * max(m) FILTER (b = 1) THEN 'up' WHEN max(m) FILTER (b = 4) < 0.9 * max(m) FILTER (b = 1) THEN 'down' ELSE 'flat' END AS trend FROM (SELECT user_id, b, avg(value) AS m FROM (SELECT user_id, value, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) GROUP BY 1, 2) GROUP BY 1")

@@ -9,6 +9,7 @@ from marlstone.functions import hashing as H
 from marlstone.functions.text import number, words
 from marlstone.operators import aggregates as A
 from marlstone.operators import evaluation as E
+from marlstone.operators import windows as W
 from marlstone.plans.catalog import query
 from marlstone.storage import table
 
@@ -100,10 +101,13 @@ def _(s, d):
 
 @query("agg_20_confounds", "SELECT q, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(*) FILTER (lang = 'en') AS en FROM (SELECT n_chars, lang, ntile(4) OVER (ORDER BY n_chars, doc_id)::INT AS q FROM documents) GROUP BY 1")
 def _(s, d):
-    # quartile edges by exact ranks over counts of equal lengths, ties by id within the edge: a running sum over lengths
-    docs = table(s, d, "documents")
-    q = F.ntile(4).over(Window.partitionBy().orderBy("n_chars", "doc_id"))
-    return docs.select("n_chars", "doc_id", "lang").withColumn("q", q).groupBy("q").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang") == "en").alias("en"))
+    docs = table(s, d, "documents").select("n_chars", "doc_id", "lang")
+    n = docs.count()
+    size, more, i = n // 4, n % 4, F.col("i")  # the first quartiles have one row more
+    edge = more * (size + 1)
+    q = F.when(i < edge, F.floor(i / (size + 1)) + 1).otherwise(F.floor((i - edge) / max(size, 1)) + more + 1).cast("int")
+    placed = W.numbered(docs, [F.col("n_chars").asc_nulls_last(), F.col("doc_id").asc_nulls_last()], "i").withColumn("q", q)
+    return placed.groupBy("q").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang") == "en").alias("en"))
 
 
 @query("agg_21_throughput", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS tokens, round(count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 3600), 4) AS per_hour FROM events GROUP BY 1")
@@ -128,8 +132,7 @@ def _(s, d):
 
 @query("agg_28_grouping_sets", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type))")
 def _(s, d):
-    table(s, d, "part").createOrReplaceTempView("agg28_part")
-    return s.sql("SELECT p_brand, p_type, count(*) AS n FROM agg28_part GROUP BY GROUPING SETS ((p_brand), (p_type))")
+    return s.sql("SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand), (p_type))", part=table(s, d, "part"))
 
 
 @query("agg_29_best_epoch", "SELECT c_nationkey, c_custkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")

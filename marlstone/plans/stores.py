@@ -103,3 +103,20 @@ def _(s, d):
     return found.select(
         "customer", "order", "line", "part", of("customer", "c_name").alias("c_name"), of("line", "l_quantity").cast("double").alias("l_quantity"), of("has", "l_linenumber").alias("line_number"), of("part", "p_name").alias("p_name")
     )
+
+
+@query("tok_02_03_roles")
+def _(s, d):
+    """Every column of every table of parts (a table is a brand and size) with two contexts: tokens and roles, as digests and counts."""
+    from marlstone.operators.serialise import serialised
+
+    shown = ["p_name", "p_type", "p_size", "p_retailprice"]
+    where = F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("table")
+    each = F.posexplode(F.array(*(F.col(c).cast("string") for c in shown))).alias("ix", "value")
+    cells = stash(table(s, d, "part").select(where, F.col("p_partkey").alias("place"), each), "cells")
+    names = cells.select("table", "ix").distinct().select("table", "ix", F.get(F.array(*map(F.lit, shown)), F.col("ix")).alias("name"))
+    columns = C.first_cells(cells, ["table", "ix"], ["place"], "value")
+    vectors = C.EmbeddingCache(s, scratch(s, "cache"), _DIMS).embed(columns, _letter_counts, ["table", "ix"]).select("table", "ix", "vector")
+    found = serialised(cells, names, vectors, most=128, k=2)
+    joined = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"), 256)
+    return found.select("table", "target", F.size("tokens").cast("long").alias("n_tokens"), joined("tokens").alias("tokens"), joined("roles").alias("roles"))

@@ -10,6 +10,7 @@ from marlstone.functions.text import words
 from marlstone.operators import joins as J
 from marlstone.operators import schemas as C
 from marlstone.operators import windows as X
+from marlstone.operators.windows import first_rows, running
 from marlstone.plans.catalog import query
 from marlstone.sources import io
 from marlstone.storage import scratch, table
@@ -17,7 +18,13 @@ from marlstone.storage import scratch, table
 # ---- schemas
 
 
-@query("sch_01_02_types", "SELECT * FROM (VALUES ('c_acctbal', 'decimal', 'Data'), ('c_custkey', 'integer', 'Data'), ('c_mktsegment', 'text', 'Class'), ('c_name', 'text', 'Class')) v(col, sql_type, kind)")
+@query(
+    "sch_01_02_types",
+    r"""WITH cells AS (SELECT 'c_acctbal' AS col, trim(c_acctbal::VARCHAR) AS v FROM customer UNION ALL SELECT 'c_custkey', c_custkey::VARCHAR FROM customer UNION ALL SELECT 'c_mktsegment', trim(c_mktsegment) FROM customer UNION ALL SELECT 'c_name', trim(c_name) FROM customer)
+SELECT col, CASE WHEN bool_and(regexp_matches(v, '^[+-]?\d+$')) FILTER (v <> '') THEN 'integer' WHEN bool_and(regexp_matches(v, '^[+-]?\d+(\.\d+)?$')) FILTER (v <> '') THEN 'decimal' WHEN bool_and(lower(v) IN ('true', 'false', 'yes', 'no')) FILTER (v <> '') THEN 'boolean'
+WHEN bool_and(regexp_matches(v, '^\d{4}-\d{2}-\d{2}$')) FILTER (v <> '') THEN 'date' WHEN bool_and(regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}')) FILTER (v <> '') THEN 'timestamp' ELSE 'text' END AS sql_type,
+CASE WHEN count(*) FILTER (v <> '') = 0 THEN 'Empty' WHEN avg(coalesce(regexp_matches(v, '^[+-]?\d+(\.\d+)?$|^\d{4}-\d{2}-\d{2}$') OR lower(v) IN ('true', 'false', 'yes', 'no'), false)::INT) >= 0.6 THEN 'Data' ELSE 'Class' END AS kind FROM cells GROUP BY col""",
+)
 def _(s, d):
     c = table(s, d, "customer")
     cells = J.unpivot_values(c.withColumn("k", F.col("c_custkey")), "k", ["c_acctbal", "c_custkey", "c_mktsegment", "c_name"]).withColumnRenamed("attribute", "col")
@@ -92,7 +99,10 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", C.key_shape(F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")), last).alias("shape"))
 
 
-@query("sch_25_convention", "SELECT * FROM (VALUES ('n_regionkey', 'region', 0::BIGINT), ('c_nationkey', 'nation', 0::BIGINT)) v(fk, target, orphans)")
+@query(
+    "sch_25_convention",
+    "SELECT 'n_regionkey' AS fk, 'region' AS target, (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)) AS orphans UNION ALL SELECT 'c_nationkey', 'nation', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))",
+)
 def _(s, d):
     a = J.orphans(table(s, d, "nation"), "n_regionkey", table(s, d, "region"), "r_regionkey").agg(F.lit("n_regionkey").alias("fk"), F.lit("region").alias("target"), F.count("*").alias("orphans"))
     return a.union(J.orphans(table(s, d, "customer"), "c_nationkey", table(s, d, "nation"), "n_nationkey").agg(F.lit("c_nationkey"), F.lit("nation"), F.count("*")))
@@ -103,7 +113,11 @@ def _(s, d):
     return table(s, d, "region").withColumnsRenamed({"r_regionkey": "region_id", "r_name": "title"})
 
 
-@query("sch_32_33_utility", "SELECT * FROM (VALUES ('l_returnflag', 'informative'), ('l_linenumber', 'informative'), ('zero', 'constant')) v(col, class)")
+@query(
+    "sch_32_33_utility",
+    r"""WITH cells AS (SELECT 'l_returnflag' AS col, trim(l_returnflag) AS v FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR FROM lineitem UNION ALL SELECT 'zero', '0' FROM lineitem)
+SELECT col, CASE WHEN count(*) FILTER (v <> '') = 0 THEN 'empty' WHEN bool_and(regexp_matches(v, '^(?i:tbd|n/a|na|none|null|todo|xxx+|-+|\{.*\})$')) FILTER (v <> '') THEN 'placeholder' WHEN min(v) FILTER (v <> '') = max(v) FILTER (v <> '') THEN 'constant' ELSE 'informative' END AS class FROM cells GROUP BY col""",
+)
 def _(s, d):
     cells = J.unpivot_values(table(s, d, "lineitem").withColumn("zero", F.lit(0)).withColumn("k", F.col("l_orderkey")), "k", ["l_returnflag", "l_linenumber", "zero"]).withColumnRenamed("attribute", "col")
     return C.column_class(cells, "col", "value").select("col", "class")
@@ -155,8 +169,8 @@ def _(s, d):
 
 @query("dq_08_filler", "SELECT source, count(*) FILTER (contains(lower(text), 'all rights')) >= 2 AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 40 GROUP BY 1")
 def _(s, d):
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(s, d, "documents").withColumn("r", r).where("r <= 40").groupBy("source").agg((F.count_if(F.contains(F.lower("text"), F.lit("all rights"))) >= 2).alias("dropped"))
+    first = first_rows(table(s, d, "documents").select("source", "doc_id", "text"), ["source"], ["doc_id"], 40)
+    return first.groupBy("source").agg((F.count_if(F.contains(F.lower("text"), F.lit("all rights"))) >= 2).alias("dropped"))
 
 
 @query("dq_10_notation", "SELECT p_partkey, p_partkey % 5 NOT IN (3, 4) AS ok FROM part")
@@ -242,8 +256,8 @@ def _(s, d):
 
 @query("tok_08_eval_slices", "SELECT doc_id, lang FROM (SELECT doc_id, lang, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000")
 def _(s, d):
-    before = F.coalesce(F.sum("n_chars").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return table(s, d, "documents").withColumn("before", before).where("before < 20000").select("doc_id", "lang")
+    docs = running(table(s, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.col("doc_id")], {"before": ("sum", "n_chars")})
+    return docs.where(F.coalesce("before", F.lit(0)) < 20000).select("doc_id", "lang")
 
 
 # ---- document windows
@@ -293,8 +307,8 @@ def _(s, d):
 
 @query("src_01_03_budget", "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 10000")
 def _(s, d):
-    before = F.coalesce(F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return table(s, d, "documents").select("doc_id", before.alias("before")).where("before < 10000").select("doc_id")
+    docs = running(table(s, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], {"before": ("sum", "n_chars")})
+    return docs.where(F.coalesce("before", F.lit(0)) < 10000).select("doc_id")
 
 
 @query("src_07_csv_round_trip", "SELECT n_nationkey, n_name FROM nation")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import hashing as H
 from marlstone.functions import temporal as D
 from marlstone.functions import text as T
+from marlstone.operators.windows import first_rows
 from marlstone.plans.catalog import query
 from marlstone.storage import table
 
@@ -274,8 +275,9 @@ def _(spark, sf_dir):
 
 @query("hsh_05_column_key", "SELECT p_brand, sha256(string_agg(p_name, chr(0) ORDER BY p_partkey)) AS key FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 50 GROUP BY 1")
 def _(spark, sf_dir):
+    first = first_rows(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], 50)
     cells = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(cells.alias("cells")).select("p_brand", H.column_key(F.col("cells")).alias("key"))
+    return first.groupBy("p_brand").agg(cells.alias("cells")).select("p_brand", H.column_key(F.col("cells")).alias("key"))
 
 
 @query("hsh_06_uuid5", "SELECT n_nationkey, 5 AS version, 36 AS size FROM nation")

@@ -55,11 +55,11 @@ def _(s, d):
     return scored.groupBy("label").agg(F.count("*").alias("n"), F.max_by("vec_id", F.struct("x", -F.col("vec_id"))).alias("representative"), status.alias("status"))
 
 
-@query("sim_16_coverage", f"WITH c AS ({_C.format(t='embeddings')}) SELECT label, vec_id AS template, r AS rank FROM (SELECT c.label, vec_id, row_number() OVER (PARTITION BY c.label ORDER BY round({_cos('c', 'embedding')}, 9) DESC, vec_id) AS r FROM c, embeddings e WHERE vec_id % 20 = 3) WHERE r <= 3")
+@query("sim_16_coverage", f"WITH c AS ({_C.format(t='embeddings')}) SELECT label, vec_id AS template, r AS rank FROM (SELECT c.label, vec_id, row_number() OVER (PARTITION BY c.label ORDER BY round({_cos('c', 'embedding')}, 9) DESC, vec_id) AS r FROM c, embeddings e) WHERE r <= 3")
 def _(s, d):
     e = table(s, d, "embeddings")
     topics = S.centroids(e, "label", "embedding").select(F.col("label").alias("vec_id"), F.col("centroid").alias("embedding"))
-    found = S.nearest(topics, e.where("vec_id % 20 = 3"), "vec_id", "embedding", 3, exclude_self=False)
+    found = S.nearest(topics, e, "vec_id", "embedding", 3, exclude_self=False)
     return found.select(F.col("query").alias("label"), F.col("neighbour").alias("template"), F.col("rank").cast("long").alias("rank"))
 
 
