@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marlstone.llm import decontaminate, pii, quality, simhash
 from marlstone.llm.queries import DEMONSTRATION_KEY, packed
 from marlstone.llm.text import hashable
-from marlstone.storage import stash, table
+from marlstone.storage import discard, stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,12 +64,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of their format; all rows and columns stay, null and empty texts as they are."""
+    """Personal data become pseudonyms of their format; all rows and columns stay, null and empty texts as they are.
+
+    Very long texts are worked on whole; repeated rows get equal texts; no rows give no rows.
+    """
     return pii.pseudonyms(docs, pii.session_key(spark, DEMONSTRATION_KEY), counts=False).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as sequences of at most 1024 tokens; null and empty texts are their end id alone, other columns go."""
+    """What is left, as sequences of at most 1024 tokens; null and empty texts are their end id alone, other columns go.
+
+    Very long texts are cut and packed whole; repeated rows are documents of their own; no rows give no rows.
+    """
     return packed(docs)
 
 
@@ -87,7 +93,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            discard(written)  # nothing reads it again
+        written = docs
     return docs
