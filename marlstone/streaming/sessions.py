@@ -189,3 +189,46 @@ def session_windows(frames: DataFrame, score: Score, size: int = 512, stride: in
 def term_labels(terms: tuple[str, ...]) -> Score:
     """A score that labels a text with the terms in it."""
     return lambda texts: [[t for t in terms if t in text] for text in texts]
+
+
+class SessionSpans(StatefulProcessor):
+    """Every place of a term in a session's text, sent once; the text is searched anew when it has changed, so this is for short sessions."""
+
+    def __init__(self, terms: tuple[str, ...]):
+        self.terms = terms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getMapState("frames", "seq int", "arrival long, text string")
+        self.sent = handle.getMapState("sent", "start int, end int, word string", "yes boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        texts = {s: (a, text) for (s,), (a, text) in self.frames.iterator()}
+        held = Survivors(sorted((s, a) for s, (a, _) in texts.items()))
+        for pdf in rows:
+            for seq, arrival, text in pdf[["seq", "arrival", "text"]].itertuples(index=False):
+                stays, dropped = held.add(int(seq), int(arrival))
+                for s in dropped:
+                    texts.pop(s, None)
+                    self.frames.removeKey((s,))
+                if stays:
+                    texts[int(seq)] = (int(arrival), text or "")
+                    self.frames.updateValue((int(seq),), texts[int(seq)])
+        whole = "".join(text for _, (_, text) in sorted(texts.items()))
+        found = []
+        for term in self.terms:
+            at = whole.find(term)
+            while at >= 0:
+                span = (at, at + len(term), term)
+                if not self.sent.containsKey(span):
+                    self.sent.updateValue(span, (True,))
+                    found.append((key[0], *span))
+                at = whole.find(term, at + len(term))
+        yield pd.DataFrame(found, columns=["session", "start", "end", "word"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_spans(frames: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """``frames(session, seq, arrival, text)`` as a stream, to ``(session, start, end, word)``: places of terms, also across frames."""
+    return frames.groupBy("session").transformWithStateInPandas(SessionSpans(terms), "session string, start int, end int, word string", "Append", "None")
