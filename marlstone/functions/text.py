@@ -17,6 +17,9 @@ STRUCTURE_WORDS = ("the", "of", "and", "to", "in", "is", "that", "a", "for", "wi
 
 WORD = r"[\p{L}\p{N}_]+"
 
+#: The edge of a word by ASCII letters, digits and underscore. Java 17's own edge also counts other letters and marks as a word's.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
@@ -60,12 +63,32 @@ def sentence_lengths(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.size(words(s))), lambda n: n > 0)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as C's ``round`` does: the binary value times a power of ten, halves away from zero.
+
+    Spark's own ``round`` goes by the shortest decimal that prints the value, so values next to a half fall elsewhere.
+    """
+    scale = float(10**digits)
+
+    def one(v: Column) -> Column:
+        y = F.abs(v) * scale
+        return F.signum(v) * (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)) / scale
+
+    return F.get(F.transform(F.array(x), one), F.lit(0))  # a lambda's value is computed once
+
+
+def ease_score(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
+    """STR-07: the Flesch score from its counts, one decimal; 0 without words. The factors count as decimals, so products are exact before they are divided."""
+    long_sentences = 1015 * n_words.cast("long") / 1000.0 / F.greatest(n_sentences, F.lit(1))
+    return F.when(n_words > 0, rounded(206.835 - long_sentences - 846 * n_syllables.cast("long") / 10.0 / n_words, 1)).otherwise(0.0)
+
+
 def reading_ease(text: Column) -> Column:
     """STR-07: Flesch reading ease, one decimal; 0 without words."""
-    w, s = words(text), sentence_lengths(text)
-    n = F.size(w)
+    w = words(text)
     syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
-    return F.when(n > 0, F.round(206.835 - 1.015 * n / F.greatest(F.size(s), F.lit(1)) - 84.6 * syl / n, 1)).otherwise(0.0)
+    counts = F.array(F.struct(F.size(w).alias("n"), F.size(sentence_lengths(text)).alias("s"), syl.alias("k")))
+    return F.get(F.transform(counts, lambda c: ease_score(c["n"], c["s"], c["k"])), F.lit(0))  # counts are taken once
 
 
 def sentence_length_cv(text: Column) -> Column:
@@ -81,7 +104,7 @@ def sentence_length_cv(text: Column) -> Column:
 def phrase_rate(text: Column, phrases: tuple[str, ...]) -> Column:
     """STR-09: phrase hits for each thousand words."""
     low = F.lower(text)
-    hits = reduce(lambda a, b: a + b, (F.regexp_count(low, F.lit(rf"\b{p}\b")) for p in phrases))
+    hits = reduce(lambda a, b: a + b, (F.regexp_count(low, F.lit(f"{EDGE}{p}{EDGE}")) for p in phrases))
     n = F.size(words(text))
     return F.when(n > 0, hits * 1000.0 / n).otherwise(0.0)
 
@@ -152,7 +175,7 @@ def identifier(name: Column) -> Column:
 
 def first_word_match(text: Column, term: str) -> Column:
     """STR-25: the 1-based place of the first whole-word hit in either case; 0 if none."""
-    return F.regexp_instr(text, F.lit(rf"(?i)\b{term}\b"))
+    return F.regexp_instr(text, F.lit(f"(?i){EDGE}{term}{EDGE}"))
 
 
 def strip_slots(template: Column) -> Column:
@@ -175,7 +198,7 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
 
 def html_text(html: Column) -> Column:
     """STR-29: readable text of a page by patterns alone: furniture, comments and tags go, entities of markup are undone."""
-    body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</(script|style|nav|header|footer|aside)>", " ")
+    body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)" + EDGE + r".*?</(script|style|nav|header|footer|aside)>", " ")
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
     body = F.regexp_replace(body, r"(?s)<[^>]*>", "\n")
     for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
