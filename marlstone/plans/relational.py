@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import hashing as H
+from marlstone.functions.text import EDGE
 from marlstone.operators import joins as J
 from marlstone.operators.windows import running
 from marlstone.plans.catalog import query
@@ -44,7 +45,7 @@ def _(s, d):
 
 @query("fil_06_two_stage_keywords", r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'License|rights') AND len(regexp_extract_all(text, '\b(License|Version|reserved|under)\b')) >= 2")
 def _(s, d):
-    hits = F.regexp_count("text", F.lit(r"\b(License|Version|reserved|under)\b")) >= 2
+    hits = F.regexp_count("text", F.lit(f"{EDGE}(License|Version|reserved|under){EDGE}")) >= 2
     return table(s, d, "documents").where(F.col("text").rlike("License|rights") & hits).select("doc_id")
 
 

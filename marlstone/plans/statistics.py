@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import hashing as H
-from marlstone.functions.text import number, words
+from marlstone.functions.text import EDGE, number, words
 from marlstone.operators import aggregates as A
 from marlstone.operators import evaluation as E
 from marlstone.operators import windows as W
@@ -120,7 +120,7 @@ def _(s, d):
 @query("agg_23_rubric", r"SELECT p AS pattern, sum(len(regexp_extract_all(lower(text), p)))::BIGINT AS hits FROM documents, (VALUES ('licensed?'), ('\bthe\b'), ('[0-9]+')) v(p) GROUP BY 1")
 def _(s, d):
     patterns = ["licensed?", r"\bthe\b", "[0-9]+"]
-    counts = [F.sum(F.regexp_count(F.lower("text"), F.lit(p))).alias(f"p{i}") for i, p in enumerate(patterns)]
+    counts = [F.sum(F.regexp_count(F.lower("text"), F.lit(p.replace(r"\b", EDGE)))).alias(f"p{i}") for i, p in enumerate(patterns)]
     one = table(s, d, "documents").agg(*counts)
     return one.select(F.inline(F.array(*(F.struct(F.lit(p).alias("pattern"), F.col(f"p{i}").alias("hits")) for i, p in enumerate(patterns)))))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import hashing as H
-from marlstone.functions.text import words
+from marlstone.functions.text import EDGE, words
 from marlstone.operators import joins as J
 from marlstone.operators import schemas as C
 from marlstone.operators import windows as X
@@ -145,7 +145,7 @@ def _(s, d):
 
 @query("dq_01_04_terms", r"SELECT doc_id, len(regexp_extract_all(text, '\b(Apache|GNU|MIT|CC)\b')) AS hits FROM documents WHERE regexp_matches(text, '\b(Apache|GNU|MIT|CC)\b')")
 def _(s, d):
-    p = r"\b(Apache|GNU|MIT|CC)\b"
+    p = f"{EDGE}(Apache|GNU|MIT|CC){EDGE}"
     return table(s, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_count("text", F.lit(p)).alias("hits"))
 
 
@@ -289,7 +289,7 @@ def _(s, d):
 @query("doc_12_18_mentions", r"SELECT doc_id, contains(text, 'License') OR contains(text, 'rights') AS mentioned, len(regexp_extract_all(text, '\{[^}]*\}|\bTBD\b')) AS placeholders FROM documents")
 def _(s, d):
     keywords = F.array(F.lit("License"), F.lit("rights"))
-    return table(s, d, "documents").select("doc_id", F.exists(keywords, lambda k: F.contains("text", k)).alias("mentioned"), F.regexp_count("text", F.lit(r"\{[^}]*\}|\bTBD\b")).alias("placeholders"))
+    return table(s, d, "documents").select("doc_id", F.exists(keywords, lambda k: F.contains("text", k)).alias("mentioned"), F.regexp_count("text", F.lit(rf"\{{[^}}]*\}}|{EDGE}TBD{EDGE}")).alias("placeholders"))
 
 
 @query("doc_15_fidelity", "SELECT count(*) AS pairs, count(*) FILTER (contains('small ring red widget', p_name)) AS found FROM part")
