@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from marlstone.operators.windows import running
+from marlstone.storage import stash
 
 
 def brier(belief: Column, right: Column) -> Column:
@@ -183,28 +185,69 @@ def sign_flip_test(df: DataFrame, keys: Sequence[str], id: str, diff: str, round
     return hits.groupBy(*keys).agg(((F.count_if(F.abs("s") >= F.col("__seen") - 1e-9) + 1) / (rounds + 1)).alias("p"))
 
 
+#: Runs of bytes that a task holds at a time.
+_RUNS = 1 << 21
+
+
+def _numbers(k: int, runs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), k, np.int32)), pa.array(runs.view(np.int64))], ["k", "g"])
+
+
+def _ends(ends: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    for k in sorted({k for k, _ in ends}):
+        yield _numbers(k, np.array([x for j, x in ends if j == k], np.uint64))
+
+
 def byte_grams(df: DataFrame, text: str, most: int = 8) -> DataFrame:
     """STA-07: ``(k, grams)``: how many different runs of ``k`` bytes come, for ``k`` up to eight.
 
-    A run of eight bytes is one 64-bit number, so runs are told apart exactly; each
-    batch sends its own different runs.
+    A run of eight bytes is one 64-bit number, so runs are told apart exactly. Only runs of
+    ``most`` bytes leave a task, and the shorter ones that end a text: every other run begins a longer one, so runs of
+    ``k`` bytes are the different beginnings of runs of ``k + 1``. A task holds about ``_RUNS`` runs
+    at a time, however long its batches and texts are.
     """
 
     def run(batches):
+        held = np.zeros(0, np.uint64)
+        fresh: list[np.ndarray] = []
+        ends: set[tuple[int, int]] = set()
+        waiting = 0
+
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate([held, *fresh]))
+
         for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in range(most)]
             for value in batch.column(0):
-                raw = np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-                grams = np.zeros(len(raw) + 1, np.uint64)
-                for k in range(1, min(most, len(raw)) + 1):
-                    grams = grams[: len(raw) - k + 1] << np.uint64(8) | raw[k - 1 :]
-                    found[k - 1].append(grams)
-            for k, parts in enumerate(found, 1):
-                if parts:
-                    own = np.unique(np.concatenate(parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64))], ["k", "g"])
-
-    return df.select(text).mapInArrow(run, "k int, g long").distinct().groupBy("k").agg(F.count("*").alias("grams"))
+                raw = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+                for k in range(1, min(most - 1, len(raw)) + 1):
+                    ends.add((k, int.from_bytes(raw[len(raw) - k :].tobytes(), "big")))
+                for at in range(0, len(raw) - most + 1, _RUNS // 4):
+                    piece = raw[at : at + _RUNS // 4 + most - 1].astype(np.uint64)
+                    grams = np.zeros(len(piece) - most + 1, np.uint64)
+                    for k in range(most):
+                        grams = grams << np.uint64(8) | piece[k : k + len(grams)]
+                    fresh.append(grams)
+                    waiting += len(grams)
+                    if waiting >= _RUNS // 2:
+                        held, fresh, waiting = merged(), [], 0
+                        if len(held) >= _RUNS:
+                            yield _numbers(most, held)
+                            held = np.zeros(0, np.uint64)
+                if len(ends) >= _RUNS // 16:
+                    yield from _ends(ends)
+                    ends.clear()
+        yield _numbers(most, merged())
+        yield from _ends(ends)
+
+    runs = stash(df.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "k int, g long").distinct(), "runs")
+    longest = runs.where(F.col("k") == most).select("g")
+    counts = []
+    for k in range(most, 0, -1):
+        if k < most:
+            cut = longest.select(F.shiftrightunsigned("g", 8).alias("g"))
+            longest = stash(cut.union(runs.where(F.col("k") == k).select("g")).distinct(), "runs")
+        counts.append(longest.agg(F.lit(k).alias("k"), F.count("*").alias("grams")))
+    return reduce(DataFrame.union, counts).where("grams > 0")
 
 
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
