@@ -52,7 +52,7 @@ def _(s, d):
 def _(s, d):
     """The longest chain of references within each part of the nodes."""
     c = table(s, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
-    return G.reachable(c).groupBy((F.col("node") % 7).alias("part")).agg(F.max("distance").alias("depth"))
+    return G.climbed(c).groupBy((F.col("node") % 7).alias("part")).agg(F.max("distance").alias("depth"))
 
 
 @query("hie_11_domain_group", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '_unassigned' ELSE string_split(p_brand, '#')[1] || (p_size % 5) END AS grp FROM part")
