@@ -154,9 +154,10 @@ _EDGES = "SELECT c_custkey AS c, c_custkey // 3 AS p FROM customer WHERE c_custk
 @query("joi_19_chain_credit", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(a, n, k) AS (SELECT x, x, 0 FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT a, c, k + 1 FROM w JOIN e ON n = p), q AS (SELECT p_partkey, p_partkey % 40 AS truth, p_size AS guess FROM part) SELECT p_partkey, round(coalesce(max(1 / (1 + k)), 0), 6) AS credit FROM q LEFT JOIN (SELECT a, n, k FROM w UNION SELECT n, a, k FROM w) ON a = truth AND n = guess GROUP BY 1")
 def _(s, d):
     edges = table(s, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
-    paths = G.reachable(edges)
-    both = paths.select(F.col("ancestor").alias("truth"), F.col("node").alias("guess"), "distance").union(paths.select("node", "ancestor", "distance")).distinct()
     q = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("truth"), F.col("p_size").cast("long").alias("guess"))
+    asked = q.select("truth", "guess").distinct()  # only these climb
+    paths = G.ancestors(edges, asked.select(F.col("truth").alias("node")).union(asked.select("guess")))
+    both = paths.select(F.col("ancestor").alias("truth"), F.col("node").alias("guess"), "distance").union(paths.select("node", "ancestor", "distance")).distinct().join(asked, ["truth", "guess"], "left_semi")
     return q.join(both, ["truth", "guess"], "left").groupBy("p_partkey").agg(F.round(F.coalesce(F.max(1 / (1 + F.col("distance"))), F.lit(0.0)), 6).alias("credit"))
 
 
