@@ -231,8 +231,7 @@ def _(s, d):
 
 @query("hie_05_06_root", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(node, top, distance) AS (SELECT c, p, 1 FROM e UNION ALL SELECT node, p, distance + 1 FROM w JOIN e ON top = c) SELECT node::BIGINT AS node, max_by(top, distance)::BIGINT AS root, max(distance) AS depth FROM w GROUP BY 1")
 def _(s, d):
-    paths = G.reachable(tree(s, d)).where("distance > 0")
-    return paths.groupBy("node").agg(F.max_by("ancestor", "distance").alias("root"), F.max("distance").alias("depth"))
+    return G.climbed(tree(s, d)).where("distance > 0").select("node", F.col("top").alias("root"), F.col("distance").alias("depth"))
 
 
 #: Parts point at the part before; every tenth stretch of ten closes in a ring.
@@ -264,7 +263,7 @@ def _(s, d):
 
 @query("hie_07_inherited", f"WITH RECURSIVE e(c, p) AS ({_EDGES}), w(ancestor, node) AS (SELECT x, x FROM (SELECT c AS x FROM e UNION SELECT p FROM e) UNION SELECT ancestor, c FROM w JOIN e ON node = p) SELECT node::BIGINT AS node, count(*) FILTER (ancestor % 3 = 0) AS properties FROM w GROUP BY 1")
 def _(s, d):
-    return G.reachable(tree(s, d)).groupBy("node").agg(F.count_if(F.col("ancestor") % 3 == 0).alias("properties"))
+    return G.climbed(tree(s, d), (F.col("node") % 3 == 0).cast("long")).select("node", F.col("total").alias("properties"))
 
 
 @query("hie_08_family_coverage", "SELECT n_regionkey, count(*) AS members, bool_and(n_nationkey IN (SELECT c_nationkey FROM customer)) AS covered, count(*) * (count(*) - 1) // 2 AS pairs FROM nation GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import evaluation as E
+from marlstone.operators import graph as G
 from marlstone.plans import catalog
 
 catalog.load()
@@ -50,3 +51,59 @@ def test_byte_grams_hold_a_bounded_part(spark, monkeypatch):
     assert got == {k: len({r[i : i + k] for r in raw for i in range(len(r) - k + 1)}) for k in range(1, 9)}
     ended = {r[-k:] for r in raw for k in range(1, 8) if len(r) >= k}
     assert sent[0].where("k < 8").count() == len(ended)  # a shorter run leaves a task only where a text ends
+
+
+def test_hierarchies_of_any_shape(spark):
+    tree = [(i, i // 3) for i in range(1, 60)]
+    shapes = {"forest": tree, "chain": [(i + 1, i) for i in range(20)], "ring": [((i + 1) % 9, i) for i in range(9)] + [(20, 3), (21, 20), (None, 4), (30, None)], "two parents": [*tree, (7, 40), (8, 1)], "self": [(1, 1), (2, 1)], "none": []}
+    for name, pairs in shapes.items():
+        edges = spark.createDataFrame([*pairs, *pairs[:2]], "child long, parent long")
+        above: dict[int, dict[int, int]] = {x: {x: 0} for p in pairs for x in p if x is not None}
+        for _ in above:
+            for c, p in pairs:
+                if c is not None and p is not None:
+                    for a, n in list(above[p].items()):
+                        above[c][a] = min(above[c].get(a, n + 1), n + 1)
+        assert sorted(map(tuple, G.reachable(edges).collect())) == sorted((a, x, n) for x, of in above.items() for a, n in of.items()), name
+        start = spark.createDataFrame([(7,), (8,), (999,), (7,)], "node long")
+        assert sorted(map(tuple, G.ancestors(edges, start).collect())) == sorted((a, x, n) for x, of in above.items() for a, n in of.items() if x in (7, 8)), name
+        got = {r.node: (r.distance, r.total) for r in G.climbed(edges, F.col("node") % 3).collect()}
+        assert got == {x: (max(of.values()), sum(a % 3 for a in of)) for x, of in above.items()}, name
+        rings = {c for c, p in pairs if c is not None and p is not None and c in above[p]}
+        assert {r.node for r in G.cycle_nodes(edges).collect()} == rings, name
+
+
+def test_hierarchies_list_no_paths(spark, monkeypatch):
+    """A forest's rings, roots, sums and few nodes' ancestors come without the closure."""
+    monkeypatch.setattr(G, "reachable", None)
+    monkeypatch.setattr(G, "_closure", None)
+    edges = spark.createDataFrame([(i, i // 3) for i in range(1, 60)], "child long, parent long")
+    assert G.climbed(edges).count() == 60
+    assert G.ancestors(edges, spark.createDataFrame([(59,)], "node long")).count() == 5
+    assert G.cycle_nodes(edges).count() == 0
+    assert G.cycle_nodes(spark.createDataFrame([((i + 1) % 9, i) for i in range(9)], "child long, parent long")).count() == 9
+
+
+def test_components_shrink(spark, monkeypatch):
+    """A long chain takes few rounds, and edges are fewer in each."""
+    sizes = []
+    monkeypatch.setattr(G, "stash", lambda df, name="", f=G.stash: (out := f(df, name), sizes.append(out.count()) if name == "edges" else None)[0])
+    chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (2000, 2000)]
+    got = dict(G.connected(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect())
+    assert got == {x: 0 for x in range(301)} | {1000: 1000, 1001: 1000, 2000: 2000}
+    assert len(sizes) <= 3 and sizes == sorted(sizes, reverse=True)
+
+
+def test_pruned_hubs_matches_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (230, 2))] + [(50, i) for i in range(30)]
+    near: dict[int, set[int]] = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    live = {a for a, of in near.items() if len(of) <= 14}
+    of = {a: near[a] & live for a in live}
+    share = lambda x, y: len(of[x] & of[y]) / max(1, len((of[x] | of[y]) - {x, y}))
+    want = {(a, b) for a in live for b in of[a] if a < b and share(a, b) >= 0.2}
+    assert {tuple(r) for r in G.pruned_hubs(spark.createDataFrame(pairs, "a long, b long"), 14, 0.2).collect()} == want and want
