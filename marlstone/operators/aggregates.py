@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.windows import running
+
 
 def shares(df: DataFrame, key: str | Column, digits: int = 4) -> DataFrame:
     """AGG-03: counts by key and their share of all rows."""
@@ -28,16 +30,20 @@ def rounded_quantile(values: Column, percent: float) -> Column:
 
 
 def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], rounded: dict[str, float] | None = None) -> DataFrame:
-    """STA-15 (and STA-16 for ``rounded``) for groups of any size: by rank windows, without gathering a group in one array.
+    """STA-15 (and STA-16 for ``rounded``) for groups of any size: from counts of equal values, without gathering or sorting a group in one task.
 
-    Ranks come from one sort of each group, which spills; a hot group is one
-    task's sort, not one task's memory.
+    A value's places are those behind the counts of smaller ones, summed by ranges; a group may hold any share of the rows and values.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count("*").over(w).alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__k"))
+    placed = running(counts, list(keys), [F.col(value)], {"__before": ("sum", "__k")}).withColumn("__before", F.coalesce("__before", F.lit(0)))
+    whole = placed.groupBy(*(F.col(k).alias(f"__g{i}") for i, k in enumerate(keys))).agg(F.sum("__k").alias("__n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    ranked = placed.join(whole, same) if keys else placed.crossJoin(F.broadcast(whole))  # without keys one row
     places = {name: F.least(F.col("__n"), F.floor(F.col("__n") * q) + 1) for name, q in quantiles.items()}
     places |= {name: F.bround((F.col("__n") - 1) * F.lit(q), 0).cast("long") + 1 for name, q in (rounded or {}).items()}
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("__r") == at, F.col(value))).alias(name) for name, at in places.items()))
+    return ranked.groupBy(*keys).agg(*(F.max(F.when((F.col("__before") < at) & (at <= F.col("__before") + F.col("__k")), F.col(value))).alias(name) for name, at in places.items()))
 
 
 def entropy(df: DataFrame, keys: Sequence[str], item: str, name: str = "entropy") -> DataFrame:

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import aggregates as A
 from marlstone.operators import evaluation as E
 from marlstone.operators import graph as G
+from marlstone.operators import similarity as S
 from marlstone.plans import catalog
 
 catalog.load()
@@ -107,3 +109,43 @@ def test_pruned_hubs_matches_brute_force(spark):
     share = lambda x, y: len(of[x] & of[y]) / max(1, len((of[x] | of[y]) - {x, y}))
     want = {(a, b) for a in live for b in of[a] if a < b and share(a, b) >= 0.2}
     assert {tuple(r) for r in G.pruned_hubs(spark.createDataFrame(pairs, "a long, b long"), 14, 0.2).collect()} == want and want
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_sort_no_group(spark):
+    rows = [(k, float(x)) for k in ("a", None) for x in [*range(20), 3, 3, 3]] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = A.ranked_quantiles(df, ["k"], "x", {"q": 0.5}, {"r": 0.9})
+    assert "row_number" not in plan(got)
+    values = sorted([*range(20), 3, 3, 3])
+    assert {tuple(r) for r in got.collect()} == {(k, values[int(0.5 * 23)], values[round(0.9 * 22)]) for k in ("a", None)}
+
+
+def test_redundancy_shuffles_once(spark, tmp_path):
+    texts = ["a b c d e f", "a b c d e", "a b c d e a b c d e", "x y", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "b c d e f")], "doc_id long, text string")
+    got, want = both(spark, tmp_path, "set_13_ngram_redundancy", documents=docs)
+    assert got == want
+    assert plan(catalog.QUERIES["set_13_ngram_redundancy"](spark, str(tmp_path))).count("Aggregate") == 2
+
+
+def test_postings_order_long_texts_only(spark, tmp_path):
+    long = " ".join(f"a{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(4400))
+    docs = spark.createDataFrame([(0, long), (1, "abc abc xyz ab"), (2, None), (3, long[:16000])], "doc_id long, text string")
+
+    docs.where("doc_id <> 0").coalesce(1).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got, want = both(spark, tmp_path, "src_31_document_postings", documents=docs)
+    assert got == want
+    assert "length(low" in plan(catalog.QUERIES["src_31_document_postings"](spark, f"{tmp_path}/some"))
+
+
+def test_nearest_takes_few_blocks_at_a_time(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "stash", lambda df, name="": seen.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, v array<double>")
+    S.nearest(df, df, "id", "v", 1)
+    assert seen == ["4"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
