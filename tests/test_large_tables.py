@@ -149,3 +149,9 @@ def test_nearest_takes_few_blocks_at_a_time(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, v array<double>")
     S.nearest(df, df, "id", "v", 1)
     assert seen == ["4"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_few_terms_are_sent_to_the_counts(spark):
+    """The optimizer is told to send the terms; without that the counts would be shuffled by term."""
+    docs = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["a", "c"]), (2, ["b"])], "id long, t array<string>")
+    assert plan(S.tf_idf(docs, "id", "t")).count("strategy=broadcast") == 2
