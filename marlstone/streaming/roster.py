@@ -20,9 +20,12 @@ _NAMES = ["key", "target", "at_ms", "number", "expires_ms", "live"]
 class Roster(StatefulProcessor):
     """STM-07: the latest announcement of each key, until its time is over.
 
-    An announcement that changes the target or moves the end is passed on as live; when a timer fires at
-    the end of the latest one, the key is passed on as not live and forgotten. With ``event_time`` time is
+    An announcement that changes the target or moves the end is passed on as live; at the end of the
+    latest one the key is passed on as not live and forgotten. With ``event_time`` time is
     the watermark and an announcement counts from its own time, else both are the clock's.
+
+    A block of keys is one entry of the state with one timer, at its earliest end: each call into the state store
+    costs far more than a row does, so a batch makes a few calls a block and none a key.
     """
 
     def __init__(self, event_time: bool):
@@ -30,55 +33,73 @@ class Roster(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "target string, at_ms long, number long, expires_ms long")
+        self.last = handle.getValueState("last", "key array<string>, target array<string>, at_ms array<long>, number array<long>, expires_ms array<long>")
+
+    def _known(self) -> dict[str, tuple]:
+        columns = self.last.get()
+        return {} if columns is None else {key: tuple(rest) for key, *rest in zip(*columns, strict=True)}
+
+    def _keep(self, known: dict[str, tuple], timer: int | None) -> None:
+        """Write the block's keys and move its timer, which stands at ``timer`` now, to their earliest end."""
+        due = min((end for *_, end in known.values()), default=None)
+        due = None if due is None else due - 1  # timers fire behind their time; a row is over at its end
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if known:
+            self.last.update(tuple(map(list, zip(*((key, *row) for key, row in known.items()), strict=True))))
+        else:
+            self.last.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
-        best = before
+        known = self._known()
+        timer = min((end for *_, end in known.values()), default=0) - 1 if known else None
         now = timerValues.getCurrentProcessingTimeInMs()
+        changed = set()
         for chunk in rows:
-            for target, at_ms, number, ttl in chunk[["target", "at_ms", "number", "ttl"]].itertuples(index=False):
-                at_ms = int(at_ms) if self.event_time else now
-                if best is None or (at_ms, int(number)) > (best[1], best[2]):
-                    best = (target, at_ms, int(number), at_ms + 1000 * int(ttl))
-        out = []
-        if best != before:
-            if before is not None:
-                self.handle.deleteTimer(before[3] - 1)
-            self.handle.registerTimer(best[3] - 1)  # timers fire behind their time; a row is over at its end
-            self.last.update(best)
-            out = [(key[0], *best, True)]
-        yield pd.DataFrame(out, columns=_NAMES)
+            for name, target, at_ms, number, ttl in chunk[["key", "target", "at_ms", "number", "ttl"]].itertuples(index=False):
+                at_ms, number = int(at_ms) if self.event_time else now, int(number)
+                best = known.get(name)
+                if best is None or (at_ms, number) > (best[1], best[2]):
+                    known[name] = (target, at_ms, number, at_ms + 1000 * int(ttl))
+                    changed.add(name)
+        if changed:
+            self._keep(known, timer)
+        yield pd.DataFrame([(name, *known[name], True) for name in sorted(changed)], columns=_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.last.exists():
-            last = self.last.get()
-            if last[3] - 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.last.clear()
-                out = [(key[0], *last, False)]
-        yield pd.DataFrame(out, columns=_NAMES)
+        known = self._known()
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), now - 1)
+        gone = [(name, *row, False) for name, row in known.items() if row[3] - 1 <= over]
+        if gone:
+            # Spark deletes the timer that fired
+            self._keep({name: row for name, row in known.items() if row[3] - 1 > over}, None)
+        yield pd.DataFrame(gone, columns=_NAMES)
 
     def close(self) -> None:
         pass
 
 
-def roster_changes(announced: DataFrame, event_time: bool = True, late: str = "0 seconds") -> DataFrame:
+def roster_changes(announced: DataFrame, event_time: bool = True, late: str = "0 seconds", blocks: int = 4096) -> DataFrame:
     """``announced(key, target, at, number, ttl)`` as a stream, to its changes ``(key, target, at_ms, number, expires_ms, live)``.
 
     ``ttl`` is in seconds and clamped (:func:`clamp_ttl`); a null one is the default. Of one key the greatest ``at`` counts, of equal ones the
     greatest ``number``. Rows with a null key or time are left out. In event time, rows later than the watermark are dropped by Spark.
-    The session must use the RocksDB state store.
+    Keys lie in ``blocks`` blocks by hash, and a batch reads and writes the live keys of the blocks that it touches: some hundred keys a block
+    are cheap, so many millions of live keys want more blocks. The session must use the RocksDB state store.
     """
     rows = announced.where("key IS NOT NULL AND at IS NOT NULL")
     rows = rows.select(
         F.col("key").cast("string").alias("key"), "target", "at", F.unix_millis("at").alias("at_ms"), F.coalesce(F.col("number").cast("long"), F.lit(0)).alias("number"),
         clamp_ttl(F.coalesce(F.col("ttl"), F.lit(0))).cast("long").alias("ttl"),
-    )
+    ).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     if event_time:
         rows = rows.withWatermark("at", late)
     mode = "EventTime" if event_time else "ProcessingTime"
-    return rows.groupBy("key").transformWithStateInPandas(Roster(event_time), CHANGES, "Append", mode)
+    return rows.groupBy("block").transformWithStateInPandas(Roster(event_time), CHANGES, "Append", mode)
 
 
 def live(changes: DataFrame) -> DataFrame:

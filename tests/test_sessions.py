@@ -124,3 +124,39 @@ def test_rows_expire_in_processing_time(spark):
     finally:
         query.stop()
     assert sorted(seen) == [("long", True), ("short", False), ("short", True)]
+
+
+def test_roster_keeps_blocks_of_keys(spark):
+    """However keys lie in blocks, the changes are those of each key by itself; state and timers are counted by blocks."""
+    rnd = random.Random(6)
+    own = E.with_state_store(spark)
+    base, batches, n = 1_700_000_000, [], 0
+    for b in range(3):
+        batch = []
+        for _ in range(500):
+            n += 1
+            batch.append((f"k{rnd.randrange(120)}", rnd.choice(["x", "y", None]), base + 900 * b + rnd.randrange(1, 900), n, rnd.choice([0, 5, 40, 700, 3600])))
+        batches.append(batch)
+    last, want, mark = {}, [], 0
+    for batch in batches:  # rows before the watermark are late; keys end once a batch has moved it
+        new = {}
+        for key, target, at, number, ttl in batch:
+            row = (target, at * 1000, number, at * 1000 + 1000 * (ttl or 60))
+            if at * 1000 >= mark and row[1:3] > new.get(key, last.get(key, (None, 0, 0)))[1:3]:
+                new[key] = row
+        want += [(k, *v, True) for k, v in new.items()]
+        last |= new
+        mark = max(mark, *(at * 1000 for _, _, at, *_ in batch))
+        want += [(k, *v, False) for k, v in last.items() if v[3] <= mark]
+        last = {k: v for k, v in last.items() if v[3] > mark}
+    schema = "key string, target string, at long, number long, ttl int"
+    parts = [own.createDataFrame(b, schema).withColumn("at", F.timestamp_seconds("at")) for b in batches]
+    for blocks in (1, 7, 4096):
+        got = E.run_in_parts(own, parts, lambda x, blocks=blocks: R.roster_changes(x, blocks=blocks))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), blocks
+    source = scratch(own, "roster-in")
+    parts[0].write.parquet(source)
+    stream = R.roster_changes(own.readStream.schema(parts[0].schema).parquet(source), blocks=7)
+    query = stream.writeStream.format("noop").option("checkpointLocation", scratch(own, "roster-cursor")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 7  # a value and a timer, which has two entries
