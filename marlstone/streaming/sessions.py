@@ -9,6 +9,10 @@ State goes on from the last stable place: the first window that is not settled y
 keeps where that was when the frame was added, so a rewind restarts there. Window texts that were
 scored stay known by their hash. Every entry of the state expires ``ttl`` after it was written; a rewind past
 expired frames restarts at the oldest one left.
+
+Each call into the state store costs far more than a window does, so the entries of windows are blocks: labels that were
+sent lie together by the place where the window starts, scored texts in parts by hash that hold some :data:`_PART` each. A
+batch reads and writes the blocks that it touches, and these are of bounded size however long the session is.
 """
 
 from __future__ import annotations
@@ -24,6 +28,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "session string, start long, stop long, label string"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Scored texts of a session before its next ones go to a level with more parts, and about what each part holds; parts of a level.
+_PART, _FAN = 64, 16
+_DIGEST = 16
 
 #: Labels of each text.
 Score = Callable[[list[str]], list[list[str]]]
@@ -48,26 +55,41 @@ class Survivors:
         return True, dropped
 
 
+def _level(scored: int) -> int:
+    """The level that takes the next text of a session with so many: each has ``_FAN`` times the parts of the one before."""
+    level, room = 0, _PART
+    while scored >= room:
+        level += 1
+        room += _PART * _FAN**level
+    return level
+
+
+def _part(level: int, digest: bytes) -> tuple[int, int]:
+    return level, int.from_bytes(digest[:7], "big") % _FAN**level
+
+
 class SessionWindows(StatefulProcessor):
     """STM-01/02/06: windows of ``size`` tokens every ``stride``; a window is settled when a stride of tokens more has come, or the session was flushed."""
 
     def __init__(self, score: Score, size: int, stride: int, ttl: int):
         self.score, self.size, self.stride, self.ttl = score, size, stride, ttl * 1000
+        self.span = 256 * stride  # code points of a block of sent labels: a few dozen windows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.index = handle.getMapState("index", "seq int", "arrival long, begin long, k long, at long", self.ttl)
         self.texts = handle.getMapState("texts", "seq int", "text string", self.ttl)
-        self.end = handle.getValueState("end", "seq int, arrival long, stop long, k long, at long, tail string, flushed boolean", self.ttl)
-        self.sent = handle.getMapState("sent", "start long, stop long, label string", "yes boolean", self.ttl)
-        self.memo = handle.getMapState("memo", "segment binary", "labels array<string>", self.ttl)
+        self.end = handle.getValueState("end", "seq int, arrival long, stop long, k long, at long, tail string, flushed boolean, scored long", self.ttl)
+        self.sent = handle.getMapState("sent", "block long", "start array<long>, stop array<long>, label array<string>, at array<long>", self.ttl)
+        self.memo = handle.getMapState("memo", "level int, part long", "segments binary, labels array<array<string>>", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, last_arrival, stop, k, at, tail, flushed = self.end.get() if self.end.exists() else (-(2**31), -(2**63), 0, 0, 0, "", False)
+        last, last_arrival, stop, k, at, tail, flushed, scored = self.end.get() or (-(2**31), -(2**63), 0, 0, 0, "", False, 0)
         held: Survivors | None = None  # of the frames of batches before, read only where one of them may be touched
         fresh = Survivors([])  # frames after all of those
         touched: list[int] = []
+        added: dict[int, str] = {}
         for chunk in rows:
-            for seq, arrival, text, flush in chunk[["seq", "arrival", "text", "flush"]].itertuples(index=False):
+            for seq, arrival, text, flush in zip(*(chunk[c] for c in ("seq", "arrival", "text", "flush")), strict=True):
                 seq, arrival, flushed = int(seq), int(arrival), bool(flushed or flush)
                 if held is None and seq <= last:
                     held = Survivors(sorted((s, a) for (s,), (a, *_) in self.index.iterator()))
@@ -78,12 +100,14 @@ class SessionWindows(StatefulProcessor):
                     continue  # the last frame arrived later and has a smaller number
                 stays, dropped = frames.add(seq, arrival)
                 if stays:
-                    self.texts.updateValue((seq,), ("" if text is None else text,))
+                    added[seq] = "" if text is None else text
+                    self.texts.updateValue((seq,), (added[seq],))
                     touched += [seq, *dropped]
                     for s in dropped:
                         if s != seq:
+                            added.pop(s, None)
                             self.texts.removeKey((s,))
-        found: list[tuple[int, int, str]] = []
+        rows_out: list[tuple[int, int, str]] = []
         if touched or flushed:
             first = min(touched, default=last + 1)
             if held is None:
@@ -92,8 +116,9 @@ class SessionWindows(StatefulProcessor):
                 order = held.seqs[bisect_left(held.seqs, first) :]
                 if first <= last:
                     stop, k, at, tail = self._rewound(first, held.seqs)
-            found = self._settled(order, stop, k, at, tail, flushed, held or fresh, (last, last_arrival))
-        rows_out = self._unsent(found)
+            found, end = self._settled(order, added, stop, k, at, tail, flushed, held or fresh, (last, last_arrival))
+            rows_out, scored = self._unsent(found, scored, timerValues.getCurrentProcessingTimeInMs())
+            self.end.update((*end, scored))
         yield pd.DataFrame([(key[0], *x) for x in rows_out], columns=["session", "start", "stop", "label"])
 
     def _rewound(self, first: int, kept: list[int]) -> tuple[int, int, int, str]:
@@ -108,22 +133,22 @@ class SessionWindows(StatefulProcessor):
         for s in reversed(kept[: bisect_left(kept, first)]):
             if reach <= at:
                 break
-            if not self.texts.containsKey((s,)):  # expired: go on from what is left
+            text = self.texts.getValue((s,))
+            if text is None:  # expired: go on from what is left
                 break
-            text = self.texts.getValue((s,))[0]
-            parts.append(text)
-            reach -= len(text)
+            parts.append(text[0])
+            reach -= len(text[0])
         at = max(at, reach)
         return begin, k, at, "".join(reversed(parts))[at - reach :]
 
-    def _settled(self, order: list[int], stop: int, k: int, at: int, tail: str, flushed: bool, frames: Survivors, end: tuple[int, int]) -> list[tuple[int, int, str]]:
-        """Add the frames in ``order`` to the text and return the windows that are settled now: start, stop and text."""
+    def _settled(self, order: list[int], added: dict[int, str], stop: int, k: int, at: int, tail: str, flushed: bool, frames: Survivors, end: tuple[int, int]) -> tuple[list[tuple[int, int, str]], tuple]:
+        """Add the frames in ``order``, of which this batch ``added`` some, to the text; returns the windows that are settled now (start, stop and text) and the end."""
         found = []
         tokens = [(at + m.start(), at + m.end()) for m in _TOKEN.finditer(tail)]
         arrivals = dict(zip(frames.seqs, frames.arrivals, strict=True))
         for seq in order:
             self.index.updateValue((seq,), (arrivals[seq], stop, k, at))
-            text = self.texts.getValue((seq,))[0]
+            text = added[seq] if seq in added else self.texts.getValue((seq,))[0]
             # the last token may go on in this frame
             since = tokens.pop()[0] if tokens and tokens[-1][1] == stop else stop
             tail += text
@@ -140,35 +165,58 @@ class SessionWindows(StatefulProcessor):
                 tail, at = tail[tokens[0][0] - at :], tokens[0][0]
         if order:
             end = (frames.seqs[-1], frames.arrivals[-1])
-        self.end.update((*end, stop, k, at, tail, flushed))
+        now = (*end, stop, k, at, tail, flushed)
         if flushed and tokens:
             whole = max((len(tokens) - self.size) // self.stride + 1, 1 if k == 0 else 0)
             for j in range(whole):
                 own = tokens[j * self.stride : j * self.stride + self.size]
                 found.append((own[0][0], own[-1][1], tail[own[0][0] - at : own[-1][1] - at]))
-        return found
+        return found, now
 
-    def _unsent(self, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Labels of windows, scored once for each text; what was sent before is left out."""
-        digests = [hashlib.blake2b(text.encode(), digest_size=16).digest() for *_, text in found]
-        missing: dict[bytes, str] = {}
+    def _labels(self, texts: dict[bytes, str], scored: int) -> tuple[dict[bytes, list[str]], int]:
+        """Labels of texts by their digests, scored where the session does not know them, and how many it has scored then."""
+        parts: dict[tuple[int, int], dict[bytes, list[str]]] = {}
         labels: dict[bytes, list[str]] = {}
-        for digest, (_, _, text) in zip(digests, found, strict=True):
-            if digest not in missing and digest not in labels:
-                if self.memo.containsKey((digest,)):
-                    labels[digest] = list(self.memo.getValue((digest,))[0])
-                else:
-                    missing[digest] = text
-        for digest, own in zip(missing, self.score([*missing.values()]) if missing else [], strict=True):
-            labels[digest] = sorted(set(own))
-            self.memo.updateValue((digest,), (labels[digest],))
-        out = []
+        for level in range(_level(scored - 1) + 1 if scored else 0):
+            for digest in texts:
+                if digest in labels:
+                    continue
+                part = _part(level, digest)
+                if part not in parts:
+                    segments, known = self.memo.getValue(part) or (b"", [])
+                    parts[part] = {bytes(segments[_DIGEST * i : _DIGEST * (i + 1)]): list(x) for i, x in enumerate(known)}
+                if digest in parts[part]:
+                    labels[digest] = parts[part][digest]
+        missing = [digest for digest in texts if digest not in labels]
+        grown = set()
+        for digest, own in zip(missing, self.score([texts[x] for x in missing]) if missing else [], strict=True):
+            part = _part(_level(scored), digest)  # read above, or of a level that is still empty
+            labels[digest] = parts.setdefault(part, {})[digest] = sorted(set(own))
+            grown.add(part)
+            scored += 1
+        for part in grown:
+            self.memo.updateValue(part, (b"".join(parts[part]), [*parts[part].values()]))
+        return labels, scored
+
+    def _unsent(self, found: list[tuple[int, int, str]], scored: int, now: int) -> tuple[list[tuple[int, int, str]], int]:
+        """Labels of windows, scored once for each text, without what was sent before; and how many texts are scored then."""
+        digests = [hashlib.blake2b(text.encode(), digest_size=_DIGEST).digest() for *_, text in found]
+        labels, scored = self._labels({digest: text for digest, (*_, text) in zip(digests, found, strict=True)}, scored)
+        blocks: dict[int, dict[tuple[int, int, str], int]] = {}
+        grown, out = set(), []
         for digest, (a, b, _) in zip(digests, found, strict=True):
             for label in labels[digest]:
-                if not self.sent.containsKey((a, b, label)):
-                    self.sent.updateValue((a, b, label), (True,))
+                block = a // self.span
+                if block not in blocks:
+                    known = zip(*(self.sent.getValue((block,)) or ((),) * 4), strict=True)
+                    blocks[block] = {(start, stop, name): at for start, stop, name, at in known if at + self.ttl > now}
+                if (a, b, label) not in blocks[block]:
+                    blocks[block][a, b, label] = now
+                    grown.add(block)
                     out.append((a, b, label))
-        return out
+        for block in grown:
+            self.sent.updateValue((block,), tuple(map(list, zip(*((*x, at) for x, at in blocks[block].items()), strict=True))))
+        return out, scored
 
     def close(self) -> None:
         pass

@@ -3,13 +3,14 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.storage import scratch
 from marlstone.streaming import events as E
 from marlstone.streaming import roster as R
-from marlstone.streaming.sessions import Survivors, session_windows, term_labels
+from marlstone.streaming.sessions import SessionWindows, Survivors, session_windows, term_labels
 
 SCHEMA = "session string, seq int, arrival long, text string, flush boolean"
 TERMS = ("a", "bb", "c d")
@@ -160,3 +161,92 @@ def test_roster_keeps_blocks_of_keys(spark):
     query = stream.writeStream.format("noop").option("checkpointLocation", scratch(own, "roster-cursor")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 7  # a value and a timer, which has two entries
+
+
+class Store:
+    """State by name, with the calls counted; also the handle that gives it."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self.held.setdefault(name, type(self)())
+
+    getValueState = getMapState
+
+    def total(self):
+        return sum(x.calls for x in self.held.values())
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.held.pop(key, None)
+
+    def keys(self):
+        self.calls += 1
+        return iter([*self.held])
+
+    def iterator(self):
+        self.calls += 1
+        return iter([*self.held.items()])
+
+    def get(self):
+        return self.getValue(())
+
+    def exists(self):
+        return self.containsKey(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_windows_share_entries_of_the_state():
+    """Calls into the state store follow frames and blocks of windows, not windows; a text is scored once wherever it stands."""
+    scored = []
+
+    def score(texts):
+        scored.extend(texts)
+        return [["odd" if len(x) % 2 else "even", "any"] for x in texts]
+
+    state = Store()
+    own = SessionWindows(score, 6, 3, 3600)
+    own.init(state)
+
+    def send(now, *frames):
+        rows = pd.DataFrame([(*x, False) for x in frames], columns=["seq", "arrival", "text", "flush"])
+        before = state.total()
+        out = pd.concat(own.handleInputRows(("s",), iter([rows]), Clock(now)))
+        return list(out.itertuples(index=False, name=None)), state.total() - before
+
+    words = "".join(f"w{i} " for i in range(6000))
+    sent, calls = send(0, (1, 1, words[:20000]), (2, 2, words[20000:]))
+    assert len(sent) == 2 * (6000 // 3 - 2) and len(scored) == len(set(scored)) == 6000 // 3 - 2
+    assert calls < 400  # 1,998 windows
+    sizes = [len(x[1]) for x in state.held["memo"].held.values()]
+    assert sum(sizes) == len(scored) and max(sizes) < 200
+    again, _ = send(1000, (2, 3, words[20000:]))  # the same text after a rewind
+    assert again == [] and len(scored) == 6000 // 3 - 2
+    moved, calls = send(2000, (3, 4, words[:15000]))  # known texts at another place, but for those around the seam
+    assert len(moved) > 1500 and len(scored) < 6000 // 3 + 2 and calls < 400
+    late, _ = send(3600_000, (2, 5, words[20000:]))  # what the first batch sent is forgotten
+    assert late and {x for x in late} <= {x for x in sent}
+    assert len(scored) < 6000 // 3 + 2
