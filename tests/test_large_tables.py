@@ -151,6 +151,18 @@ def test_nearest_takes_few_blocks_at_a_time(spark, monkeypatch):
     assert seen == ["4"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_coverage_takes_labels_of_any_width(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist(), (3, 1, None)[i % 3]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalog.QUERIES["sim_16_coverage"](spark, str(tmp_path)).select("label", "template", "rank").collect()
+    want = con.sql(catalog.ORACLES["sim_16_coverage"]).fetchall()
+    assert {tuple(r) for r in got} == set(want) and len(got) == len(want) == 9
+
+
 def test_few_terms_are_sent_to_the_counts(spark):
     """The optimizer is told to send the terms; without that the counts would be shuffled by term."""
     docs = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["a", "c"]), (2, ["b"])], "id long, t array<string>")
