@@ -163,6 +163,31 @@ def test_coverage_takes_labels_of_any_width(spark, tmp_path):
     assert {tuple(r) for r in got} == set(want) and len(got) == len(want) == 9
 
 
+def test_nearest_of_all_takes_every_row(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).tolist(), 0) for i in range(1, 70)] + [(7, [1.0, 0.0, 0.0], 0), (7, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.0, 0.0], 0), (300, None, 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got, want = both(spark, tmp_path, "joi_21_nearest_of_all", embeddings=vectors)
+    assert [i for i, _ in got] == [*range(1, 70), 300]
+    assert [i for i, _ in got] == [i for i, _ in want] and got[-1][1] is None is want[-1][1]
+    assert np.allclose([x for _, x in got[:-1]], [x for _, x in want[:-1]], atol=1e-6)
+
+
+def test_nearest_of_all_in_any_groups(spark):
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(90, 4))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = np.array([*range(80), *range(10)])  # some ids twice
+    scores = np.where(ids[:, None] == ids[None, :], -np.inf, u @ u.T).max(1)
+    want = {int(i): scores[ids == i].max() for i in ids}
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, u, strict=True)], "id int, v array<double>")
+    for numbers, least, tile in ((2**22, 1, 512), (2**22, 1, 4), (2**22, 8, 512), (60, 1, 4), (4, 1, 3)):
+        got = dict(S.nearest_of_all(df, "id", "v", numbers, least, tile).collect())
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    for few, n in ((df.where("id = 3"), 0), (df.where("id = 30"), 0), (df.where("id in (3, 30)"), 2), (df.limit(0), 0)):
+        assert S.nearest_of_all(few, "id", "v").count() == n
+
+
 def test_few_terms_are_sent_to_the_counts(spark):
     """The optimizer is told to send the terms; without that the counts would be shuffled by term."""
     docs = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["a", "c"]), (2, ["b"])], "id long, t array<string>")
