@@ -142,6 +142,13 @@ def test_postings_order_long_texts_only(spark, tmp_path):
     assert "length(low" in plan(catalog.QUERIES["src_31_document_postings"](spark, f"{tmp_path}/some"))
 
 
+def test_postings_take_whole_texts(spark, tmp_path):
+    filler = "abc " * 6000  # 24,000 characters
+    docs = spark.createDataFrame([(0, filler + "tail abc"), (1, "\u4e00 " * 70000 + "End end1"), (2, "xyz")], "doc_id long, text string")
+    got, want = both(spark, tmp_path, "src_31_document_postings", documents=docs)
+    assert got == want and [(token, n) for token, _, n in got] == [("abc", 6001), ("end", 1), ("end1", 1), ("tail", 1), ("xyz", 1)]
+
+
 def test_nearest_takes_few_blocks_at_a_time(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(S, "stash", lambda df, name="": seen.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
